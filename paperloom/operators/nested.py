@@ -103,12 +103,7 @@ _SCHEMA = T.StructType(
 )
 
 
-def _json_type(v: object) -> str:
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, (int, float)):
-        return "number"
-    return {str: "string", list: "array", dict: "object"}.get(type(v), "null")
+_JSON_TYPES = {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
 
 
 def unwrap(payload: str | None) -> dict | None:
@@ -126,45 +121,48 @@ def unwrap(payload: str | None) -> dict | None:
     return v if isinstance(v, dict) else None
 
 
-def _walk(v: object, path: str, level: int, spec: NestedSpec, seen: dict) -> None:
-    """Field paths with the recursion of a relation into itself folded, so that the catalogue is finite."""
-    key = (path, _json_type(v))
-    n, m = seen.get(key, (0, 0))
-    seen[key] = (n + 1, max(m, level))
-    if isinstance(v, dict):
-        for k, x in v.items():
-            _walk_child(x, path, str(k), level, spec, seen)
-    elif isinstance(v, list):
-        for x in v:
-            if x is not None:
-                _walk(x, path, level, spec, seen)
-
-
-def _walk_child(x: object, path: str, key: str, level: int, spec: NestedSpec, seen: dict) -> None:
-    folds = {v[2:].split(".")[-1] for lv in spec.levels for v in lv.via}
-    ends = {lv.via[-1][2:].split(".")[-1] for lv in spec.levels}
-    if isinstance(x, (dict, list)) and key in folds:
-        # the same array key again below itself: one path for all depths
-        parts = path.split(".")
-        if key in parts:
-            path = ".".join(parts[: parts.index(key)])
-        level += key in ends
-    _walk(x, f"{path}.{key}" if path else key, level, spec, seen)
+def _catalogue(doc: dict, folds: frozenset, ends: frozenset, seen: dict) -> None:
+    """Field paths; the recursion of an array key into itself is folded, so that the catalogue is finite."""
+    stack: list[tuple[object, tuple[str, ...], int]] = [(doc, (), 0)]
+    pop, push = stack.pop, stack.append
+    while stack:
+        v, path, level = pop()
+        kind = type(v)
+        key = (path, kind)
+        old = seen.get(key)
+        if old is None:
+            seen[key] = [1, level]
+        else:
+            old[0] += 1
+            if level > old[1]:
+                old[1] = level
+        if kind is dict:
+            for k, x in v.items():
+                if k in folds and (type(x) is dict or type(x) is list):
+                    push((x, (*(path[: path.index(k)] if k in path else path), k), level + (k in ends)))
+                else:
+                    push((x, (*path, k), level))
+        elif kind is list:
+            for x in v:
+                if x is not None:
+                    push((x, path, level))
 
 
 def merged_schema(df: DataFrame, json_col: str, spec: NestedSpec = CANONICAL) -> DataFrame:
     """Every field path of all records with its JSON types, occurrences and deepest array level."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], tuple[int, int]] = {}
+        seen: dict[tuple[tuple[str, ...], type], list[int]] = {}
+        folds = frozenset(v[2:].split(".")[-1] for lv in spec.levels for v in lv.via)
+        ends = frozenset(lv.via[-1][2:].split(".")[-1] for lv in spec.levels)
         for b in batches:
             for payload in b.column(0).to_pylist():
                 if (doc := unwrap(payload)) is not None:
-                    _walk(doc, "", 0, spec, seen)
+                    _catalogue(doc, folds, ends, seen)
         yield pa.RecordBatch.from_pydict(
             {
-                "node_path": pa.array([p for p, _ in seen], pa.string()),
-                "json_type": pa.array([t for _, t in seen], pa.string()),
+                "node_path": pa.array([".".join(p) for p, _ in seen], pa.string()),
+                "json_type": pa.array([_JSON_TYPES.get(t, "null") for _, t in seen], pa.string()),
                 "occurrences": pa.array([n for n, _ in seen.values()], pa.int64()),
                 "max_level": pa.array([m for _, m in seen.values()], pa.int32()),
             }
