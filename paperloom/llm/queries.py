@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import encoding
+from paperloom.llm import encoding, lookalike
 from paperloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +33,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p3_repaired")
 def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
     return encoding.damaged_elements(table(spark, d, "elements"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_look_pairs(table(spark, d, "elements"))
+
+
+@query("p5_canonical")
+def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "elements").select("elem_no", "text").dropDuplicates(["elem_no"])
+    return lookalike.canonical(once).select("elem_no", "canonical", (F.col("text") != F.col("canonical")).alias("changed"))
