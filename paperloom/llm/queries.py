@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import encoding, lookalike
+from paperloom.llm import encoding, language, lookalike
 from paperloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     once = table(spark, d, "elements").select("elem_no", "text").dropDuplicates(["elem_no"])
     return lookalike.canonical(once).select("elem_no", "canonical", (F.col("text") != F.col("canonical")).alias("changed"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_found(table(spark, d, "canonical_docs"), table(spark, d, "elements"), table(spark, d, "documents"))
