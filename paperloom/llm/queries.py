@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import encoding, language, lookalike
+from paperloom.llm import encoding, language, leakage, lookalike
 from paperloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,13 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return language.language_found(table(spark, d, "canonical_docs"), table(spark, d, "elements"), table(spark, d, "documents"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p9_leaks")
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
