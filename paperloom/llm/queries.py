@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import encoding, language, leakage, lookalike
+from paperloom.llm import encoding, language, leakage, lookalike, shared
 from paperloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_leaks")
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared.shared_pairs(table(spark, d, "documents"))
+
+
+@query("p10_lines")
+def p10_lines(spark: SparkSession, d: str) -> DataFrame:
+    return shared.shared_lines(table(spark, d, "documents"))
