@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import encoding, language, leakage, lookalike, shared
+from paperloom.llm import encoding, language, leakage, lookalike, packing, shared, splitting
 from paperloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,18 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p10_lines")
 def p10_lines(spark: SparkSession, d: str) -> DataFrame:
     return shared.shared_lines(table(spark, d, "documents"))
+
+
+@query("p1_found", "SELECT DISTINCT elem_no FROM elements WHERE length(text) > 2000")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_found(table(spark, d, "elements"))
+
+
+@query("p1_pieces")
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_elements(table(spark, d, "elements"))
+
+
+@query("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_all(table(spark, d, "documents"), table(spark, d, "container_sizes"))
