@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import encoding, language, leakage, lookalike, packing, shared, splitting
+from paperloom.llm import encoding, language, leakage, lookalike, packing, scans, shared, splitting
 from paperloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,13 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_containers")
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_all(table(spark, d, "documents"), table(spark, d, "container_sizes"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_noise(table(spark, d, "canonical_docs"), table(spark, d, "elements"))
+
+
+@query("p4_pages")
+def p4_pages(spark: SparkSession, d: str) -> DataFrame:
+    return scans.Scan(table(spark, d, "canonical_docs"), table(spark, d, "elements")).repaired()
