@@ -48,7 +48,7 @@ BUCKETS = 64
 GLYPHS = {
     "d": "ei", "m": "rri", "n": "ri", "u": "ii", "ü": "ii", "ú": "ii", "ù": "ii", "h": "ii", "b": "ii", "6": "ii", "w": "vi",
     "c": "e", "é": "e", "è": "e", "ê": "e", "ç": "e", "f": "t", "l": "i", "1": "i", "|": "i", "!": "i", "í": "i", "î": "i", "ï": "i", "j": "i",
-    "q": "g", "9": "g", "0": "o", "ó": "o", "ö": "o", "ô": "o", "5": "s", "ä": "a", "á": "a", "à": "a", "â": "a", "8": "b", "ñ": "ri",
+    "q": "g", "9": "g", "0": "o", "ó": "o", "ö": "o", "ô": "o", "5": "s", "ä": "a", "á": "a", "à": "a", "â": "a", "8": "ii", "ß": "ii", "2": "z", "ñ": "ri",
 }
 _FOLD = str.maketrans(GLYPHS)
 _DIGITS = str.maketrans("OoIl|SZB", "00111528")
@@ -125,8 +125,25 @@ _EDGE_LINES = T.ArrayType(T.StructType([
 _NUMBER = re.compile(r"(?<![^\W_])[0-9OoIl|SZB]{1,6}(?![^\W_])")
 
 
+_ROMAN = re.compile(r"[\W_]*([ivxlc1I|]{1,8})[\W_]*")
+_ROMAN_VALUE = re.compile(r"(x{0,3}|xl|lx{0,3})(i{0,3}|iv|vi{0,3}|ix)")
+_UNITS = {x: i for i, x in enumerate(("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"))}
+_TENS = {x: 10 * i for i, x in enumerate(("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx"))}
+
+
+def roman(line: str) -> int | None:
+    """The value of a line that is only a small Roman numeral; strokes may be misread."""
+    m = _ROMAN.fullmatch(line)
+    for text in (m.group(1).replace("1", "i").replace("I", "i").replace("|", "i"), m.group(1).translate(str.maketrans("1I|l", "iiii"))) if m else ():
+        if v := _ROMAN_VALUE.fullmatch(text):
+            return _TENS[v.group(1)] + _UNITS[v.group(2)] or None
+    return None
+
+
 def numbers_in(line: str) -> list[int]:
     """Numbers of a line, misread digits put right where another is sound or the line holds nothing else."""
+    if (r := roman(line)) is not None and not any(c.isdigit() for c in line):
+        return [r]
     bare = not re.search(r"[^\W\d_]{3,}", line)
     found = [m.group() for m in _NUMBER.finditer(line)]
     return [int(x.translate(_DIGITS)) for x in found if any(c.isdigit() for c in x) or bare and x not in ("S", "Z", "B")]
@@ -141,6 +158,7 @@ def _edges(text):  # noqa: ANN001, ANN202
 
 
 _PAGE_WORDS = {"page", "seite", "página", "pagina", "pág", "pag", "p", "s", "seit", "стр", "страница", "صفحة"}
+_PAGE_LINE = re.compile(r"[\W_]*([^\W\d_]{3,8})\.? +[0-9OoIl|SZB]{1,5}[\W_]*")
 _LINE_KIND = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType())])
 
 
@@ -150,6 +168,10 @@ def line_kind(line: str, number: int | None) -> tuple[str | None, str | None]:
     Kind `numbered` is a running line for certain: the page number stands beside it, set apart.
     """
     plain, found, apart = line, False, False
+    if _PAGE_LINE.fullmatch(line) and fold(_PAGE_LINE.fullmatch(line).group(1)) in _PAGE_FOLDS:
+        return "page_number", None
+    if number is not None and roman(line) == number:
+        return "page_number", None
     if number is not None:
         for m in _NUMBER.finditer(line):
             if m.group().translate(_DIGITS).isdigit() and int(m.group().translate(_DIGITS)) == number:
@@ -206,6 +228,10 @@ def bodies(pages: DataFrame, found: DataFrame) -> DataFrame:
     return first.withColumn("after", after).drop("first")
 
 
+_FRAGMENT = re.compile(r"\s*(?:[^\W\d_]+ ){0,3}\d+\s*")
+_SOFT_END = re.compile(rf"[^\W\d_][a-zß-ÿ]*[^\W\d_A-Z][{re.escape(MARKS)}]\s*$")
+
+
 class Page:
     """Body lines of a page and the line that goes on from each."""
 
@@ -215,8 +241,11 @@ class Page:
         self.body = [(i, x) for i, x in enumerate(lines, 1) if i not in hidden]
         full = [k for k, (_, x) in enumerate(self.body) if x.strip()]
         self.next: dict[int, tuple[int, int | None, str]] = {}  # line_no -> (line_no, elem_no or None for this page, line)
-        for a, b in zip(full, full[1:], strict=False):
-            if b == a + 1 or all(i in hidden for i in range(self.body[a][0] + 1, self.body[b][0])):
+        for k, (a, b) in enumerate(zip(full, full[1:], strict=False)):
+            if _SOFT_END.search(self.body[a][1]):  # a table's rest between two halves of a word isn't the word's
+                while k + 2 < len(full) and _FRAGMENT.fullmatch(self.body[b][1]):
+                    k, b = k + 1, full[k + 2]
+            if b == a + 1 or b > full[full.index(a) + 1] or all(i in hidden for i in range(self.body[a][0] + 1, self.body[b][0])):
                 self.next[self.body[a][0]] = (self.body[b][0], None, self.body[b][1])
         if full and after and after["line"]:
             self.next[self.body[full[-1]][0]] = (after["line_no"], after["elem_no"], after["line"])
@@ -314,6 +343,12 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 _fold = F.udf(fold, T.StringType(), useArrow=True)
 
 
+@F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
+def _keys(word):  # noqa: ANN001, ANN202
+    """The glyph class keys of a rare word: 6 may stand for b as well as for ó."""
+    return sorted({fold(word), fold(word.replace("6", "o"))})
+
+
 def corrections(tokens: DataFrame, vocabulary: DataFrame, naive: DataFrame) -> DataFrame:
     """word and fix: rare words of the pages, each with the frequent word of its glyph class that fits its contexts best.
 
@@ -323,7 +358,7 @@ def corrections(tokens: DataFrame, vocabulary: DataFrame, naive: DataFrame) -> D
     counts = vocabulary.join(naive.withColumnRenamed("n", "n_scan"), "word", "left").select("word", "n", (F.col("n") - F.coalesce("n_scan", F.lit(0))).alias("n_clean"))
     words = tokens.groupBy("word").agg(F.count("*").alias("here"))
     rare = words.join(counts, "word", "left").select("word", "here", F.greatest(F.coalesce("n_clean", F.lit(0)), F.lit(0)).alias("n_clean"))
-    rare = rare.where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2)).withColumn("key", _fold("word"))
+    rare = rare.where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2)).withColumn("key", F.explode(_keys("word")))
     frequent = counts.where(F.col("word").rlike(r"^\p{L}+$") & (F.col("n") >= LEAST_COUNT)).select(F.col("word").alias("fix"), F.col("n").alias("fix_n"), F.col("n_clean").alias("fix_clean")).withColumn("key", _fold("fix"))
     linked = rare.join(frequent, "key").where(
         (F.col("word") != F.col("fix"))
@@ -331,6 +366,7 @@ def corrections(tokens: DataFrame, vocabulary: DataFrame, naive: DataFrame) -> D
         & (F.col("fix_clean") >= TIMES * F.col("n_clean"))
         & (F.col("fix_clean") >= 1)
         & (F.substring("word", 1, 1).rlike(r"^\p{Lu}") == F.substring("fix", 1, 1).rlike(r"^\p{Lu}") | F.substring("word", 1, 1).rlike(r"^\d"))
+        & ((F.upper("word") != F.col("word")) | (F.upper("fix") == F.col("fix")))
         & (F.levenshtein("word", "fix") <= F.greatest(F.lit(1), F.ceil(F.length("word") / 3)))
         & ((F.length("word") > 2) | (F.length("word") == F.length("fix")))
     )
