@@ -152,6 +152,21 @@ def _script(c: str) -> str:
     return "C" if 0x400 <= o < 0x530 else "A" if 0x600 <= o < 0x700 else "G" if 0x370 <= o < 0x400 else ""
 
 
+_AS_CYRILLIC = str.maketrans("aceopxyABCEHKMOPTX", "асеорхуАВСЕНКМОРТХ")
+_CYRILLIC_WORD = re.compile("[А-Яа-яЁё]{3,}")
+_RUSSIAN_NEVER = re.compile("(?<![бвгджзйклмнпрстфхцчшщ])[ъьЪЬ]|ъ(?![еёюя])|(?<![аеёиоуыэюя])й|^ы|[бвгджзйклмнпрстфхцчшщьъ]{5}|ыы|[аеёиоуыэюя]{4}")
+_RUSSIAN_VOWEL = re.compile("[аеёиоуыэюя]")
+
+
+def russian_oddness(text: str) -> float:
+    """What Russian spelling rules out: words without a vowel, hard signs before consonants, long runs and the like."""
+    total = 0.0
+    for m in _CYRILLIC_WORD.finditer(text.translate(_AS_CYRILLIC)):
+        w = m.group().lower()
+        total += 2.0 * len(_RUSSIAN_NEVER.findall(w)) + (0.0 if _RUSSIAN_VOWEL.search(w) else 2.5)
+    return total
+
+
 def cost(text: str) -> float:
     """Implausibility of a token: its characters, runs of accented letters, odd case, signs and scripts mixed inside a word."""
     total, run, before, lower = 0.0, 0, False, False
@@ -180,6 +195,8 @@ def cost(text: str) -> float:
         elif c < "\x80":
             lower = False
         before = bool(s)
+    if "C" in own:
+        total += russian_oddness(text)
     if "iу" in text:  # drawn like y, which hardly follows an i; ó of cp1252 read as cp1251
         total += FOREIGN
     if len(own) > 1:
@@ -262,7 +279,7 @@ def repair_text(text: str) -> tuple[str, bool, str]:
             new = found[i][0]
             if (x := by_main[i]) is not None and cost(x) <= cost(new) + 1.5:
                 new = x
-        elif first < i < last and (x := apply(t, main)) is not None and cost(x) <= cost(t):
+        elif (x := apply(t, main)) is not None and (cost(x) <= cost(t) if first < i < last else cost(x) < cost(t) - 0.8):
             new = x
         out += [text[at:s], new]
         at = e

@@ -131,19 +131,20 @@ _UNITS = {x: i for i, x in enumerate(("", "i", "ii", "iii", "iv", "v", "vi", "vi
 _TENS = {x: 10 * i for i, x in enumerate(("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx"))}
 
 
-def roman(line: str) -> int | None:
-    """The value of a line that is only a small Roman numeral; strokes may be misread."""
+def roman(line: str) -> list[int]:
+    """The values that a line may have which is only a small Roman numeral; a stroke may be an i as well as an l."""
     m = _ROMAN.fullmatch(line)
+    out = []
     for text in (m.group(1).replace("1", "i").replace("I", "i").replace("|", "i"), m.group(1).translate(str.maketrans("1I|l", "iiii"))) if m else ():
-        if v := _ROMAN_VALUE.fullmatch(text):
-            return _TENS[v.group(1)] + _UNITS[v.group(2)] or None
-    return None
+        if (v := _ROMAN_VALUE.fullmatch(text)) and (n := _TENS[v.group(1)] + _UNITS[v.group(2)]) and n not in out:
+            out.append(n)
+    return out
 
 
 def numbers_in(line: str) -> list[int]:
     """Numbers of a line, misread digits put right where another is sound or the line holds nothing else."""
-    if (r := roman(line)) is not None and not any(c.isdigit() for c in line):
-        return [r]
+    if (r := roman(line)) and not any(c.isdigit() for c in line):
+        return r
     bare = not re.search(r"[^\W\d_]{3,}", line)
     found = [m.group() for m in _NUMBER.finditer(line)]
     return [int(x.translate(_DIGITS)) for x in found if any(c.isdigit() for c in x) or bare and x not in ("S", "Z", "B")]
@@ -170,7 +171,7 @@ def line_kind(line: str, number: int | None) -> tuple[str | None, str | None]:
     plain, found, apart = line, False, False
     if _PAGE_LINE.fullmatch(line) and fold(_PAGE_LINE.fullmatch(line).group(1)) in _PAGE_FOLDS:
         return "page_number", None
-    if number is not None and roman(line) == number:
+    if number is not None and number in roman(line):
         return "page_number", None
     if number is not None:
         for m in _NUMBER.finditer(line):
