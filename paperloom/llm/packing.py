@@ -125,9 +125,10 @@ def pack(sized: DataFrame, capacity: int, bucket: int = BUCKET) -> DataFrame:
     offsets = salted.groupBy("size", "salt").agg(F.count("*").alias("n")).select("size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(W.partitionBy("size", "salt").orderBy("doc_id", "piece_no")) - 1
     ranked = salted.withColumn("in_bucket", rank).join(offsets, ["size", "salt"]).withColumn("rank", F.col("offset") + F.col("in_bucket"))
-    # a size's make-ups as a sorted array beside its items: the last `lo` up to the rank is the item's
+    # a size's make-ups as a sorted array beside its items: the last `lo` up to the rank is the item's. The
+    # plan's size is bounded by the capacity, whatever the number of items, so it may be broadcast.
     spans = table.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("lo", "per", "first_bin"))).alias("spans"))
-    found = ranked.join(spans, "size").withColumn("span", F.element_at(F.filter("spans", lambda x: x["lo"] <= F.col("rank")), -1))
+    found = ranked.join(F.broadcast(spans), "size").withColumn("span", F.element_at(F.filter("spans", lambda x: x["lo"] <= F.col("rank")), -1))
     bin_no = F.col("span.first_bin") + F.floor((F.col("rank") - F.col("span.lo")) / F.col("span.per"))
     return found.select(bin_no.cast("long").alias("bin_no"), "doc_id", "piece_no", "n_pieces", "token_start", "size")
 
