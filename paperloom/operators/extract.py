@@ -22,12 +22,17 @@ from pyspark.sql import types as T
 
 from paperloom import schema
 from paperloom.options import Options
-from paperloom.sources import pdf, sheet, slide, word
+from paperloom.sources import convert, pdf, sheet, slide, word
 from paperloom.sources.office import Built, Unreadable
 
 Extractor = Callable[[bytes, Options], Built]
 
 
+def _word(content: bytes, options: Options) -> Built:
+    built = word.extract(content, options.render_word_pages)
+    return convert.add_pages(built, content, "docx", options) if options.render_word_pages and convert.find() else built
+
+
 @dataclass(frozen=True)
 class Registry:
     """Extractors by document type; the first that takes a type wins."""
@@ -35,9 +40,12 @@ class Registry:
     extractors: tuple[tuple[tuple[str, ...], Extractor], ...] = field(
         default=(
             (("xlsx", "xlsm"), lambda b, o: sheet.extract(b)),
-            (("docx", "docm"), lambda b, o: word.extract(b, o.render_word_pages)),
+            (("docx", "docm"), _word),
             (("pptx", "pptm"), lambda b, o: slide.extract(b)),
             (("pdf",), lambda b, o: pdf.extract(b, o.pdf_password)),
+            (("doc",), convert.legacy_extractor("doc")),
+            (("xls",), convert.legacy_extractor("xls")),
+            (("ppt",), convert.legacy_extractor("ppt")),
         )
     )
 
@@ -92,8 +100,8 @@ def found_rows(files: DataFrame, options: Options = Options(), registry: Registr
                         for r in getattr(built, relation):
                             out.append((relation, _dump({k: _dump(v) if k in _JSON else v for k, v in r.items()})))
                 except Exception as e:  # noqa: BLE001  one bad file never stops a corpus
-                    error = "UnsupportedFileTypeError" if isinstance(e, LookupError) and not isinstance(e, KeyError) else "ExtractionFailedError"
-                    out = [("rejects", _dump({"path": path, "error_type": error, "error": str(e) if isinstance(e, Unreadable) else f"{type(e).__name__}"}))]
+                    error = "ExternalToolError" if isinstance(e, convert.ToolMissing) else "UnsupportedFileTypeError" if type(e) is LookupError else "ExtractionFailedError"
+                    out = [("rejects", _dump({"path": path, "error_type": error, "error": str(e) if isinstance(e, (Unreadable, convert.ToolMissing)) else f"{type(e).__name__}"}))]
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.string()), pa.array([path] * len(out), pa.string()), pa.array([j for _, j in out], pa.string())], names=_FOUND.names)
 
     return files.select("path", "detected.document_type", "content").mapInArrow(run, _FOUND)

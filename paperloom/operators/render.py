@@ -96,6 +96,7 @@ def blocks(documents: DataFrame, units: DataFrame, elements: DataFrame, assets:
         _block(elements, 1, F.col("unit_index"), F.col("element_order"), F.col("element_id"), element_markdown()),
         _block(slide_inherited(units), 1, F.col("unit_index"), F.lit(1 << 30), none, F.col("block")),
         _block(form_fields(documents), 2, zero, zero, none, F.col("block")),
+        _block(rendered_pages(documents), 2, zero, F.lit(1), none, F.col("block")),
         _section(assets, 3, "Assets", F.concat(F.col("asset_id"), F.lit(": "), F.coalesce("output_path", "original_name", F.lit("-"))), F.regexp_extract("asset_id", r"(\d+)$", 1).try_cast("int")),
         _section(warnings, 4, "Warnings", F.concat(F.col("severity"), F.lit(" "), F.col("code"), F.lit(": "), F.col("message")), F.lit(0)),
     ]
@@ -124,6 +125,13 @@ def form_fields(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.concat(F.lit("## Form fields\n\n"), F.array_join(F.transform("f", lambda x: F.concat(F.lit("- "), x["key"], F.lit(": "), F.coalesce(x["value"]["value"], F.lit("")))), "\n")).alias("block"))
 
 
+def rendered_pages(documents: DataFrame) -> DataFrame:
+    """Text of a Word document's rendered pages."""
+    pages = _json("$.word.rendered.rendered_pages", "properties", "array<struct<page_number:int,text:string>>")
+    found = documents.where(F.col("document_type").isin("docx", "docm", "doc")).select("doc_id", pages.alias("p")).where(F.size("p") > 0)
+    return found.select("doc_id", F.concat(F.lit("## Rendered pages\n\n"), F.array_join(F.transform("p", lambda x: F.concat(F.lit("### Page "), x["page_number"].cast("string"), F.lit("\n\n"), F.coalesce(x["text"], F.lit("")))), "\n\n")).alias("block"))
+
+
 def markdown(*relations: DataFrame) -> DataFrame:
     """doc_id and markdown: a document's blocks in order, one blank line between them and one line end at the end."""
     rows = blocks(*relations).select("doc_id", F.struct("section", "unit_no", "order_no", "tie", "block").alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))

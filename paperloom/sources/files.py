@@ -92,8 +92,7 @@ def guard(detected: DataFrame, options: Options = Options()) -> tuple[DataFrame,
         F.when(F.col("length") > options.max_file_size, F.struct(F.lit("InvalidInputFileError").alias("error_type"), F.lit("the file is larger than the limit").alias("error")))
         .when(F.col("detected.is_encrypted_office"), F.struct(F.lit("UnsupportedFileTypeError").alias("error_type"), F.lit("the Office file is encrypted").alias("error")))
         .when(modern & F.col("archive.broken").isNotNull(), F.struct(F.lit("InvalidInputFileError").alias("error_type"), F.concat(F.lit("archive limit: "), F.col("archive.broken")).alias("error")))
-        .when(kind.isin(*LEGACY), F.struct(F.lit("ExternalToolError").alias("error_type"), F.lit("a legacy file needs a converter").alias("error")))
-        .when(~kind.isin(*MODERN, "pdf"), F.struct(F.lit("UnsupportedFileTypeError").alias("error_type"), F.concat(F.lit("no extractor for "), kind).alias("error")))
+        .when(~kind.isin(*MODERN, *LEGACY, "pdf"), F.struct(F.lit("UnsupportedFileTypeError").alias("error_type"), F.concat(F.lit("no extractor for "), kind).alias("error")))
     )
     judged = detected.withColumn("reason", reason)
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select("path", "reason.error_type", "reason.error")

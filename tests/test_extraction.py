@@ -208,3 +208,47 @@ def test_cli(tmp_path, capsys, spark):
     assert main(["inspect", str(tmp_path / "a.xlsx")]) == 0 and "document_type=xlsx" in capsys.readouterr().out
     assert main(["extract", str(tmp_path / "a.xlsx"), "-o", str(tmp_path / "out")]) == 0
     assert main(["inspect", str(tmp_path / "none")]) == 3
+
+
+def test_legacy_by_a_converter():
+    from paperloom.sources import convert
+
+    b = convert.extract_legacy(b"old", "xls", Options(), lambda raw, kind, target, timeout: fx.workbook())
+    assert b.properties["conversion"] == {"from": "xls", "to": "xlsx"} and b.assets[0]["asset_id"] == "xlsx-asset-1" and b.warnings[-1]["code"] == "office.legacy.converted"
+    if convert.find() is None:
+        with pytest.raises(convert.ToolMissing):
+            convert.libreoffice(b"x", "doc", "docx", 1)
+
+
+def test_rendered_pages():
+    from paperloom.sources import convert
+
+    raw = fx.word({"docProps/app.xml": "<Properties xmlns='x'><Pages>3</Pages></Properties>"})
+    b = convert.add_pages(word.extract(raw), raw, "docx", Options(), lambda *a: fx.pdf())
+    assert b.properties["word"]["rendered"]["rendered_page_count"] == 2 and b.properties["word"]["stored_page_count"] == 3
+    assert {w["code"] for w in b.warnings} == {"docx.page_count.mismatch"}
+
+    def broken(*a):
+        raise convert.ToolMissing("no converter is installed")
+
+    codes = {w["code"] for w in convert.add_pages(word.extract(raw), raw, "docx", Options(), broken).warnings}
+    assert codes == {"docx.pagination.libreoffice_unavailable"}
+    assert {w["code"] for w in convert.add_pages(word.extract(raw), raw, "docx", Options(render_word_pages=False)).warnings} == {"docx.pagination.disabled"}
+
+
+def test_layout_backend():
+    from paperloom.sources import layout
+
+    items = [
+        {"label": "title", "text": "T", "page_number": 1, "bbox": (1, 2, 3, 4), "coordinate_system": "top_left"}, {"label": "list_item", "text": "i", "page_number": 2},
+        {"label": "table", "page_number": 1, "grid": [[{"text": "a"}, {"text": "b"}]]}, {"label": "text", "text": "nowhere"},
+    ]
+    b = layout.extractor(lambda raw: items)(fx.pdf(), Options())
+    first = [(e["element_type"], e["element_order"], e["text"]) for e in b.elements if e["unit_index"] == 1]
+    assert first[:2] == [("heading", 1, "T"), ("table", 2, "a | b")] and first[2][0] == "link"
+    assert b.units[-1] ["name"] == "Unpaged content" and b.units[-1]["unit_index"] == 3
+
+    def fails(raw):
+        raise RuntimeError
+
+    assert "pdf.docling.failed" in {w["code"] for w in layout.extractor(fails)(fx.pdf(), Options()).warnings}
