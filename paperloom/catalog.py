@@ -315,6 +315,11 @@ def md_documents(spark: SparkSession, d: str) -> DataFrame:
     return render.markdown(once(spark, d, "canonical_docs"), once(spark, d, "units"), once(spark, d, "elements"), once(spark, d, "assets"), table(spark, d, "warnings"))
 
 
+@query("md_chunks")
+def md_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return render.markdown_chunks(once(spark, d, "canonical_docs"), once(spark, d, "units"), once(spark, d, "elements"), once(spark, d, "assets"), table(spark, d, "warnings"))
+
+
 @query("json_documents")
 def json_documents(spark: SparkSession, d: str) -> DataFrame:
     return render.json_document(once(spark, d, "canonical_docs"), once(spark, d, "units"), once(spark, d, "elements"), once(spark, d, "assets"), table(spark, d, "warnings"))

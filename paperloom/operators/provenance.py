@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 def fill_source(elements: DataFrame, units: DataFrame) -> DataFrame:
     """Elements whose source is null get their unit's; a source whose fields are all null is left alone."""
     own = units.select("doc_id", "unit_index", F.col("kind").alias("__kind"), F.col("name").alias("__name")).dropDuplicates(["doc_id", "unit_index"])
-    joined = elements.join(own, ["doc_id", "unit_index"], "left")
+    # only the rows without a source meet the units; the others, nearly all, are never shuffled
+    joined = elements.where("source is null").join(own, ["doc_id", "unit_index"], "left")
     kind, index, name = F.col("__kind"), F.col("unit_index"), F.col("__name")
     fields = {f.name: f.dataType for f in elements.schema["source"].dataType.fields}
     given = {"unit_index": index, "unit_name": name, "page_number": F.when(kind == "page", index), "sheet_name": F.when(kind == "sheet", name), "slide_number": F.when(kind == "slide", index)}
     made = F.struct(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields.items()))
-    return joined.withColumn("source", F.when(kind.isNotNull(), F.coalesce("source", made)).otherwise(F.col("source"))).select(*elements.columns)
+    filled = joined.withColumn("source", F.when(kind.isNotNull(), made)).select(*elements.columns)
+    return elements.where("source is not null").unionByName(filled)
 
 
 def assets_by_hash(assets: DataFrame) -> DataFrame:

@@ -132,10 +132,25 @@ def rendered_pages(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.concat(F.lit("## Rendered pages\n\n"), F.array_join(F.transform("p", lambda x: F.concat(F.lit("### Page "), x["page_number"].cast("string"), F.lit("\n\n"), F.coalesce(x["text"], F.lit("")))), "\n\n")).alias("block"))
 
 
+#: Blocks of one chunk at most, as element orders count within a unit.
+CHUNK = 1000
+
+
+def markdown_chunks(*relations: DataFrame) -> DataFrame:
+    """doc_id, section, unit_no, chunk_no and markdown: a document in pieces of bounded size, in the order of these keys.
+
+    What a document of any size can be written from: no group grows with it.
+    """
+    keys = ["doc_id", "section", "unit_no", "chunk_no"]
+    rows = blocks(*relations).withColumn("chunk_no", F.floor(F.greatest("order_no", F.lit(0)) / CHUNK).cast("int"))
+    grouped = rows.select(*keys, F.struct("order_no", "tie", "block").alias("r")).groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    return grouped.select(*keys, F.array_join(F.transform("rows", lambda r: r["block"]), "\n\n").alias("markdown"))
+
+
 def markdown(*relations: DataFrame) -> DataFrame:
     """doc_id and markdown: a document's blocks in order, one blank line between them and one line end at the end."""
-    rows = blocks(*relations).select("doc_id", F.struct("section", "unit_no", "order_no", "tie", "block").alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: r["block"]), "\n\n")
+    rows = markdown_chunks(*relations).select("doc_id", F.struct("section", "unit_no", "chunk_no", "markdown").alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: r["markdown"]), "\n\n")
     return rows.select("doc_id", F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n")).alias("markdown"))
 
 

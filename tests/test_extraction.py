@@ -208,6 +208,10 @@ def test_cli(tmp_path, capsys, spark):
     assert main(["inspect", str(tmp_path / "a.xlsx")]) == 0 and "document_type=xlsx" in capsys.readouterr().out
     assert main(["extract", str(tmp_path / "a.xlsx"), "-o", str(tmp_path / "out")]) == 0
     assert main(["inspect", str(tmp_path / "none")]) == 3
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.xlsx").write_bytes(fx.workbook())
+    (tmp_path / "in/bad.pdf").write_bytes(b"%PDF-1.4")
+    assert main(["batch", str(tmp_path / "in"), "-o", str(tmp_path / "all")]) == 1 and "ok=1 failed=1" in capsys.readouterr().out
 
 
 def test_legacy_by_a_converter():
