@@ -336,13 +336,11 @@ def md_unit_headings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "md_cell_table",
-    f"""SELECT doc_id, unit_index, string_agg(line, chr(10) ORDER BY element_order, element_id) AS body FROM (SELECT doc_id, unit_index, element_order, element_id,
-      '| ' || concat_ws(' | ', {', '.join(_ESCAPE_SQL.format(x) for x in ("coalesce(data->>'coordinate', data->>'a1', source.cell)", "text", "data->>'formula'", "data->>'cached_value'", "data->>'number_format'", "coalesce(data->'comment'->>'text', data->>'hyperlink')"))}) || ' |' AS line
-      FROM {ELEMENTS} WHERE element_type = 'cell') GROUP BY doc_id, unit_index""",
+    f"""SELECT elem_no, '| ' || concat_ws(' | ', {', '.join(_ESCAPE_SQL.format(x) for x in ("coalesce(data->>'coordinate', data->>'a1', source.cell)", "text", "data->>'formula'", "data->>'cached_value'", "data->>'number_format'", "coalesce(data->'comment'->>'text', data->>'hyperlink')"))}) || ' |' AS line
+      FROM {ELEMENTS} WHERE element_type = 'cell'""",
 )
 def md_cell_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = render.sheet_cells(once(spark, d, "elements"))
-    return rows.select("doc_id", "unit_index", F.regexp_replace("block", r"^[^\n]*\n[^\n]*\n", "").alias("body"))
+    return render.cells_of(once(spark, d, "elements")).select("elem_no", render.cell_line().alias("line"))
 
 
 @query("grid_table_text", "SELECT r_name AS sheet, '| ' || r_name || ' | Key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS grid FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")

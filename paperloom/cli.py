@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
         if broken:
             print(f"invalid: {broken[0].rule} {broken[0].detail}", file=sys.stderr)
             return 2
-        written = sinks.write_packages(corpus, target, options).count()
+        written = sinks.write_packages(corpus, target, options, flat=a.command == "extract").count()
         if a.command == "batch":
             sinks.write_batch_summary(corpus, target)
         counts = {r.status: r["count"] for r in corpus.batch().groupBy("status").count().collect()}

@@ -68,18 +68,24 @@ def unit_heading() -> Column:
     )
 
 
-def _block(df: DataFrame, section: int, unit: Column, order: Column, tie: Column, text: Column) -> DataFrame:
-    return df.select("doc_id", F.lit(section).alias("section"), unit.cast("int").alias("unit_no"), order.cast("int").alias("order_no"), tie.cast("string").alias("tie"), text.alias("block")).where("block is not null")
+def _block(df: DataFrame, section: int, unit: Column, order: Column, tie: Column, text: Column, zone: int = 2, glue: bool = False) -> DataFrame:
+    return df.select(
+        "doc_id", F.lit(section).alias("section"), unit.cast("int").alias("unit_no"), F.lit(zone).alias("zone"), order.cast("int").alias("order_no"), tie.cast("string").alias("tie"),
+        F.lit(glue).alias("glue"), text.alias("block"),
+    ).where("block is not null")
 
 
-def sheet_cells(elements: DataFrame) -> DataFrame:
-    """The six-column cell table of each sheet."""
-    cells = elements.where("element_type = 'cell'")
+_CELL_HEAD = "| Cell | Value | Formula | Cached value | Format | Comment or link |\n| --- | --- | --- | --- | --- | --- |"
+
+
+def cell_line() -> Column:
+    """A cell's row of its sheet's six-column table."""
     columns = [F.coalesce(_json("$.coordinate"), _json("$.a1"), F.col("source.cell")), F.col("text"), _json("$.formula"), _json("$.cached_value"), _json("$.number_format"), F.coalesce(_json("$.comment.text"), _json("$.hyperlink"))]
-    row = F.concat(F.lit("| "), F.concat_ws(" | ", *(md_escape(c) for c in columns)), F.lit(" |"))
-    head = "| Cell | Value | Formula | Cached value | Format | Comment or link |\n| --- | --- | --- | --- | --- | --- |\n"
-    rows = cells.select("doc_id", "unit_index", F.struct("element_order", "element_id", row.alias("line")).alias("r")).groupBy("doc_id", "unit_index").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    return rows.select("doc_id", "unit_index", F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("block"))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(md_escape(c) for c in columns)), F.lit(" |"))
+
+
+def cells_of(elements: DataFrame) -> DataFrame:
+    return elements.where("element_type = 'cell'")
 
 
 def blocks(documents: DataFrame, units: DataFrame, elements: DataFrame, assets: DataFrame, warnings: DataFrame, unsupported: DataFrame | None = None) -> DataFrame:
@@ -90,11 +96,12 @@ def blocks(documents: DataFrame, units: DataFrame, elements: DataFrame, assets:
     title = F.concat(F.lit("# "), F.coalesce("filename", "doc_id"), F.lit("\n\n"), F.concat_ws("\n", *(F.concat(F.lit(f"- {n}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for n, c in bullets)))
     parts = [
         _block(documents, 0, zero, zero, none, title),
-        _block(units, 1, F.col("unit_index"), F.lit(-3), none, unit_heading()),
-        _block(units.where("kind = 'sheet'"), 1, F.col("unit_index"), F.lit(-2), none, F.concat(F.lit("State: "), F.coalesce(_json("$.state", "metadata"), F.lit("visible")))),
-        _block(sheet_cells(elements), 1, F.col("unit_index"), F.lit(-1), none, F.col("block")),
+        _block(units, 1, F.col("unit_index"), F.lit(0), none, unit_heading(), 0),
+        _block(units.where("kind = 'sheet'"), 1, F.col("unit_index"), F.lit(1), none, F.concat(F.lit("State: "), F.coalesce(_json("$.state", "metadata"), F.lit("visible"))), 0),
+        _block(cells_of(elements).select("doc_id", "unit_index").dropDuplicates(), 1, F.col("unit_index"), F.lit(2), none, F.lit(_CELL_HEAD), 0),
+        _block(cells_of(elements), 1, F.col("unit_index"), F.col("element_order"), F.col("element_id"), cell_line(), 1, True),
         _block(elements, 1, F.col("unit_index"), F.col("element_order"), F.col("element_id"), element_markdown()),
-        _block(slide_inherited(units), 1, F.col("unit_index"), F.lit(1 << 30), none, F.col("block")),
+        _block(slide_inherited(units), 1, F.col("unit_index"), F.lit(0), none, F.col("block"), 3),
         _block(form_fields(documents), 2, zero, zero, none, F.col("block")),
         _block(rendered_pages(documents), 2, zero, F.lit(1), none, F.col("block")),
         _section(assets, 3, "Assets", F.concat(F.col("asset_id"), F.lit(": "), F.coalesce("output_path", "original_name", F.lit("-"))), F.regexp_extract("asset_id", r"(\d+)$", 1).try_cast("int")),
@@ -141,17 +148,22 @@ def markdown_chunks(*relations: DataFrame) -> DataFrame:
 
     What a document of any size can be written from: no group grows with it.
     """
-    keys = ["doc_id", "section", "unit_no", "chunk_no"]
+    keys = ["doc_id", "section", "unit_no", "zone", "chunk_no"]
     rows = blocks(*relations).withColumn("chunk_no", F.floor(F.greatest("order_no", F.lit(0)) / CHUNK).cast("int"))
-    grouped = rows.select(*keys, F.struct("order_no", "tie", "block").alias("r")).groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    return grouped.select(*keys, F.array_join(F.transform("rows", lambda r: r["block"]), "\n\n").alias("markdown"))
+    grouped = rows.select(*keys, F.struct("order_no", "tie", "glue", "block").alias("r")).groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    return grouped.select(*keys, F.col("rows")[0]["glue"].alias("glue"), joined(F.col("rows"), "block").alias("markdown"))
+
+
+def joined(rows: Column, text: str) -> Column:
+    """Texts of array<struct> with a blank line between them, or only a line end before those that are glued on."""
+    parts = F.transform(rows, lambda r, i: F.concat(F.when(i == 0, "").when(r["glue"], "\n").otherwise("\n\n"), r[text]))
+    return F.array_join(parts, "")
 
 
 def markdown(*relations: DataFrame) -> DataFrame:
     """doc_id and markdown: a document's blocks in order, one blank line between them and one line end at the end."""
-    rows = markdown_chunks(*relations).select("doc_id", F.struct("section", "unit_no", "chunk_no", "markdown").alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: r["markdown"]), "\n\n")
-    return rows.select("doc_id", F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n")).alias("markdown"))
+    rows = markdown_chunks(*relations).select("doc_id", F.struct("section", "unit_no", "zone", "chunk_no", "glue", "markdown").alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    return rows.select("doc_id", F.concat(F.regexp_replace(joined(F.col("rows"), "markdown"), r"\s+$", ""), F.lit("\n")).alias("markdown"))
 
 
 def _raw(column: str) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from paperloom.operators.manifest import output_directory
 from paperloom.options import Options
 from paperloom.plans.pipeline import Corpus
-from paperloom.sources import pdf
+from paperloom.sources import convert, pdf
 
 _WRITTEN = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.StringType()), ("path", T.StringType()), ("size", T.LongType()), ("sha256", T.StringType()), ("is_asset", T.BooleanType()))])
 
@@ -39,8 +39,10 @@ def put(root: str, relative: str, raw: bytes) -> None:
     os.replace(part, path)
 
 
-def payloads(kind: str, content: bytes, assets: list[dict], password: str | None) -> Iterator[tuple[str, bytes]]:
+def payloads(kind: str, content: bytes, assets: list[dict], password: str | None, timeout: int = 180) -> Iterator[tuple[str, bytes]]:
     """output_path and bytes of the declared assets whose hash still agrees."""
+    if kind in convert.TARGETS:  # a legacy file's assets are its modern form's
+        content = convert.libreoffice(content, kind, convert.TARGETS[kind], timeout)
     if kind == "pdf":
         found = pdf.payloads(content, password)
         members = {a["output_path"]: found.get(a["output_path"]) for a in assets}
@@ -54,9 +56,13 @@ def payloads(kind: str, content: bytes, assets: list[dict], password: str | None
             yield a["output_path"], raw
 
 
-def write_packages(corpus: Corpus, target: str, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """Writes every document's package; doc_id, path, size, sha256 and is_asset of each file."""
-    out = corpus.documents.select("doc_id", "filename", "sha256", "document_type", output_directory("doc_id").alias("directory"))
+def write_packages(corpus: Corpus, target: str, options: Options = Options(), flat: bool = False) -> DataFrame:  # noqa: B008
+    """Writes every document's package; doc_id, path, size, sha256 and is_asset of each file.
+
+    Each document has a directory under `target`; with `flat`, for a single file, `target` is it.
+    """
+    directory = F.lit(".") if flat else output_directory("doc_id")
+    out = corpus.documents.select("doc_id", "filename", "sha256", "document_type", directory.alias("directory"))
     none = F.lit(None).cast("string")
     if options.output_format in ("both", "json"):
         out = out.join(corpus.json(), "doc_id", "left")
@@ -89,7 +95,7 @@ def write_packages(corpus: Corpus, target: str, options: Options = Options()) ->
                 if r["markdown"] is not None:
                     save("document.md", r["markdown"].encode(), False)
                 if r["content"] is not None and r["assets"]:
-                    for path, raw in payloads(r["document_type"], r["content"], r["assets"], options.pdf_password):
+                    for path, raw in payloads(r["document_type"], r["content"], r["assets"], options.pdf_password, options.libreoffice_timeout):
                         save(path, raw, True)
                 counts = {k: v for k, v in json.loads(r["summary"] or "{}").items() if k != "doc_id"}
                 counts["assets_written"] = sum(d[4] for d in done)

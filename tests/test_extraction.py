@@ -206,7 +206,7 @@ def test_cli(tmp_path, capsys, spark):
     (tmp_path / "a.xlsx").write_bytes(fx.workbook())
     assert main(["doctor", "--json"]) == 0 and "pyspark" in capsys.readouterr().out
     assert main(["inspect", str(tmp_path / "a.xlsx")]) == 0 and "document_type=xlsx" in capsys.readouterr().out
-    assert main(["extract", str(tmp_path / "a.xlsx"), "-o", str(tmp_path / "out")]) == 0
+    assert main(["extract", str(tmp_path / "a.xlsx")]) == 0 and (tmp_path / "a_extracted/manifest.json").exists()
     assert main(["inspect", str(tmp_path / "none")]) == 3
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.xlsx").write_bytes(fx.workbook())
