@@ -33,6 +33,9 @@ WRITTEN = ("utf-8", "cp1252", "cp1251", "cp1256", "koi8_r", "cp866")
 #: Least gain in cost for a decoding to UTF-8 and for one between single-byte tables.
 GAIN_UTF8, GAIN_BYTES = 0.9, 2.4
 MAX_DEPTH, MAX_STATES = 3, 200
+#: Single-byte tables that are commonly taken for one another, as seen by written; other pairs cost UNUSUAL more.
+USUAL = {"cp1252": ("cp437", "cp1251", "cp850", "cp1250", "mac_roman"), "cp1251": ("cp1252", "latin-1", "koi8_r", "cp866"), "cp1256": ("cp1252", "latin-1"), "koi8_r": ("cp1251", "cp1252"), "cp866": ("cp1251", "cp1252")}
+UNUSUAL = 1.0
 
 # --- candidates ----------------------------------------------------------------------
 
@@ -118,12 +121,12 @@ _COST |= {c: 0.2 + 0.05 * i for i, c in enumerate(ARABIC)}
 _COST |= dict.fromkeys("àâáãäçéèêëíîïñóôõöùûúüßœ", 0.45)
 _COST |= dict.fromkeys("ÀÂÁÃÄÇÉÈÊËÍÎÏÑÓÔÕÖÙÛÚÜŒ", 1.0)
 _COST |= dict.fromkeys("°€’‘“”„«»–—…•½²³¹·−º¿¡ ", 0.5) | dict.fromkeys("§№™©®\xa0", 1.0)
-_COST |= dict.fromkeys("،؛؟", 0.4)
+_COST |= dict.fromkeys("،؛؟", 0.4) | dict.fromkeys("€°’", 0.3)
 _COST |= {chr(c): 8.0 for c in range(0x80, 0xA0)} | {"�": 8.0}
 _COST |= {chr(c): 4.0 for c in range(0x2500, 0x25A0)}
 _COST |= {chr(c): 4.0 for c in (*range(0x402, 0x410), *range(0x452, 0x460), 0x490, 0x491)}
 #: Letters drawn alike in Latin, Cyrillic and Greek; written for one another they are no decoding damage.
-ALIKE = frozenset("aceopxsijyABCEHKMOPTXSIJYvnNZ" + "асеорхѕіјАВСЕНКМОРТХЅІЈУ" + "οναΑΒΕΖΗΙΚΜΝΟΡΤΥΧ") - {"α"}
+ALIKE = frozenset("aceopxsijyABCEHKMOPTXSIJYvnNZ" + "асеорхуѕіјАВСЕНКМОРТХЅІЈУ" + "οναΑΒΕΖΗΙΚΜΝΟΡΤΥΧ") - {"α"}
 _COST |= dict.fromkeys("ѕіјЅІЈ" + "ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", 0.6)
 _COST |= dict.fromkeys("​‌‍⁠﻿\xad", 0.5) | {chr(c): 3.0 for c in range(0x300, 0x370)}
 _COST |= dict.fromkeys("\u0300\u0301\u0302\u0303\u0306\u0308\u0327\u0653\u0654\u0655", 0.6)
@@ -153,6 +156,8 @@ def _script(c: str) -> str:
 
 
 _AS_CYRILLIC = str.maketrans("aceopxyABCEHKMOPTX", "асеорхуАВСЕНКМОРТХ")
+#: у is drawn like y, but y hardly stands here; ó of cp1252 read as cp1251 does.
+_NO_Y = re.compile("iу|lу(?=[a-z])|cуp")
 _CYRILLIC_WORD = re.compile("[А-Яа-яЁё]{3,}")
 _RUSSIAN_NEVER = re.compile("(?<![бвгджзйклмнпрстфхцчшщ])[ъьЪЬ]|ъ(?![еёюя])|(?<![аеёиоуыэюя])й|^ы|[бвгджзйклмнпрстфхцчшщьъ]{5}|ыы|[аеёиоуыэюя]{4}")
 _RUSSIAN_VOWEL = re.compile("[аеёиоуыэюя]")
@@ -197,7 +202,7 @@ def cost(text: str) -> float:
         before = bool(s)
     if "C" in own:
         total += russian_oddness(text)
-    if "iу" in text:  # drawn like y, which hardly follows an i; ó of cp1252 read as cp1251
+    if _NO_Y.search(text):
         total += FOREIGN
     if len(own) > 1:
         total += FOREIGN * (sum(own.values()) - max(own.values()))
@@ -221,21 +226,24 @@ def edges(text: str, written_in: tuple[str, ...] = WRITTEN) -> Iterator[tuple[st
 def search(token: str, written_in: tuple[str, ...] = WRITTEN) -> tuple[str, tuple[str, ...]]:
     """The cheapest text reachable from `token` and the steps to it; no steps where nothing is gained."""
     best, best_cost, best_path = token, cost(token), ()
-    queue: list[tuple[float, int, str, tuple[str, ...]]] = [(best_cost, 0, token, ())]
+    queue: list[tuple[float, int, str, tuple[str, ...], float]] = [(best_cost, 0, token, (), best_cost)]
     seen, n = {hash(token)}, 0
     while queue and n < MAX_STATES:
-        c, _, text, path = heapq.heappop(queue)
+        priced, _, text, path, c = heapq.heappop(queue)
         n += 1
-        if c < best_cost:
-            best, best_cost, best_path = text, c, path
-            if not c:
+        if priced < best_cost:
+            best, best_cost, best_path = text, priced, path
+            if not priced:
                 break
         if len(path) == MAX_DEPTH:
             continue
         for op, out, gain in edges(text, written_in):
             if (h := hash(out)) not in seen and c - (x := cost(out)) >= gain:
-                seen.add(h)
-                heapq.heappush(queue, (x, len(seen), out, (*path, op)))
+                shown, _, real = op.partition(">")
+                odd = UNUSUAL if gain == GAIN_BYTES and shown not in USUAL.get(real, ()) else 0.0
+                if not odd:
+                    seen.add(h)
+                heapq.heappush(queue, (priced - c + x + odd, len(queue) + n * 1000, out, (*path, op), x))
     if not best_path and len(written_in) > 1 and not token.isascii():  # damage beside sound characters: each run of its own
         parts, steps = [], ()
         for m in _RUNS.finditer(token):
@@ -251,7 +259,8 @@ def search(token: str, written_in: tuple[str, ...] = WRITTEN) -> tuple[str, tupl
 
 _RUNS = re.compile("[^\x00-\x7f]+|[\x00-\x7f]+")
 _LOST = re.compile("[\x80-\x9f�]")
-_TOKEN = re.compile("[^ \n\t\r]+")
+#: A token; a scanner's broken hyphen at a line's end isn't part of it.
+_TOKEN = re.compile("[^ \n\t\r]+?(?=(?<=[a-zß-öø-ÿ])¬(?![^ \n\t\r])|[ \n\t\r]|$)|[^ \n\t\r]+")
 
 
 def repair_text(text: str) -> tuple[str, bool, str]:
