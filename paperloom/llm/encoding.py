@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 SEEN = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1256", "cp437", "mac_roman", "koi8_r", "cp866", "cp850")
 WRITTEN = ("utf-8", "cp1252", "cp1251", "cp1256", "koi8_r", "cp866")
 #: Least gain in cost for a decoding to UTF-8 and for one between single-byte tables.
-GAIN_UTF8, GAIN_BYTES = 0.9, 2.4
+GAIN_UTF8, GAIN_BYTES = 0.6, 2.4
 MAX_DEPTH, MAX_STATES = 3, 200
 #: Single-byte tables that are commonly taken for one another, as seen by written; other pairs cost UNUSUAL more.
 USUAL = {"cp1252": ("cp437", "cp1251", "cp850", "cp1250", "mac_roman"), "cp1251": ("cp1252", "latin-1", "koi8_r", "cp866"), "cp1256": ("cp1252", "latin-1"), "koi8_r": ("cp1251", "cp1252"), "cp866": ("cp1251", "cp1252")}
@@ -121,7 +121,7 @@ _COST |= {c: 0.2 + 0.05 * i for i, c in enumerate(ARABIC)}
 _COST |= dict.fromkeys("àâáãäçéèêëíîïñóôõöùûúüßœ", 0.45)
 _COST |= dict.fromkeys("ÀÂÁÃÄÇÉÈÊËÍÎÏÑÓÔÕÖÙÛÚÜŒ", 1.0)
 _COST |= dict.fromkeys("°€’‘“”„«»–—…•½²³¹·−º¿¡ ", 0.5) | dict.fromkeys("§№™©®\xa0", 1.0)
-_COST |= dict.fromkeys("،؛؟", 0.4) | dict.fromkeys("€°’", 0.3)
+_COST |= dict.fromkeys("،؛؟", 0.4)
 _COST |= {chr(c): 8.0 for c in range(0x80, 0xA0)} | {"�": 8.0}
 _COST |= {chr(c): 4.0 for c in range(0x2500, 0x25A0)}
 _COST |= {chr(c): 4.0 for c in (*range(0x402, 0x410), *range(0x452, 0x460), 0x490, 0x491)}
@@ -176,7 +176,7 @@ def cost(text: str) -> float:
     """Implausibility of a token: its characters, runs of accented letters, odd case, signs and scripts mixed inside a word."""
     total, run, before, lower = 0.0, 0, False, False
     own: dict[str, int] = {}
-    capitals = text.isupper()
+    capitals = text.isupper() and sum(map(str.isalpha, text)) > 1
     for i, c in enumerate(text):
         s = _script(c)
         total += char_cost(c) - (0.25 if capitals and s == "C" else 0.0)
