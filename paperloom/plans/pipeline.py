@@ -50,8 +50,10 @@ def corpus(content: DataFrame, options: Options = Options(), registry: extract.R
     With `store`, the found rows are written there once and every relation reads them; without it each
     relation scans and parses the files anew, which is only right for small corpora and tests.
     """
-    detected = files.detect(content, options)
-    good, rejected = files.guard(detected, options)
+    # the size filter reaches the scan, so a file beyond the limit is never read; its reject comes from path and length
+    fits, large = files.by_size(content, options)
+    good, rejected = files.guard(files.detect(fits, options), options)
+    rejected = rejected.unionByName(large)
     found = extract.found_rows(good, options, registry)
     if store:
         found.write.mode("overwrite").partitionBy("relation").parquet(store)

@@ -84,6 +84,12 @@ def detect(files: DataFrame, options: Options = Options()) -> DataFrame:  # noqa
     )
 
 
+def by_size(files: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """(files within the size limit, rejects of the others); the rejects' scan reads no content."""
+    reject = [F.lit("InvalidInputFileError").alias("error_type"), F.lit("the file is larger than the limit").alias("error")]
+    return files.where(F.col("length") <= options.max_file_size), files.where(F.col("length") > options.max_file_size).select("path", *reject)
+
+
 def guard(detected: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(files that may be parsed, rejects(path, error_type, error)) by size, encryption, archive limits and type."""
     kind = F.col("detected.document_type")

@@ -129,6 +129,15 @@ def test_limits(spark, tree):
         assert good.count() == 0 and bad.first().error_type == "InvalidInputFileError"
 
 
+def test_large_files_are_never_read(spark, tree):
+    fits, large = files.by_size(files.scan(spark, str(tree)), Options(max_file_size=500))
+    assert "LessThanOrEqual(length,500)" in fits._jdf.queryExecution().toString()
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema:")[1] and large.count() == 5
+    c = corpus(files.scan(spark, str(tree)), Options(max_file_size=500))
+    assert c.rejects.where("error_type = 'InvalidInputFileError'").count() == 5
+
+
 def test_batch(spark, tree, tmp_path):
     c = corpus(files.scan(spark, str(tree)), store=str(tmp_path / "rows"))
     batch = {os.path.basename(r.source): r for r in c.batch().collect()}
