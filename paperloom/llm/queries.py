@@ -51,7 +51,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return language.language_found(table(spark, d, "canonical_docs"), table(spark, d, "elements"), table(spark, d, "documents"))
 
 
-@query("p9_found")
+#: Every window of twelve words of an item, looked up in every document.
+_LEAKS_SQL = r"""WITH n AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(nfc_normalize(regexp_replace(text, '[\x{ad}\x{34f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{fe0e}\x{fe0f}\x{feff}]', '', 'g'))), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL),
+ i AS (SELECT item_id, string_split(trim(regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM eval_items),
+ p AS (SELECT DISTINCT item_id, ' ' || array_to_string(w[k : k + 11], ' ') || ' ' AS s FROM i, unnest(range(1, len(w) - 10)) AS r(k))
+ SELECT DISTINCT doc_id, item_id FROM n JOIN p ON contains(n.t, p.s)"""
+
+
+@query("p9_found", _LEAKS_SQL)
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -61,14 +68,32 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-@query("p10_found")
+#: Every stretch of 240 characters of every document.
+_SHARED_SQL = """WITH g AS (SELECT DISTINCT doc_id, hash(substr(text, k, 240)) AS h FROM documents, unnest(range(1, length(text) - 238)) AS r(k) WHERE length(text) >= 240),
+ s AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1), m AS (SELECT g.* FROM g SEMI JOIN s ON g.h = s.h)
+ SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id"""
+
+
+@query("p10_found", _SHARED_SQL)
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared.shared_pairs(table(spark, d, "documents"))
 
 
-@query("p10_lines")
+_LINE_SPANS_SQL = """WITH l AS (SELECT doc_id, u.line AS line, length(u.line) AS n, sum(length(u.line) + 1) OVER (PARTITION BY doc_id ORDER BY u.pos ROWS UNBOUNDED PRECEDING) - length(u.line) - 1 AS start
+  FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, pos) WHERE text IS NOT NULL),
+ f AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, start) AS nth FROM l WHERE n >= 40)
+ SELECT doc_id, CAST(start AS BIGINT) AS start_char, CAST(start + n AS BIGINT) AS end_char FROM f WHERE nth > 1"""
+
+
+@query("p10_line_spans", _LINE_SPANS_SQL)
+def p10_line_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = shared.shared_lines(table(spark, d, "documents")).select("doc_id", F.explode("spans").alias("s"))
+    return spans.select("doc_id", F.col("s.start").cast("long").alias("start_char"), F.col("s.end").cast("long").alias("end_char"))
+
+
+@query("p10_lines", f"SELECT d.doc_id, length(d.text) AS chars, CAST(coalesce(s.n, 0) AS BIGINT) AS shared_chars FROM documents d LEFT JOIN (SELECT doc_id, sum(end_char - start_char) AS n FROM ({_LINE_SPANS_SQL}) GROUP BY 1) s ON s.doc_id = d.doc_id WHERE d.text IS NOT NULL")
 def p10_lines(spark: SparkSession, d: str) -> DataFrame:
-    return shared.shared_lines(table(spark, d, "documents"))
+    return shared.shared_lines(table(spark, d, "documents")).drop("spans")
 
 
 @query("p1_found", "SELECT DISTINCT elem_no FROM elements WHERE length(text) > 2000")
