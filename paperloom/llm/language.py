@@ -53,8 +53,8 @@ PROSE = ("heading", "paragraph", "list", "note", "table", "cell")
 #: Bound of the labelled sample: documents of each language, and the characters read of all of one document.
 SAMPLE_DOCS = 300
 LEAST_WORDS = 5
-#: Log odds under which a line is left to its element.
-LEAST_MARGIN = 2.0
+#: Log odds under which a line is left to its element; a sentence of five known words has far more.
+LEAST_MARGIN = 8.0
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
