@@ -39,7 +39,9 @@ HYPHENS = "\u2010\u2011\ufe63\uff0d"
 _TO_LATIN = str.maketrans(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)
 _TO_CYRILLIC = str.maketrans(CYRILLIC_AS + GREEK, CYRILLIC + "".join(CYRILLIC[CYRILLIC_AS.index(c)] if c in CYRILLIC_AS else c for c in GREEK_AS))
 _TO_GREEK = str.maketrans(GREEK_AS.replace("a", "", 1) + CYRILLIC, GREEK.replace("α", "", 1) + "".join(GREEK[GREEK_AS.index(c)] if c in GREEK_AS else c for c in CYRILLIC_AS))
-_LATIN_DOUBLES = frozenset(CYRILLIC_AS + GREEK_AS)
+#: Doubles so rare that they tell of a Latin word.
+_RARE = frozenset("ԁԛһ")
+_LATIN_DOUBLES = frozenset(CYRILLIC_AS + GREEK_AS) - frozenset("dqh")
 _DOUBLES = frozenset(CYRILLIC + GREEK)
 
 
@@ -74,6 +76,8 @@ def _word(word: str) -> tuple[str, str]:
             latin += c.isalpha() and c not in _LATIN_DOUBLES
         elif c < "\u0370":
             continue
+        elif c in _RARE:
+            latin += 1
         elif c not in _DOUBLES:
             cyrillic += c >= "\u0400"
             greek += c < "\u0400"
@@ -96,7 +100,9 @@ def canonical_text(text: str) -> str:
         out, at = [], 0
         for s, e, script, word in parts:
             if not script and table:
-                word = unicodedata.normalize("NFC", unicodedata.normalize("NFD", word).translate(table))
+                other = unicodedata.normalize("NFD", word).translate(table)
+                if not _LATIN_LETTER.search(other):  # all of its letters have doubles there
+                    word = unicodedata.normalize("NFC", other)
             out += [text[at:s], word]
             at = e
         text = "".join([*out, text[at:]])
