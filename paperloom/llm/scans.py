@@ -440,7 +440,10 @@ def reflow(text: str, gone: list[int], after: dict | None, joined: dict[int, str
     """A page as paragraphs; a word broken over the page's end stays whole on the page where it starts."""
     page = Page(text, gone, after)
     paragraphs: list[str] = []
-    current, glue, drop = "", False, rest_first
+    current, glue = "", False
+    full = [i for i, x in page.body if x.strip()]
+    behind = dict(zip(full, full[1:], strict=False))
+    drop = set(full[:1]) if rest_first else set()  # lines whose first word is the rest of a word before
     for i, line in page.body:
         x = line.strip()
         if not x:
@@ -448,17 +451,19 @@ def reflow(text: str, gone: list[int], after: dict | None, joined: dict[int, str
                 paragraphs.append(current)
                 current = ""
             continue
-        if drop:  # its first word is the rest of the word before
-            x = _STARTS.sub("", x, count=1).lstrip() if not glue else x
-            drop = False
+        if i in drop:
+            x = _STARTS.sub("", x, count=1).lstrip()
         current = current + x if glue or not current else f"{current} {x}"
         glue = False
         if i in joined:
             current = current.rstrip(MARKS)
-            if page.next[i][1] is None:
+            line_no, elem_no, _ = page.next[i]
+            if elem_no is None and behind.get(i) == line_no:
                 glue = True
-            else:
+            else:  # the rest stands on the next page or behind a table's rest
                 current += joined[i]
+                if elem_no is None:
+                    drop.add(line_no)
         elif current[-1:] in MARKS and i in page.next:
             glue = True
     if current:

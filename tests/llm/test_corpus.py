@@ -208,6 +208,13 @@ def test_scan_noise(spark):
     assert scans.scan_noise(docs.limit(0), elements.limit(0)).count() == 0
 
 
+def test_reflow_around_a_table_rest():
+    text = "the reviewer keeps the guar\xad\npeso neto 69\ndada copy\n\nnew para-\ngraph half-\nempty"
+    assert scans.reflow(text, [], None, {1: "dada", 5: "graph"}, False, {"copy": "copies"}) == "the reviewer keeps the guardada peso neto 69 copies\n\nnew paragraph half-empty"
+    assert scans.reflow("rest of it\nmore wo-", [], {"line_no": 1, "elem_no": 2, "line": "rds here"}, {2: "rds"}, True, {}) == "of it more words"
+    assert scans.reflow("", [], None, {}, False, {}) == ""
+
+
 def test_page_numbers_in_all_shapes():
     for line, n in [("[18]", 18), ("· 22 ·", 22), ("- 5 -", 5), ("39", 39), ("Página 36", 36), ("2 / 9", 2), ("4O", 40), ("· 5I ·", 51), ("iii", 3), ("lv", 4)]:
         assert scans.line_kind(line, n)[0] == "page_number", line
