@@ -46,6 +46,15 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(once).select("elem_no", "canonical", (F.col("text") != F.col("canonical")).alias("changed"))
 
 
+_NAME_SQL = "lower(regexp_extract(trim(coalesce(p->'word'->'core_properties'->>'language', p->'workbook'->'core_properties'->>'language', p->'powerpoint'->'core_properties'->>'language', p->'pdf'->'metadata'->>'$.\"/Lang\"')), '^([^\\s_-]*)', 1))"
+_LABEL_SQL = "CASE " + " ".join(f"WHEN name IN ({', '.join(repr(n) for n in names.split())}) THEN '{lang}'" for lang, names in language.NAMES.items()) + " END"
+
+
+@query("p6_labels", f"SELECT DISTINCT doc_id, {_LABEL_SQL} AS label FROM (SELECT doc_id, {_NAME_SQL} AS name FROM (SELECT doc_id, TRY_CAST(properties AS JSON) AS p FROM canonical_docs WHERE doc_id IS NOT NULL))")
+def p6_labels(spark: SparkSession, d: str) -> DataFrame:
+    return language.labels(table(spark, d, "canonical_docs")).select("doc_id", "label")
+
+
 @query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return language.language_found(table(spark, d, "canonical_docs"), table(spark, d, "elements"), table(spark, d, "documents"))
