@@ -35,6 +35,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.drift_report(table(spark, d, "canonical_docs"), table(spark, d, "elements"))
 
 
+_VERSION_SQL = "array_to_string(list_transform(string_split(regexp_replace(trim(schema_version), '^[vV]?\\s*', ''), '.'), lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), '.')"
+
+
+@query(
+    "p2_fields",
+    f"""WITH d AS (SELECT DISTINCT doc_id, extractor, {_VERSION_SQL} AS schema_version FROM canonical_docs WHERE regexp_matches(regexp_replace(trim(schema_version), '^[vV]?\\s*', ''), '^[0-9]+(\\.[0-9]+)*$') AND extractor IS NOT NULL),
+      e AS (SELECT doc_id, TRY_CAST(data AS JSON) AS j FROM elements), t AS (SELECT e.doc_id, replace(substr(x.fullkey, 3), '"', '') AS field_path, x.type FROM e, json_tree(e.j) AS x WHERE json_type(e.j) = 'OBJECT' AND x.fullkey NOT LIKE '%[%' AND x.fullkey <> '$')
+    SELECT d.extractor, d.schema_version, t.field_path, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS json_type, count(*) AS elements
+    FROM t JOIN d ON d.doc_id = t.doc_id WHERE t.type NOT IN ('NULL', 'OBJECT') GROUP BY 1, 2, 3, 4""",
+)
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    found = drift.catalogue(table(spark, d, "canonical_docs"), table(spark, d, "elements"))
+    return found.select("extractor", "schema_version", "field_path", "json_type", F.col("elements").cast("long").alias("elements"))
+
+
 @query("p2_unified")
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unify(table(spark, d, "canonical_docs"), table(spark, d, "elements"))
