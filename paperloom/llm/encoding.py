@@ -268,7 +268,8 @@ def repair_text(text: str) -> tuple[str, bool, str]:
     if not _SUSPICIOUS.search(text):
         return text, False, ""
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text) if not m.group().isascii() or "&" in m.group()]
-    found = {i: r for i, (_, _, t) in enumerate(tokens) if (r := search(t))[1]}
+    # long tokens hardly recur and would fill the memory of the cache
+    found = {i: r for i, (_, _, t) in enumerate(tokens) if (r := search(t) if len(t) <= 200 else search.__wrapped__(t))[1]}
     damaged = bool(found) or bool(_LOST.search(text))
     if not damaged or not found:
         return text, damaged, ""

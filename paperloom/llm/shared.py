@@ -39,7 +39,8 @@ SMALL_GROUP = 64
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_CHUNK = 1 << 16
+#: Places of a text that are digested at once.
+_BLOCK = 1 << 18
 
 
 def _mix(a: np.ndarray) -> np.ndarray:
@@ -54,7 +55,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n - 1).bit_length())
+    size = 1 << max(12, int(n - 1).bit_length())  # texts come in blocks, so there are few sizes
     if size not in _POWERS:
         _POWERS[size] = np.cumprod(np.full(size, _B)), np.cumprod(np.full(size, _B_INV))
     up, down = _POWERS[size]
@@ -96,6 +97,23 @@ def places(digest: np.ndarray, among: int) -> np.ndarray:
     return np.unique(best)
 
 
+def chosen(text: str, least: int, unit: int, block: int = _BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(digests, places) of the chosen units of a text of any length, block by block.
+
+    Blocks overlap by one stretch, so each row of neighbouring places lies in one of them whole, and the
+    union of the blocks' choices is the whole text's choice.
+    """
+    code = codes(text)
+    digests, at = [], []
+    for start in range(0, max(1, len(code) - least + 1), block):
+        d = grams(code[start : start + block + least - 1], unit)
+        p = places(d, least - unit + 1)
+        digests.append(d[p])
+        at.append(p + start)
+    p, first = np.unique(np.concatenate(at), return_index=True)
+    return np.concatenate(digests)[first], p
+
+
 _UNITS = T.StructType([T.StructField("digest", T.LongType()), T.StructField("record", T.LongType()), T.StructField("pos", T.IntegerType())])
 
 
@@ -106,9 +124,8 @@ def units(docs: DataFrame, least: int = LEAST, unit: int = UNIT) -> DataFrame:
         for b in batches:
             digests, records, positions = [], [], []
             for record, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                d = grams(codes(text), unit)
-                p = places(d, least - unit + 1)
-                digests.append(d[p])
+                d, p = chosen(text, least, unit)
+                digests.append(d)
                 positions.append(p)
                 records.append(np.full(len(p), record, dtype=np.int64))
             if digests:
@@ -137,13 +154,11 @@ def _around(docs: DataFrame, wanted: DataFrame, least: int, unit: int) -> DataFr
         for b in batches:
             rows = []
             for record, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                all_grams = None
                 for x in at:
                     p = x["pos"]
                     if x["large"]:
-                        if all_grams is None:
-                            all_grams = grams(codes(text), least).view(np.int64)
-                        rows.append((x["digest"], record, p, None, None, all_grams[max(0, p - side) : p + 1].tolist()))
+                        around = grams(codes(text[max(0, p - side) : p + least]), least).view(np.int64)
+                        rows.append((x["digest"], record, p, None, None, around.tolist()))
                     else:
                         rows.append((x["digest"], record, p, text[max(0, p - side) : p][::-1], text[p + unit : p + unit + side], None))
             yield pa.RecordBatch.from_pylist([dict(zip(_AROUND.names, r, strict=True)) for r in rows], schema=_ARROW)

@@ -149,6 +149,16 @@ def test_places_are_covered():
             assert max(b - a for a, b in zip(ends, ends[1:], strict=False)) <= 31
 
 
+@pytest.mark.parametrize("block", [1, 7, 100, 1000])
+def test_blocks_choose_as_the_whole(block):
+    r = random.Random(8)
+    for n in (0, 1, 239, 240, 241, 700, 1500):
+        t = random_text(r, n)
+        whole = shared.places(shared.grams(shared.codes(t), 128), 113)
+        d, p = shared.chosen(t, 240, 128, block)
+        assert p.tolist() == whole.tolist() and d.tolist() == shared.grams(shared.codes(t), 128)[whole].tolist()
+
+
 @pytest.mark.parametrize("small", [64, 1])
 def test_pairs_against_brute_force(spark, small, monkeypatch):
     r = random.Random(7)
