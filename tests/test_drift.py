@@ -16,7 +16,7 @@ def tables(spark, versions):
 
 def report(spark, versions):
     docs, elements = tables(spark, versions)
-    return {(r.schema_version, r.change_kind, r.field_path, r.new_path) for r in drift.drift_report(docs, elements.drop("extractor")).collect()}
+    return {(r.schema_version, r.change_kind, r.field_path, r.new_path) for r in drift.drift_report(docs, elements).collect()}
 
 
 def test_changes(spark):
@@ -52,5 +52,5 @@ def test_unified_table(spark):
     old = [{"style": f"Heading {i % 3}", "size": i} for i in range(40)]
     new = [{"style_name": f"Heading {i % 3}", "size": str(i)} for i in range(40)]
     docs, elements = tables(spark, [("1.0", old), ("1.1", new)])
-    rows = drift.unify(docs, elements.drop("extractor")).collect()
+    rows = drift.unify(docs, elements).collect()
     assert len(rows) == 80 and {r.style_name for r in rows} == {"Heading 0", "Heading 1", "Heading 2"} and all(isinstance(r["size"], str) for r in rows)
