@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,23 @@ def cut(df: DataFrame) -> DataFrame:
 def exact_once(df: DataFrame, key: str) -> DataFrame:
     """One row per `key`; rows of one key are repeated deliveries that differ only in arrival."""
     return df.dropDuplicates([key])
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for a session; a local session needs no copy.
+
+    Executors that have it on their path already lose nothing by it.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_paperloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="paperloom-"), "paperloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("paperloom", os.path.relpath(full, root)))
+    sc.addPyFile(path)  # served by the driver
+    sc._paperloom_shipped = True
