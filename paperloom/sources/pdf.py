@@ -1,13 +1,14 @@
 """PDF files (F1-F14) by a small parser of objects, streams and text operators.
 
 Reads classic and compressed object storage, Flate with predictors, RC4 and AES-128 encryption. Gaps: OCR
-and layout models, AES-256, fonts without a Unicode map (their codes are read as Latin text).
+and layout models, AES-256, composite fonts without a Unicode map.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from typing import Any
 
@@ -487,13 +488,49 @@ def _unicode_map(data: bytes) -> tuple[dict[int, str], int]:
     return out, width
 
 
+#: Accents and signs in glyph names (fixed values).
+_ACCENTS = {"acute": "\u0301", "grave": "\u0300", "circumflex": "\u0302", "dieresis": "\u0308", "tilde": "\u0303", "cedilla": "\u0327", "caron": "\u030c", "ring": "\u030a"}
+_GLYPHS = {"space": " ", "hyphen": "-", "period": ".", "comma": ",", "colon": ":", "semicolon": ";", "germandbls": "ß", "quoteright": "’", "quoteleft": "‘", "quotedblleft": "“", "quotedblright": "”", "endash": "–", "emdash": "—", "bullet": "•", "Euro": "€", "fi": "fi", "fl": "fl", "parenleft": "(", "parenright": ")", "slash": "/", "ae": "æ", "oe": "œ"}
+_DIGIT_NAMES = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+
+
+def glyph(name: str) -> str | None:
+    """The character of a glyph name: letters by themselves, accented ones by rule, codes, and some signs."""
+    if len(name) == 1:
+        return name
+    if m := re.fullmatch(r"uni([0-9A-F]{4})|u([0-9A-F]{4,6})", name):
+        return chr(int(m.group(1) or m.group(2), 16))
+    if name[1:] in _ACCENTS and name[0].isalpha():
+        return unicodedata.normalize("NFC", name[0] + _ACCENTS[name[1:]])
+    return str(_DIGIT_NAMES.index(name)) if name in _DIGIT_NAMES else _GLYPHS.get(name)
+
+
+def _simple_encoding(pdf: Reader, font: dict) -> dict[int, str]:
+    """Codes of a font without a Unicode map, by its named encoding and its differences."""
+    e = pdf.get(font.get("Encoding"))
+    base = pdf.get(e.get("BaseEncoding")) if isinstance(e, dict) else e
+    codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
+    table = {b: bytes([b]).decode(codec, "replace") for b in range(128, 256)}
+    code = 0
+    for x in pdf.get(e.get("Differences")) or [] if isinstance(e, dict) else []:
+        if isinstance(x, Name):
+            c = glyph(x)
+            if c:
+                table[code] = c
+            code += 1
+        elif isinstance(x, int):
+            code = x
+    return table
+
+
 def page_text(pdf: Reader, page: dict) -> str:
     """Text of a page: pieces in drawing order, a new line where the position moves down."""
     resources = pdf.get(page.get("Resources")) or {}
     fonts: dict[str, tuple[dict[int, str], int]] = {}
     for name, f in (pdf.get(resources.get("Font")) or {}).items():
-        u = pdf.get((pdf.get(f) or {}).get("ToUnicode")) if isinstance(pdf.get(f), dict) else None
-        fonts[name] = _unicode_map(pdf.data(u)) if isinstance(u, Stream) else ({}, 1)
+        f = pdf.get(f)
+        u = pdf.get(f.get("ToUnicode")) if isinstance(f, dict) else None
+        fonts[name] = _unicode_map(pdf.data(u)) if isinstance(u, Stream) else (_simple_encoding(pdf, f) if isinstance(f, dict) else {}, 1)
     contents = pdf.get(page.get("Contents"))
     parts = [pdf.get(c) for c in contents] if isinstance(contents, list) else [contents]
     lex = Lexer(b"\n".join(pdf.data(s) for s in parts if isinstance(s, Stream)))

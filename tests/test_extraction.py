@@ -89,6 +89,30 @@ def test_pdf():
     assert b.properties["pdf"]["form_fields"]["field"]["value"] == "val" and [a["asset_type"] for a in b.assets] == ["pdf_image", "pdf_image"]
 
 
+def test_pdf_fonts():
+    raw = fx.pdf(pages=("caf\\351 \\200 \\001",)).replace(b"/BaseFont /Helvetica", b"/BaseFont /Helvetica /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [1 /ntilde] >>")
+    assert texts(pdf.extract(raw), "paragraph")[0].startswith("café € ñ")
+    assert [pdf.glyph(x) for x in ("A", "eacute", "uni0416", "seven", "germandbls", "nosuch")] == ["A", "é", "Ж", "7", "ß", None]
+
+
+def test_pdf_object_streams():
+    import re
+    import zlib
+
+    raw = fx.pdf()
+    moved = {int(m.group(1)): m.group(2) for m in re.finditer(rb"(?m)^(5|6|7|30) 0 obj\n(.*)\nendobj\n", raw)}
+    for n, body in moved.items():
+        raw = raw.replace(b"%d 0 obj\n" % n + body + b"\nendobj\n", b"")
+    heads, bodies = "", b""
+    for n, body in moved.items():
+        heads += f"{n} {len(bodies)} "
+        bodies += body + b" "
+    packed = zlib.compress(heads.encode() + bodies)
+    extra = b"50 0 obj\n<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (len(moved), len(heads), len(packed)) + packed + b"\nendstream\nendobj\n"
+    b = pdf.extract(raw.replace(b"trailer", extra + b"trailer"))
+    assert b.properties["pdf"]["outline"][0]["title"] == "Chapter" and b.properties["pdf"]["form_fields"]["field"]["value"] == "val"
+
+
 def test_pdf_without_text_is_reported():
     b = pdf.extract(fx.pdf(pages=("",)).replace(b"line two", b""))
     assert any(w["code"] in ("pdf.possible_scanned_document", "pdf.docling.unavailable") for w in b.warnings)
