@@ -7,22 +7,22 @@ every executor sees.
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import os
 import posixpath
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.operators.manifest import output_directory
 from paperloom.options import Options
 from paperloom.plans.pipeline import Corpus
+from paperloom.runtime import cut
 from paperloom.sources import convert, pdf
+from paperloom.sources.office import Built, Package, Unreadable, collect_assets
 
 _WRITTEN = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.StringType()), ("path", T.StringType()), ("size", T.LongType()), ("sha256", T.StringType()), ("is_asset", T.BooleanType()))])
 
@@ -39,75 +39,98 @@ def put(root: str, relative: str, raw: bytes) -> None:
     os.replace(part, path)
 
 
-def payloads(kind: str, content: bytes, assets: list[dict], password: str | None, timeout: int = 180) -> Iterator[tuple[str, bytes]]:
-    """output_path and bytes of the declared assets whose hash still agrees."""
+def payloads(kind: str, content: bytes, password: str | None, timeout: int = 180) -> Iterator[tuple[str, bytes]]:
+    """output_path and bytes of a file's assets, named and numbered as its extractor declares them."""
     if kind in convert.TARGETS:  # a legacy file's assets are its modern form's
-        content = convert.libreoffice(content, kind, convert.TARGETS[kind], timeout)
+        content, kind = convert.libreoffice(content, kind, convert.TARGETS[kind], timeout), convert.TARGETS[kind]
     if kind == "pdf":
-        found = pdf.payloads(content, password)
-        members = {a["output_path"]: found.get(a["output_path"]) for a in assets}
-    else:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            known = set(z.namelist())
-            members = {a["output_path"]: z.read(a["archive_part"]) if a["archive_part"] in known else None for a in assets}
-    for a in assets:
-        raw = members[a["output_path"]]
-        if raw is not None and hashlib.sha256(raw).hexdigest() == a["sha256"]:
+        yield from pdf.payloads(content, password).items()
+        return
+    package, built = Package(content), Built("")
+    collect_assets(package, kind.replace("m", "x") if kind.endswith("m") else kind, built)
+    for a in built.assets:
+        raw = package.read(a["source"]["archive_part"])
+        if hashlib.sha256(raw).hexdigest() == a["sha256"]:
             yield a["output_path"], raw
 
 
+def _directory(flat: bool) -> Column:
+    return F.lit(".") if flat else output_directory("doc_id")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_WRITTEN.names, r, strict=True)) for r in rows], schema=_ARROW)
+
+
+def write_assets(corpus: Corpus, target: str, options: Options = Options(), flat: bool = False) -> DataFrame:  # noqa: B008
+    """Writes the assets where their file is read, so that no file's bytes are shuffled."""
+    files = corpus.files.select(F.col("path").alias("doc_id"), "document_type", "content").withColumn("directory", _directory(flat))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done: list[tuple] = []
+            for doc, kind, content, directory in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                try:
+                    for path, raw in payloads(kind, content, options.pdf_password, options.libreoffice_timeout):
+                        put(os.path.join(target, directory), path, raw)
+                        done.append((doc, path, len(raw), hashlib.sha256(raw).hexdigest(), True))
+                except (Unreadable, convert.ToolMissing, ValueError, KeyError, TypeError, EOFError):
+                    continue  # a file that can't be parsed is a reject already; the manifest counts what is missing
+            yield _batch(done)
+
+    return files.mapInArrow(run, _WRITTEN)
+
+
+def write_texts(corpus: Corpus, target: str, options: Options = Options(), flat: bool = False) -> DataFrame:  # noqa: B008
+    """Writes document.json and document.md."""
+    out = corpus.documents.select("doc_id", _directory(flat).alias("directory"))
+    none = F.lit(None).cast("string")
+    out = out.join(corpus.json(), "doc_id", "left") if options.output_format in ("both", "json") else out.withColumn("json", none)
+    out = out.join(corpus.markdown(), "doc_id", "left") if options.output_format in ("both", "markdown") else out.withColumn("markdown", none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done: list[tuple] = []
+            for doc, directory, tree, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                made = {}
+                if tree is not None:
+                    made["document.json"] = (json.dumps(json.loads(tree), ensure_ascii=False, indent=options.json_indent) + "\n").encode()
+                if text is not None:
+                    made["document.md"] = text.encode()
+                for path, raw in made.items():
+                    put(os.path.join(target, directory), path, raw)
+                    done.append((doc, path, len(raw), hashlib.sha256(raw).hexdigest(), False))
+            yield _batch(done)
+
+    return out.select("doc_id", "directory", "json", "markdown").mapInArrow(run, _WRITTEN)
+
+
 def write_packages(corpus: Corpus, target: str, options: Options = Options(), flat: bool = False) -> DataFrame:  # noqa: B008
-    """Writes every document's package; doc_id, path, size, sha256 and is_asset of each file.
+    """Writes every document's package; doc_id, path, size, sha256 and is_asset of each file but the manifests.
 
-    Each document has a directory under `target`; with `flat`, for a single file, `target` is it.
+    Each document has a directory under `target`; with `flat`, for a single file, `target` is it. What was
+    written is checkpointed, so that the manifests are made from it and no file is written again for them.
     """
-    directory = F.lit(".") if flat else output_directory("doc_id")
-    out = corpus.documents.select("doc_id", "filename", "sha256", "document_type", directory.alias("directory"))
-    none = F.lit(None).cast("string")
-    if options.output_format in ("both", "json"):
-        out = out.join(corpus.json(), "doc_id", "left")
-    else:
-        out = out.withColumn("json", none)
-    if options.output_format in ("both", "markdown"):
-        out = out.join(corpus.markdown(), "doc_id", "left")
-    else:
-        out = out.withColumn("markdown", none)
-    declared = corpus.assets.groupBy("doc_id").agg(F.collect_list(F.struct("output_path", "sha256", F.col("source.archive_part").alias("archive_part"))).alias("assets"))
-    out = out.join(corpus.summary().select("doc_id", F.to_json(F.struct("*")).alias("summary")), "doc_id", "left").join(declared, "doc_id", "left")
+    written = write_texts(corpus, target, options, flat)
     if options.extract_assets:
-        out = out.join(corpus.files.select(F.col("path").alias("doc_id"), "content"), "doc_id", "left")
-    else:
-        out = out.withColumn("content", F.lit(None).cast("binary"))
-    out = out.select("doc_id", "filename", "sha256", "document_type", "directory", "json", "markdown", "summary", "assets", "content")
+        written = written.unionByName(write_assets(corpus, target, options, flat).join(corpus.documents.select("doc_id"), "doc_id", "left_semi"))
+    written = cut(written)
+    listed = written.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("path", "size", "sha256"))).alias("files"), F.count_if("is_asset").alias("assets_written"))
+    counts = corpus.summary().drop("assets_written", "assets_failed")
+    out = corpus.documents.select("doc_id", "filename", "sha256", F.col("document_type").alias("type"), _directory(flat).alias("directory")).join(counts, "doc_id", "left").join(listed, "doc_id", "left")
+    done = F.coalesce("assets_written", F.lit(0))
+    names = [c for c in counts.columns if c != "doc_id"]
+    summary = F.struct(*names, done.alias("assets_written"), F.greatest(F.lit(0), F.col("assets") - done).alias("assets_failed"))
+    manifest = F.to_json(F.struct(F.lit("1.1").alias("schema_version"), F.struct("filename", "sha256", "type").alias("source"), summary.alias("summary"), F.coalesce("files", F.array()).alias("files")), {"ignoreNullFields": "false"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                root = os.path.join(target, r["directory"])
-                done: list[tuple] = []
-
-                def save(relative: str, raw: bytes, asset: bool, root: str = root, done: list = done, r: dict = r) -> None:
-                    put(root, relative, raw)
-                    done.append((r["doc_id"], relative, len(raw), hashlib.sha256(raw).hexdigest(), asset))
-
-                if r["json"] is not None:
-                    save("document.json", (json.dumps(json.loads(r["json"]), ensure_ascii=False, indent=options.json_indent) + "\n").encode(), False)
-                if r["markdown"] is not None:
-                    save("document.md", r["markdown"].encode(), False)
-                if r["content"] is not None and r["assets"]:
-                    for path, raw in payloads(r["document_type"], r["content"], r["assets"], options.pdf_password, options.libreoffice_timeout):
-                        save(path, raw, True)
-                counts = {k: v for k, v in json.loads(r["summary"] or "{}").items() if k != "doc_id"}
-                counts["assets_written"] = sum(d[4] for d in done)
-                counts["assets_failed"] = max(0, counts.get("assets", 0) - counts["assets_written"])
-                manifest = {
-                    "schema_version": "1.1", "source": {"filename": r["filename"], "sha256": r["sha256"], "type": r["document_type"]}, "summary": counts,
-                    "files": [{"path": d[1], "size": d[2], "sha256": d[3]} for d in sorted(done, key=lambda d: d[1])],
-                }
-                put(root, "manifest.json", (json.dumps(manifest, ensure_ascii=False, indent=options.json_indent) + "\n").encode())
-                yield pa.RecordBatch.from_pylist([dict(zip(_WRITTEN.names, d, strict=True)) for d in done], schema=_ARROW)
-
-    return out.mapInArrow(run, _WRITTEN)
+            for directory, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                put(os.path.join(target, directory), "manifest.json", (json.dumps(json.loads(text), ensure_ascii=False, indent=options.json_indent) + "\n").encode())
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["directory"])
+
+    out.select("directory", manifest.alias("manifest")).mapInArrow(run, "directory string").write.format("noop").mode("overwrite").save()
+    return written
 
 
 _ARROW = pa.schema([("doc_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("sha256", pa.string()), ("is_asset", pa.bool_())])
