@@ -9,8 +9,9 @@ sides decide (value-shape histograms, computed in one pass for the candidates on
 the alias table from which the casts of the unified table are generated.
 
 Defined results: null, unreadable or non-object data has no fields; an empty object has none either;
-null values don't make a field present; documents without a version take no part, versions are compared
-by their numeric components; repeated deliveries change nothing; further columns are ignored.
+null values don't make a field present; documents without a version take no part in the changes, but
+their elements are in the unified table, with a null version; versions are compared by their numeric
+components; repeated deliveries change nothing; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +47,14 @@ def producers(docs: DataFrame) -> DataFrame:
     )
 
 
+def origins(docs: DataFrame) -> DataFrame:
+    """doc_id, extractor and normalised version (null where there is none), once per document."""
+    key = version_key(F.col("schema_version"))
+    best = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(key.alias("version_key"), "extractor")).alias("o"))
+    version = F.array_join(F.col("o.version_key").cast("array<string>"), ".")
+    return best.select("doc_id", "o.extractor", F.when(version != "", version).alias("schema_version"), "o.version_key")
+
+
 # --- schemas of single values ------------------------------------------------------------------------
 
 _TYPES = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "ARRAY": "array", "OBJECT": "object"}
@@ -103,11 +112,15 @@ def leaves(schema: str) -> list[tuple[str, str]]:
     return [x for x in out if x[0]]
 
 
-def catalogue(docs: DataFrame, elements: DataFrame) -> DataFrame:
-    """extractor, schema_version, field_path, json_type, elements: which field has which type where."""
+def catalogue(docs: DataFrame, elements: DataFrame, every: bool = False) -> DataFrame:
+    """extractor, schema_version, field_path, json_type, elements: which field has which type where.
+
+    With `every`, documents without an extractor or a version count too, under null.
+    """
     shape = F.schema_of_variant(F.try_parse_json("data"))
     shapes = elements.select("doc_id", shape.alias("shape")).where(F.col("shape").startswith("OBJECT<")).groupBy("doc_id", "shape").agg(F.count("*").alias("n"))
-    per = shapes.join(producers(docs), "doc_id").groupBy("extractor", "schema_version", "version_key", "shape").agg(F.sum("n").alias("n"))
+    of = shapes.join(origins(docs), "doc_id", "left") if every else shapes.join(producers(docs), "doc_id")
+    per = of.groupBy("extractor", "schema_version", "version_key", "shape").agg(F.sum("n").alias("n"))
 
     def fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -280,19 +293,24 @@ def alias_table(changes: DataFrame) -> list[tuple[str, str, str]]:
 
 
 def unify(docs: DataFrame, elements: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """One table for all versions: elem_no, doc_id, extractor, schema_version and a column per field.
+    """One table of all elements: elem_no, doc_id, extractor, schema_version and a column per field.
 
-    Columns are named by the newest name of a field; a field whose JSON type changed is cast to the
+    extractor and schema_version are null where the document has none that can be read. Columns are
+    named by the newest name of a field, in documents without an extractor by any that reads it; a field whose JSON type changed is cast to the
     wider of its types (a text unless all are numbers or all booleans), never dropped.
     """
     changes = drift_report(docs, elements) if changes is None else changes
     newest = {(e, old): new for e, old, new in alias_table(changes)}
     sources: dict = defaultdict(set)
     types: dict = defaultdict(set)
-    for r in catalogue(docs, elements).select("extractor", "field_path", "json_type").distinct().collect():
-        name = newest.get((r.extractor, r.field_path), r.field_path)
-        sources[name].add(r.field_path)
-        types[name].add(r.json_type)
+    fields = catalogue(docs, elements, every=True).select("extractor", "field_path", "json_type").distinct().collect()
+    for r in sorted(fields, key=lambda r: r.extractor is None):
+        names = [newest.get((r.extractor, r.field_path), r.field_path)]
+        if r.extractor is None:
+            names = [n for n in sources if r.field_path in sources[n]] or names
+        for name in names:
+            sources[name].add(r.field_path)
+            types[name].add(r.json_type)
     sql = {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean"}
     columns = []
     for name in sorted(sources):
@@ -300,5 +318,5 @@ def unify(docs: DataFrame, elements: DataFrame, changes: DataFrame | None = None
         paths = sorted(sources[name], key=lambda p: (p != name, p))
         columns.append(F.coalesce(*(F.try_variant_get("__doc", json_path(p), kind) for p in paths)).alias(name.replace(".", "_")))
     once = elements.select("elem_no", "doc_id", "data").dropDuplicates(["elem_no"])
-    parsed = once.join(producers(docs).drop("version_key"), "doc_id").withColumn("__doc", F.try_parse_json("data"))
+    parsed = once.join(origins(docs).drop("version_key"), "doc_id", "left").withColumn("__doc", F.try_parse_json("data"))
     return parsed.select("elem_no", "doc_id", "extractor", "schema_version", *columns)

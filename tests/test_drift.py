@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from paperloom.operators import drift
 
 
@@ -54,3 +56,17 @@ def test_unified_table(spark):
     docs, elements = tables(spark, [("1.0", old), ("1.1", new)])
     rows = drift.unify(docs, elements).collect()
     assert len(rows) == 80 and {r.style_name for r in rows} == {"Heading 0", "Heading 1", "Heading 2"} and all(isinstance(r["size"], str) for r in rows)
+
+
+def test_unified_table_has_documents_without_a_version(spark):
+    old = [{"style": f"Heading {i % 3}", "size": i} for i in range(40)]
+    new = [{"style_name": f"Heading {i % 3}", "size": i} for i in range(40)]
+    odd = [{"style": "Heading 0", "size": "large", "own": 1}, None]
+    docs, elements = tables(spark, [("1.0", old), ("1.1", new), (None, odd), ("", odd), ("draft", odd), ("1.0", odd)])
+    docs = docs.withColumn("extractor", F.when(docs.doc_id != "d5", docs.extractor))
+    rows = drift.unify(docs.unionByName(docs), elements).collect()
+    assert len(rows) == len({r.elem_no for r in rows}) == 88
+    for d in ("d2", "d3", "d4", "d5"):
+        a, b = sorted((r for r in rows if r.doc_id == d), key=lambda r: r.elem_no)
+        assert (a.schema_version, a.style_name, a["size"], a.own, b.own) == ("1.0" if d == "d5" else None, "Heading 0", "large", 1.0, None)
+    assert "style" not in rows[0].asDict()
