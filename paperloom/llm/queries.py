@@ -88,6 +88,21 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared.shared_pairs(table(spark, d, "documents"))
 
 
+#: Every place of a stretch of 240 characters that another document holds too, places within reach of each other made one span.
+_RECORDS_SQL = """WITH g AS (SELECT doc_id, k, hash(substr(text, k, 240)) AS h FROM documents, unnest(range(1, length(text) - 238)) AS r(k) WHERE length(text) >= 240),
+ s AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+ m AS (SELECT doc_id, k, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS step FROM g SEMI JOIN s ON g.h = s.h),
+ i AS (SELECT doc_id, k, sum(CASE WHEN step <= 240 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM m),
+ x AS (SELECT doc_id, min(k) - 1 AS a, max(k) + 239 AS z FROM i GROUP BY doc_id, island),
+ p AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n, list([a, z] ORDER BY a) AS spans FROM x GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(length(d.text), 0) AS chars, coalesce(p.n, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN coalesce(p.n, 0) / length(d.text) ELSE 0.0::DOUBLE END AS shared_share, coalesce(p.spans, []) AS spans FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id"""
+
+
+@query("p10_records", _RECORDS_SQL)
+def p10_records(spark: SparkSession, d: str) -> DataFrame:
+    return shared.shared_spans(table(spark, d, "documents"))
+
+
 _LINE_SPANS_SQL = """WITH l AS (SELECT doc_id, u.line AS line, length(u.line) AS n, sum(length(u.line) + 1) OVER (PARTITION BY doc_id ORDER BY u.pos ROWS UNBOUNDED PRECEDING) - length(u.line) - 1 AS start
   FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, pos) WHERE text IS NOT NULL),
  f AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, start) AS nth FROM l WHERE n >= 40)

@@ -4,6 +4,8 @@ The method is unit hashing: texts are cut into units, unit digests are grouped g
 as first where its record comes first by rank (here the smallest id); elsewhere it is shared, with its
 offsets in the original text kept. Two kinds of unit are used.
 
+* `shared_spans` keeps where the stretches lie: the same candidates as of `shared_pairs`, whose verified
+  stretches are merged per record, in every record that holds them.
 * `shared_lines` takes lines as units: what a line-wise deduplication removes, and what it keeps.
 * A stretch of 240 characters need not hold a whole line, so `shared_pairs` takes units that every such
   stretch must hold: `UNIT` characters starting where a hash of the text at that place is least among
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from paperloom.runtime import cut
 
@@ -183,8 +186,8 @@ def record_key(text: str = "text"):  # noqa: ANN201
     return F.xxhash64(text)
 
 
-def shared_classes(documents: DataFrame, least: int = LEAST, unit: int = UNIT, small: int = SMALL_GROUP) -> tuple[DataFrame, DataFrame]:
-    """(record_a < record_b that share a stretch; doc_id and record of all documents), a record being a distinct text."""
+def _candidates(documents: DataFrame, least: int, unit: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """(what stands around each unit that several records hold; doc_id and record of all documents), a record being a distinct text."""
     long_enough = documents.where((F.length("text") >= least) & F.col("doc_id").isNotNull())
     docs = long_enough.select(record_key().alias("record"), "text")
     members = long_enough.select("doc_id", record_key().alias("record")).dropDuplicates()
@@ -193,7 +196,12 @@ def shared_classes(documents: DataFrame, least: int = LEAST, unit: int = UNIT, s
     groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min("record").alias("lo"), F.max("record").alias("hi")).where("lo <> hi")
     wanted = found.join(groups.select("digest", (F.col("n") > small).alias("large")), "digest").dropDuplicates(["digest", "record", "pos"])
     texts = docs.dropDuplicates(["record"])
-    around = cut(_around(texts, wanted, least, unit))
+    return cut(_around(texts, wanted, least, unit)), members
+
+
+def shared_classes(documents: DataFrame, least: int = LEAST, unit: int = UNIT, small: int = SMALL_GROUP) -> tuple[DataFrame, DataFrame]:
+    """(record_a < record_b that share a stretch; doc_id and record of all documents), a record being a distinct text."""
+    around, members = _candidates(documents, least, unit, small)
     few = around.where("stretches is null").select("digest", "record", "before", "after").dropDuplicates()
     other = few.select("digest", F.col("record").alias("record_b"), F.col("before").alias("before_b"), F.col("after").alias("after_b"))
     near = few.withColumnRenamed("record", "record_a").join(other, "digest").where("record_a < record_b")
@@ -214,6 +222,43 @@ def shared_pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return both.select(F.least("doc_a", "doc_b").alias("doc_id_a"), F.greatest("doc_a", "doc_b").alias("doc_id_b")).dropDuplicates()
 
 
+def _islands(spans: DataFrame) -> DataFrame:
+    """record, start and end of the spans of each record, overlapping and touching ones made one."""
+    of = W.partitionBy("record").orderBy("start", "end")
+    reached = F.max("end").over(of.rowsBetween(W.unboundedPreceding, -1))
+    marked = spans.withColumn("fresh", (reached.isNull() | (F.col("start") > reached)).cast("int")).withColumn("island", F.sum("fresh").over(of))
+    return marked.groupBy("record", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def shared_spans(documents: DataFrame, least: int = LEAST, unit: int = UNIT, small: int = SMALL_GROUP) -> DataFrame:
+    """doc_id, chars, shared_chars, shared_share and the spans [start, end] of stretches of `least` characters that another document holds too.
+
+    One row per document, 0 and no spans where nothing is shared; offsets count characters of the text as
+    stored, `end` not included. What a document repeats only within itself is not shared.
+    """
+    around, members = _candidates(documents, least, unit, small)
+    few = around.where("stretches is null").groupBy("digest", "record", "before", "after").agg(F.collect_list("pos").alias("at"))  # at most `small` places
+    a, b = (few.select("digest", *(F.col(c).alias(f"{c}_{x}") for c in ("record", "before", "after", "at"))) for x in "ab")
+    near = a.join(b, "digest").where("record_a < record_b").withColumn("left", _alike("before_a", "before_b")).withColumn("right", _alike("after_a", "after_b"))
+    near = near.where(F.col("left") + F.col("right") + unit >= least)
+    sides = near.select("left", "right", F.explode(F.array(*(F.struct(F.col(f"record_{x}").alias("record"), F.col(f"at_{x}").alias("at")) for x in "ab"))).alias("s")).select("s.record", "s.at", "left", "right").dropDuplicates()
+    close = sides.select("record", F.explode("at").alias("pos"), "left", "right").select("record", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + unit + F.col("right")).alias("end"))
+    first = F.greatest(F.col("pos") - (least - unit), F.lit(0))
+    stretch = around.where("stretches is not null").select("record", first.alias("first"), F.posexplode("stretches").alias("k", "stretch")).select("record", "stretch", (F.col("first") + F.col("k")).alias("start"))
+    several = stretch.groupBy("stretch").agg(F.min("record").alias("lo"), F.max("record").alias("hi")).where("lo <> hi")
+    far = stretch.join(several.select("stretch"), "stretch").select("record", "start", (F.col("start") + least).alias("end"))
+    rows = documents.where("doc_id is not null").select("doc_id", F.when(F.col("text").isNotNull(), record_key()).alias("record"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct("record", "chars")).alias("r")).select("doc_id", "r.*")
+    copied = members.groupBy("record").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("record")
+    whole = rows.join(copied, "record").select("record", F.lit(0).alias("start"), F.col("chars").alias("end"))
+    spans = _islands(close.unionByName(far).unionByName(whole).dropDuplicates())
+    span = F.array(F.col("start").cast("long"), F.col("end").cast("long"))
+    per = spans.groupBy("record").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("shared_chars"), F.array_sort(F.collect_list(span)).alias("spans"))
+    out = rows.join(per, "record", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0).cast("long")))
+    share = F.when(F.col("chars") > 0, F.col("shared_chars") / F.col("chars")).otherwise(F.lit(0.0))
+    return out.select("doc_id", F.col("chars").cast("long").alias("chars"), "shared_chars", share.alias("shared_share"), F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans"))
+
+
 def shared_lines(documents: DataFrame, least: int = 40) -> DataFrame:
     """doc_id, chars, shared_chars and the spans [start, end) of lines of `least` characters that an earlier document holds too.
 

@@ -180,6 +180,25 @@ def test_pairs_against_brute_force(spark, small, monkeypatch):
     assert shared.shared_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [64, 1])
+def test_spans_against_brute_force(spark, small):
+    r = random.Random(9)
+    common = [random_text(r, n) for n in (700, 240, 239, 300)]
+    texts = [random_text(r, 50) + common[0] + random_text(r, 90) + common[1], common[0][100:600] + random_text(r, 300), random_text(r, 30) + common[1] + common[2], common[2]]
+    own = random_text(r, 260)
+    texts += [own + random_text(r, 20) + own, common[3], common[3], "short", "", None, common[0][:400] + random_text(r, 400) + common[0][300:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [{t[k : k + 240] for k in range(len(t or "") - 239)} for t in texts]
+    rows = {x.doc_id: x for x in shared.shared_spans(df.unionByName(df.limit(3)), small=small).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        other = set().union(*(h for j, h in enumerate(held) if j != i))
+        at = {p for k in range(len(t or "") - 239) if t[k : k + 240] in other for p in range(k, k + 240)}
+        assert {p for a, z in rows[i].spans for p in range(a, z)} == at and rows[i].shared_chars == len(at) and rows[i].chars == len(t or "")
+        assert rows[i].shared_share == (len(at) / len(t) if t else 0) and all(z < a for (_, z), (a, _) in zip(rows[i].spans, rows[i].spans[1:]))
+    assert rows[0].shared_chars and rows[4].shared_chars == 0 and rows[5].spans == [[0, 300]]
+
+
 def test_lines(spark):
     line, other = "l" * 50, "o" * 60
     df = spark.createDataFrame([(2, f"x\n{line}\n{other}"), (1, line), (3, f"{line}\n{line}"), (4, None), (5, "")], "doc_id long, text string")
