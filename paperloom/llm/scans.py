@@ -389,6 +389,13 @@ def corrections(tokens: DataFrame, vocabulary: DataFrame, naive: DataFrame) -> D
 _MIXED = r"^[0-9OoIl]*[0-9][0-9OoIl]*$"
 
 
+def corrected(word: str, fixes: dict[str, str]) -> str:
+    """A word as it should read: its fix, or a number's misread digits put right where misread_lines reports them."""
+    if word not in fixes and len(word) >= 2 and re.search("[OoIl]", word) and re.search(_MIXED, word):
+        return word.translate(_DIGITS)
+    return fixes.get(word, word)
+
+
 def misread_lines(tokens: DataFrame, fixes: DataFrame) -> DataFrame:
     """elem_no and line_no of body lines with a misread character; a broken word counts where its wrong character is."""
     fixed = tokens.join(small(fixes), "word", "left")
@@ -469,7 +476,7 @@ def reflow(text: str, gone: list[int], after: dict | None, joined: dict[int, str
     if current:
         paragraphs.append(current)
     out = "\n\n".join(paragraphs)
-    return _WORD.sub(lambda m: fixes.get(m.group(), m.group()), out) if fixes else out
+    return _WORD.sub(lambda m: corrected(m.group(), fixes), out)
 
 
 @F.udf(returnType=T.StringType(), useArrow=True)

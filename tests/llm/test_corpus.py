@@ -244,6 +244,27 @@ def test_reflow_around_a_table_rest():
     assert scans.reflow("", [], None, {}, False, {}) == ""
 
 
+def test_misread_numbers_come_out_right():
+    page = "unit 4O of l9 and 5l\nin I3 lots, Ol0 and 7, copy Il and O"
+    assert scans.reflow(page, [], None, {}, False, {"copy": "copies"}) == "unit 40 of 19 and 51 in 13 lots, 010 and 7, copies Il and O"
+
+
+def test_each_reported_misread_number_is_gone(spark):
+    body = "the reviewer measured {} distances in the box\nand then wrote {} pages about the table\nwithout any further remark on it"
+    numbers = [("4O", "l9"), ("5l", "I3"), ("2oo", "17")]
+    docs = spark.createDataFrame([("s", "pdf")], "doc_id string, document_type string")
+    rows = [(10 + k, "s", k + 1, "paragraph", "\n".join([body.format(*n)] * 4)) for k, n in enumerate(numbers)]
+    elements = spark.createDataFrame(rows, "elem_no long, doc_id string, unit_index int, element_type string, text string")
+    scan = scans.Scan(docs, elements)
+    reported = {(r.elem_no, r.line_no) for r in scan.noise().where("noise_kind = 'misread'").collect()}
+    texts = {r.elem_no: r.text for r in scan.repaired().collect()}
+    assert {e for e, _ in reported} == {10, 11, 12} and len(texts) == 3
+    for e, no in reported:
+        words = scans._WORD.findall(dict((r[0], r[4]) for r in rows)[e].split("\n")[no - 1])
+        odd = [w for w in words if any(c.isdigit() for c in w) and not w.isdigit()]
+        assert odd and not set(odd) & set(scans._WORD.findall(texts[e]))
+
+
 def test_page_numbers_in_all_shapes():
     for line, n in [("[18]", 18), ("· 22 ·", 22), ("- 5 -", 5), ("39", 39), ("Página 36", 36), ("2 / 9", 2), ("4O", 40), ("· 5I ·", 51), ("iii", 3), ("lv", 4)]:
         assert scans.line_kind(line, n)[0] == "page_number", line
