@@ -59,24 +59,23 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
 _NODES_SQL = r"""WITH RECURSIVE raw AS (SELECT DISTINCT rec_id, ltrim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS p FROM raw_extracts),
  a AS (SELECT rec_id, CASE WHEN starts_with(p, '"') THEN ltrim(TRY_CAST(p AS JSON)->>'$', chr(65279) || ' ' || chr(10)) ELSE p END AS p FROM raw),
  doc AS (SELECT rec_id, CASE WHEN json_type(j) = 'ARRAY' AND json_array_length(j) = 1 THEN j->0 ELSE j END AS j FROM (SELECT rec_id, TRY_CAST(p AS JSON) AS j FROM a)),
- node(rec_id, kind, path, parent, j) AS (
-  SELECT rec_id, 'doc', '', '', j FROM doc WHERE json_type(j) = 'OBJECT'
+ node(rec_id, kind, path, parent, ordinal, j) AS (
+  SELECT rec_id, 'doc', '', '', 0, j FROM doc WHERE json_type(j) = 'OBJECT'
   UNION ALL
-  SELECT n.rec_id, c.kind, CASE WHEN n.path = '' THEN c.seg ELSE n.path || '.' || c.seg END, n.path, c.x FROM node n, LATERAL (
-    SELECT CASE WHEN n.kind = 'doc' THEN 'unit' ELSE 'element' END AS kind, CAST(k.i AS VARCHAR) AS seg, k.x AS x
+  SELECT n.rec_id, c.kind, CASE WHEN n.path = '' THEN c.seg ELSE n.path || '.' || c.seg END, n.path, CAST(c.i AS INTEGER), c.x FROM node n, LATERAL (
+    SELECT CASE WHEN n.kind = 'doc' THEN 'unit' ELSE 'element' END AS kind, CAST(k.i AS VARCHAR) AS seg, k.i AS i, k.x AS x
       FROM (SELECT CASE n.kind WHEN 'doc' THEN n.j->'units' WHEN 'unit' THEN n.j->'elements' WHEN 'element' THEN n.j->'children' END AS v) s, unnest(CASE json_type(s.v) WHEN 'ARRAY' THEN s.v->'$[*]' WHEN 'OBJECT' THEN [s.v] ELSE [] END) WITH ORDINALITY AS k(x, i) WHERE json_type(k.x) = 'OBJECT'
     UNION ALL
-    SELECT 'cell', 'r' || r.i || 'c' || k.i, k.x FROM (SELECT CASE n.kind WHEN 'element' THEN [n.j->'data'->'rows'] WHEN 'cell' THEN CASE WHEN json_type(n.j->'content') = 'ARRAY' THEN list_transform(json_extract(n.j, '$.content[*]'), lambda y: json_extract(y, '$.table.rows')) ELSE [] END ELSE [] END AS tables) s,
-      unnest(s.tables) AS t(v), unnest(CASE json_type(t.v) WHEN 'ARRAY' THEN t.v->'$[*]' ELSE [] END) WITH ORDINALITY AS r(x, i), unnest(CASE json_type(r.x) WHEN 'ARRAY' THEN r.x->'$[*]' ELSE [] END) WITH ORDINALITY AS k(x, i) WHERE json_type(k.x) <> 'NULL') c)
- SELECT DISTINCT rec_id, path AS node_path, parent AS parent_path FROM node WHERE kind IN ('element', 'cell')"""
+    SELECT 'cell', 'r' || r.i || 'c' || k.i, k.i, k.x FROM (SELECT CASE n.kind WHEN 'element' THEN [n.j->'data'->'rows'] WHEN 'cell' THEN CASE WHEN json_type(n.j->'content') = 'ARRAY' THEN list_transform(json_extract(n.j, '$.content[*]'), lambda y: json_extract(y, '$.table.rows')) ELSE [] END ELSE [] END AS tables) s,
+      unnest(s.tables) AS t(v), unnest(CASE json_type(t.v) WHEN 'ARRAY' THEN t.v->'$[*]' ELSE [] END) WITH ORDINALITY AS r(x, i), unnest(CASE json_type(r.x) WHEN 'ARRAY' THEN r.x->'$[*]' ELSE [] END) WITH ORDINALITY AS k(x, i) WHERE json_type(k.x) <> 'NULL') c)"""
 
 
-@query("p7_found", _NODES_SQL)
+@query("p7_found", _NODES_SQL + " SELECT DISTINCT rec_id, path AS node_path, parent AS parent_path FROM node WHERE kind IN ('element', 'cell')")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.nodes_found(table(spark, d, "raw_extracts"))
 
 
-@query("p7_relations")
+@query("p7_relations", _NODES_SQL + " SELECT DISTINCT rec_id, kind AS relation, path AS node_path, parent AS parent_path, ordinal, j->>'$.element_id' AS node_id, j->>'$.element_type' AS node_type, j->>'$.text' AS text, j->>'$.kind' AS kind, j->>'$.name' AS name FROM node WHERE kind <> 'doc'")
 def p7_relations(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten_records(table(spark, d, "raw_extracts"))
 

@@ -3,27 +3,34 @@
 The method: infer a merged schema over all records, then expand one array level after another, each
 into its child relation, a child carrying its parent's surrogate key and its own array ordinal.
 
-A record is parsed once into a VARIANT. Each level is one `explode` over `self + its own arrays`, so
-all levels run in a single stage: no shuffle, no second parse, no driver loop over rows. How many
-levels there are comes from the merged schema, which is a few hundred rows whatever the input's size.
-
-Defined results: null, blank, cut-off and non-object payloads give no rows; a payload wrapped in a byte
-order mark, in white space, in a JSON string (up to three times) or in an array of one is unwrapped;
-null entries take an ordinal but give no row; one object in place of an array has ordinal 1; repeated
-deliveries of one record give its rows once; further columns of the input are ignored.
+The merged schema says which of the declared levels occur at all; the recursion of a level into itself is
+folded in it. A record is then read once and expanded inside one task by a stack of its open nodes, so the
+plan is the same for records of depth one and of depth ten thousand, and nothing is shuffled but the few
+records that were delivered more than once, which are made one before they are expanded.
+
+Defined results: null, blank, cut-off and non-object payloads give no rows; a payload wrapped any number
+of times in a byte order mark, in white space, in a JSON string or in an array of one is unwrapped; a
+depth at which the JSON reader gives up is read by a reader of our own, which has no such depth; null
+entries take an ordinal but give no row; one object in place of an array has ordinal 1; repeated
+deliveries of one record give its rows once, and different payloads of one record give the nodes of all,
+each path once (as do two tables in one cell); further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.runtime import BROADCAST_ROWS
+
 
 @dataclass(frozen=True)
 class Level:
@@ -37,6 +44,9 @@ class Level:
     via: tuple[str, ...]
     grid: bool = False
 
+    def keys(self) -> tuple[tuple[str, ...], ...]:
+        return tuple(tuple(v[2:].split(".")) for v in self.via)
+
 
 @dataclass(frozen=True)
 class NestedSpec:
@@ -61,34 +71,100 @@ CANONICAL = NestedSpec(
     {"node_id": "$.element_id", "node_type": "$.element_type", "text": "$.text", "kind": "$.kind", "name": "$.name"},
 )
 
-
-def with_parsed(df: DataFrame, payload: str, out: str) -> DataFrame:
-    """Adds the record's VARIANT, unwrapped; null when it can't be read or isn't an object.
-
-    Step by step in columns of its own, so that no parse is repeated inside one expression.
-    """
-    text, single = f"__{out}_text", f"__{out}_single"
-    df = df.withColumn(text, bare(F.col(payload)))
-    for _ in range(3):
-        df = df.withColumn(text, F.when(F.col(text).startswith('"'), bare(F.try_variant_get(F.try_parse_json(text), "$", "string"))).otherwise(F.col(text)))
-    df = df.withColumn(out, F.try_parse_json(text))
-    df = df.withColumn(single, F.when(F.col(text).startswith("["), F.try_variant_get(out, "$", "array<variant>")))
-    df = df.withColumn(out, F.when(F.size(single) == 1, F.col(single)[0]).otherwise(F.col(out)))
-    return df.withColumn(out, F.when(is_object(F.col(out)), F.col(out))).drop(text, single)
-
-
-def bare(text: Column) -> Column:
-    return F.regexp_replace(text, "^[\\s\ufeff]+", "")
+# --- reading -----------------------------------------------------------------------------------------
+
+_SPACE = " \t\r\n"
+_SCALAR = re.compile(r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?)|true|false|null")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+def deep_json(text: str) -> object:
+    """A JSON value of any depth, read without recursion."""
+    at, size = 0, len(text)
+    stack: list[list | dict] = []
+    keys: list[str] = []
+    value: object = None
+
+    def skip(i: int) -> int:
+        while i < size and text[i] in _SPACE:
+            i += 1
+        return i
+
+    def key(i: int) -> int:
+        """Reads `"name":` and remembers the name."""
+        i = skip(i)
+        if text[i : i + 1] != '"':
+            raise ValueError("a key is missing")
+        name, i = scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("a colon is missing")
+        keys.append(name)
+        return i + 1
+
+    while True:
+        at = skip(at)
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            opened: list | dict = {} if c == "{" else []
+            inside = skip(at + 1)
+            if text[inside : inside + 1] != ("}" if c == "{" else "]"):
+                stack.append(opened)
+                at = key(inside) if c == "{" else inside
+                continue
+            value, at = opened, inside + 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif m := _SCALAR.match(text, at):
+            word = m.group()
+            value, at = _WORDS[word] if word in _WORDS else float(word) if any(x in word for x in ".eE") else int(word), m.end()
+        else:
+            raise ValueError("a value is missing")
+        while stack:  # a value ends: it goes into what is open, which may end with it
+            top = stack[-1]
+            if isinstance(top, dict):
+                top[keys.pop()] = value
+            else:
+                top.append(value)
+            at = skip(at)
+            c = text[at : at + 1]
+            if c == ",":
+                at = key(at + 1) if isinstance(top, dict) else at + 1
+                break
+            if c != ("}" if isinstance(top, dict) else "]"):
+                raise ValueError("an end is missing")
+            value, at = stack.pop(), at + 1
+        else:
+            if skip(at) != size:
+                raise ValueError("more than one value")
+            return value
 
 
-def is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+def read_json(text: str) -> object:
+    try:
+        return json.loads(text, parse_constant=_no_constant)
+    except RecursionError:
+        return deep_json(text)
 
 
-def as_array(v: Column, path: str) -> Column:
-    """The array at `path`; a single object there counts as an array of one; null otherwise."""
-    one = F.try_variant_get(v, path, "variant")
-    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.when(is_object(one), F.array(one)))
+def unwrap(payload: str | None) -> dict | None:
+    """The object of a payload, out of all strings and arrays of one around it; null where there is none."""
+    v: object = payload
+    while not isinstance(v, dict):
+        if isinstance(v, str):
+            try:
+                v = read_json(v.lstrip("﻿" + _SPACE))
+            except ValueError:
+                return None
+        elif isinstance(v, list) and len(v) == 1:
+            v = v[0]
+        else:
+            return None
+    return v
 
 
 # --- merged schema -----------------------------------------------------------------------------------
@@ -98,161 +174,178 @@ _SCHEMA = T.StructType(
         T.StructField("node_path", T.StringType()),
         T.StructField("json_type", T.StringType()),
         T.StructField("occurrences", T.LongType()),
-        T.StructField("max_level", T.IntegerType()),
     ]
 )
-
-
 _JSON_TYPES = {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
+#: Paths that a task holds before it passes their counts on.
+_FLUSH = 200_000
 
 
-def unwrap(payload: str | None) -> dict | None:
-    """The same for one value, in Python."""
-    v: object = payload
-    for _ in range(4):
-        if not isinstance(v, str):
-            break
-        try:
-            v = json.loads(v.lstrip("﻿ \t\r\n"))
-        except ValueError:
-            return None
-    if isinstance(v, list) and len(v) == 1:
-        v = v[0]
-    return v if isinstance(v, dict) else None
-
-
-def _catalogue(doc: dict, folds: frozenset, ends: frozenset, seen: dict) -> None:
-    """Field paths; the recursion of an array key into itself is folded, so that the catalogue is finite."""
-    stack: list[tuple[object, tuple[str, ...], int]] = [(doc, (), 0)]
+def _catalogue(doc: dict, seen: dict) -> None:
+    """Field paths; the recursion of a key into itself is folded, so that the catalogue is finite."""
+    stack: list[tuple[object, tuple[str, ...]]] = [(doc, ())]
     pop, push = stack.pop, stack.append
     while stack:
-        v, path, level = pop()
+        v, path = pop()
         kind = type(v)
         key = (path, kind)
-        old = seen.get(key)
-        if old is None:
-            seen[key] = [1, level]
-        else:
-            old[0] += 1
-            if level > old[1]:
-                old[1] = level
+        seen[key] = seen.get(key, 0) + 1
         if kind is dict:
             for k, x in v.items():
-                if k in folds and (type(x) is dict or type(x) is list):
-                    push((x, (*(path[: path.index(k)] if k in path else path), k), level + (k in ends)))
+                if k in path and (type(x) is dict or type(x) is list):
+                    push((x, path[: path.index(k) + 1]))
                 else:
-                    push((x, (*path, k), level))
+                    push((x, (*path, k)))
         elif kind is list:
             for x in v:
                 if x is not None:
-                    push((x, path, level))
+                    push((x, path))
 
 
-def merged_schema(df: DataFrame, json_col: str, spec: NestedSpec = CANONICAL) -> DataFrame:
-    """Every field path of all records with its JSON types, occurrences and deepest array level."""
+def merged_schema(df: DataFrame, json_col: str) -> DataFrame:
+    """Every field path of all rows with its JSON types and how often each occurs; recursion is folded."""
+
+    def batch(seen: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([".".join(p) for p, _ in seen], pa.string()), pa.array([_JSON_TYPES.get(t, "null") for _, t in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=_SCHEMA.names
+        )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[tuple[str, ...], type], list[int]] = {}
-        folds = frozenset(v[2:].split(".")[-1] for lv in spec.levels for v in lv.via)
-        ends = frozenset(lv.via[-1][2:].split(".")[-1] for lv in spec.levels)
+        seen: dict[tuple[tuple[str, ...], type], int] = {}
         for b in batches:
             for payload in b.column(0).to_pylist():
                 if (doc := unwrap(payload)) is not None:
-                    _catalogue(doc, folds, ends, seen)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "node_path": pa.array([".".join(p) for p, _ in seen], pa.string()),
-                "json_type": pa.array([_JSON_TYPES.get(t, "null") for _, t in seen], pa.string()),
-                "occurrences": pa.array([n for n, _ in seen.values()], pa.int64()),
-                "max_level": pa.array([m for _, m in seen.values()], pa.int32()),
-            }
-        )
-
-    return (
-        df.select(F.col(json_col).alias("payload"))
-        .mapInArrow(scan, _SCHEMA)
-        .groupBy("node_path", "json_type")
-        .agg(F.sum("occurrences").alias("occurrences"), F.max("max_level").alias("max_level"))
-    )
+                    _catalogue(doc, seen)
+            if len(seen) > _FLUSH:
+                yield batch(seen)
+                seen = {}
+        yield batch(seen)
 
+    found = df.select(F.col(json_col).alias("payload")).mapInArrow(scan, _SCHEMA)
+    return found.groupBy("node_path", "json_type").agg(F.sum("occurrences").alias("occurrences"))
 
-# --- expansion ---------------------------------------------------------------------------------------
-
-
-def _node(kind: Column | str, key: Column, ordinal: Column, v: Column, fields: dict[str, str]) -> Column:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.struct(
-        kind.alias("relation"), key.alias("seg"), ordinal.cast("int").alias("ordinal"), v.alias("node"),
-        *(F.try_variant_get(v, p, "string").alias(n) for n, p in fields.items()),
-    )
-
-
-def _kids(level: Level, v: Column, fields: dict[str, str]) -> Column:
-    """array<node> of one level below `v`."""
-    if not level.grid:
-        kids = F.transform(as_array(v, level.via[0]), lambda x, i: _node(level.child, (i + 1).cast("string"), i + 1, x, fields))
-        return F.filter(kids, lambda k: is_object(k["node"]))
-    *outer, last = level.via
-
-    def grid(w: Column) -> Column:
-        rows = F.transform(
-            as_array(w, last),
-            lambda row, i: F.transform(
-                as_array(row, "$"),
-                lambda c, j: _node(level.child, F.concat(F.lit("r"), (i + 1).cast("string"), F.lit("c"), (j + 1).cast("string")), j + 1, c, fields),
-            ),
-        )
-        return F.flatten(F.filter(rows, lambda r: r.isNotNull()))
 
-    def step(w: Column, paths: list[str]) -> Column:
-        if not paths:
-            return grid(w)
-        found = F.transform(as_array(w, paths[0]), lambda x: step(x, paths[1:]))
-        return F.flatten(F.filter(found, lambda r: r.isNotNull()))
+def occurring(schema: DataFrame, spec: NestedSpec) -> NestedSpec:
+    """`spec` with the levels whose arrays occur in the merged schema; what is collected is bounded by the spec."""
+    last = {lv: lv.keys()[-1][-1] for lv in spec.levels}
+    name = F.substring_index("node_path", ".", -1)
+    here = schema.where(F.col("json_type").isin("array", "object") & name.isin(*set(last.values()))).select(name.alias("n")).distinct().collect()
+    names = {r.n for r in here}
+    return NestedSpec(spec.root, tuple(lv for lv in spec.levels if last[lv] in names), spec.fields)
 
-    return F.filter(step(v, outer), lambda k: k["node"].isNotNull() & (F.schema_of_variant(k["node"]) != "VOID"))
 
+# --- expansion ---------------------------------------------------------------------------------------
 
-def expand(df: DataFrame, id_col: str, json_col: str, levels: int, spec: NestedSpec = CANONICAL, fields: bool = True) -> DataFrame:
-    """relation, record id, node_path, parent_path, ordinal and the spec's fields of every node of every level.
 
-    `levels` is the deepest array level of the merged schema; what lies deeper would not be expanded.
-    """
-    names = dict(spec.fields) if fields else {}
-    null = {n: F.lit(None).cast("string") for n in names}
-    out = with_parsed(df.select(F.col(id_col).alias("rec_id"), F.col(json_col).alias("payload")), "payload", "node")
-    out = out.select(
-        "rec_id", F.lit(spec.root).alias("relation"), F.lit("").alias("node_path"), F.lit("").alias("parent_path"),
-        F.lit(0).alias("ordinal"), "node", *(c.alias(n) for n, c in null.items()),
-    )
-    state = ["relation", "node_path", "parent_path", "ordinal", "node", *names]
-    for _ in range(levels):
-        kids = F.lit(None)
-        for kind in dict.fromkeys(x.parent for x in spec.levels):
-            parts = [F.coalesce(_kids(x, F.col("node"), names), F.array()) for x in spec.below(kind)]
-            kids = F.when(F.col("relation") == kind, F.concat(*parts)).otherwise(kids)
-        rows = F.transform(
-            kids,
-            lambda k: F.struct(
-                k["relation"].alias("relation"),
-                F.concat_ws(".", F.nullif(F.col("node_path"), F.lit("")), k["seg"]).alias("node_path"),
-                F.col("node_path").alias("parent_path"), k["ordinal"].alias("ordinal"), k["node"].alias("node"),
-                *(k[n].alias(n) for n in names),
-            ),
-        )
-        self = F.array(F.struct(*(F.lit(None).cast("variant").alias(c) if c == "node" else F.col(c) for c in state)))
-        out = out.select("rec_id", F.explode_outer(F.when(F.col("node").isNull(), self).otherwise(F.concat(self, F.coalesce(rows, F.array())))).alias("n")).select("rec_id", "n.*")
-    return out.drop("node")
-
-
-def flatten_records(df: DataFrame, id_col: str = "rec_id", json_col: str = "payload", spec: NestedSpec = CANONICAL, fields: bool = True) -> DataFrame:
+def _at(v: object, keys: tuple[str, ...]) -> object:
+    for k in keys:
+        if type(v) is not dict:
+            return None
+        v = v.get(k)
+    return v
+
+
+def _list(v: object) -> list:
+    """An array; a single object in its place counts as an array of one."""
+    return v if type(v) is list else [v] if type(v) is dict else []
+
+
+def _text(v: object) -> str | None:
+    return v if v is None or type(v) is str else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+
+class Walk:
+    """The nodes of records, level by level."""
+
+    def __init__(self, spec: NestedSpec):
+        self.root = spec.root
+        self.below = {k: [(lv.child, lv.keys(), lv.grid) for lv in spec.below(k)] for k in {lv.parent for lv in spec.levels}}
+
+    def nodes(self, doc: dict) -> Iterator[tuple[str, str, str, int, object]]:
+        """(relation, node_path, parent_path, ordinal, node) of every node below the root, parents first."""
+        stack: list[tuple[str, str, object]] = [(self.root, "", doc)]
+        seen: set[str] = set()
+        while stack:
+            kind, path, v = stack.pop()
+            prefix = f"{path}." if path else ""
+            for child, via, grid in self.below.get(kind, ()):
+                if not grid:
+                    for i, x in enumerate(_list(_at(v, via[0])), 1):
+                        if type(x) is dict:
+                            here = f"{prefix}{i}"
+                            yield child, here, path, i, x
+                            stack.append((child, here, x))
+                    continue
+                holders = [v]
+                for keys in via[:-1]:
+                    holders = [x for h in holders for x in _list(_at(h, keys))]
+                for h in holders:
+                    for i, row in enumerate(_list(_at(h, via[-1])), 1):
+                        for j, x in enumerate(_list(row), 1):
+                            if x is not None:
+                                here = f"{prefix}r{i}c{j}"
+                                if here not in seen:
+                                    seen.add(here)
+                                    yield child, here, path, j, x
+                                if type(x) is dict:
+                                    stack.append((child, here, x))
+
+
+def expand(df: DataFrame, id_col: str, json_col: str, spec: NestedSpec = CANONICAL, fields: bool = True, rows_at_once: int = 50_000) -> DataFrame:
+    """rec_id, relation, node_path, parent_path, ordinal and the spec's fields of every node of every level."""
+    names = list(spec.fields) if fields else []
+    keys = [tuple(spec.fields[n][2:].split(".")) for n in names]
+    source = df.select(F.col(id_col).alias("rec_id"), F.col(json_col).alias("payload"))
+    head = [("relation", T.StringType(), pa.string()), ("node_path", T.StringType(), pa.string()), ("parent_path", T.StringType(), pa.string()), ("ordinal", T.IntegerType(), pa.int32())]
+    head += [(n, T.StringType(), pa.string()) for n in names]
+    schema = T.StructType([source.schema["rec_id"], *(T.StructField(n, k) for n, k, _ in head)])
+    walk = Walk(spec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            id_type = b.column(0).type
+            ids: list = []
+            columns: list[list] = [[] for _ in head]
+
+            def batch() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(c, k) for c, (_, _, k) in zip(columns, head, strict=True))], names=schema.names)  # noqa: B023
+
+            for rec, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                doc = unwrap(payload)
+                if doc is None:
+                    continue
+                for kind, path, parent, ordinal, node in walk.nodes(doc):
+                    ids.append(rec)
+                    for c, x in zip(columns, (kind, path, parent, ordinal), strict=False):
+                        c.append(x)
+                    for c, k in zip(columns[4:], keys, strict=True):
+                        c.append(_text(_at(node, k)))
+                    if len(ids) >= rows_at_once:
+                        yield batch()
+                        ids, columns = [], [[] for _ in head]
+            yield batch()
+
+    return source.mapInArrow(run, schema)
+
+
+def flatten_records(df: DataFrame, id_col: str = "rec_id", json_col: str = "payload", spec: NestedSpec = CANONICAL, fields: bool = True, at_most: int = BROADCAST_ROWS) -> DataFrame:
     """All relations of `spec` in one table, a relation being `where relation = name`.
 
-    rec_id and node_path are the surrogate key, rec_id and parent_path the parent's.
+    rec_id and node_path are the surrogate key, rec_id and parent_path the parent's. Only the ids are grouped to
+    find the records that came more than once; up to `at_most` of these ids are broadcast, beyond that all
+    payloads are shuffled by their id.
     """
-    deepest = merged_schema(df, json_col, spec).agg(F.max("max_level")).first()[0] or 0
-    out = expand(df, id_col, json_col, deepest, spec, fields).where(F.col("relation") != spec.root)
-    return out.dropDuplicates(["rec_id", "relation", "node_path"])
+    spec = occurring(merged_schema(df, json_col), spec)
+    rows = df.select(F.col(id_col).alias("rec_id"), F.col(json_col).alias("payload"))
+    again = rows.groupBy("rec_id").count().where("count > 1").select(F.col("rec_id").alias("again")).cache()
+    few = again.count() <= at_most
+    once, several = rows.limit(0), rows
+    if few:
+        same = F.col("rec_id").eqNullSafe(F.col("again"))
+        once, several = rows.join(F.broadcast(again), same, "left_anti"), rows.join(F.broadcast(again), same, "left_semi")
+    key = ["rec_id", "relation", "node_path"]
+    merged = expand(several.dropDuplicates(["rec_id", "payload"]), "rec_id", "payload", spec, fields).dropDuplicates(key)
+    return expand(once, "rec_id", "payload", spec, fields).unionByName(merged) if few else merged
 
 
 def nodes_found(df: DataFrame, id_col: str = "rec_id", json_col: str = "payload", spec: NestedSpec = CANONICAL) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a table that is broadcast; it is counted first, and beyond that the same join is shuffled.
+BROADCAST_ROWS = 200_000
 
 #: Cluster-friendly defaults; a session that already exists keeps its own.
 SESSION_CONF = {
@@ -36,16 +43,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` by a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests, local
-    runs) is one of our own used.
+    The folder is the session's `spark.checkpoint.dir`. Only a local session without it gets a folder of our
+    own, which is removed at the end; on a cluster such a folder would be lost with its machine, so it is refused.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or os.path.join("/tmp", f"paperloom-{os.getpid()}"))
+        if not shared:
+            if not is_local(sc):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="paperloom-")
+            atexit.register(shutil.rmtree, shared, True)
+        sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, at_most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, checkpointed, for a broadcast join if it is counted small, else as it is for a shuffled one."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= at_most else df
+
+
+def is_local(sc: SparkContext) -> bool:
+    return sc.master == "local" or sc.master.startswith("local[")
+
+
 def exact_once(df: DataFrame, key: str) -> DataFrame:
     """One row per `key`; rows of one key are repeated deliveries that differ only in arrival."""
     return df.dropDuplicates([key])
@@ -57,7 +79,7 @@ def ship(spark: SparkSession) -> None:
     Executors that have it on their path already lose nothing by it.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_paperloom_shipped", False):
+    if is_local(sc) or getattr(sc, "_paperloom_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="paperloom-"), "paperloom.zip")

@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from paperloom.operators import nested
 
 DOC = {
@@ -24,6 +27,39 @@ def test_paths_and_wrappings(spark):
     assert got == {(i, a, b) for i in range(len(forms)) for a, b in WANT}
 
 
+def test_any_number_of_wrappings(spark):
+    rows, text = [], json.dumps(DOC)
+    for i in range(7):
+        rows.append((i, text, None, None, None))
+        text = json.dumps(text) if i % 2 else "\ufeff " + json.dumps([text])
+    assert found(spark, rows) == {(i, a, b) for i in range(7) for a, b in WANT}
+
+
+def test_depth_has_no_limit(spark):
+    depth = 3_000
+    deep = '{"units": [{"elements": [' + '{"children": [' * depth + "{}" + "]}" * depth + "]}]}"
+    bad = [("[" * 200_000), ("[" * 200_000 + "]" * 200_000), '{"units": [' + '{"a": [' * 100_000]
+    df = spark.createDataFrame([(1, deep), (2, json.dumps(DOC)), *((10 + i, b) for i, b in enumerate(bad))], "rec_id long, payload string")
+    got = nested.nodes_found(df).groupBy("rec_id").agg(F.count("*"), F.max(F.size(F.split("node_path", "[.]")))).collect()
+    assert {tuple(r) for r in got} == {(1, depth + 1, depth + 2), (2, len(WANT), 4)}
+
+
+def test_deep_reader_agrees_with_the_usual_one():
+    good = [json.dumps(DOC), "[]", "{}", '[1, -2.5e3, "a\\u00e9", true, null, {"a": {}, "b": [[], [{}]]}] ', '"x"', "0"]
+    assert [nested.deep_json(t) for t in good] == [json.loads(t) for t in good]
+    for bad in ("", "[1", "{a: 1}", '{"a" 1}', "[1 2]", "01", "NaN", '{"a": 1}}', "[1,]", '{"a": 1,}', '"\n"'):
+        for read in (nested.deep_json, nested.read_json):
+            with pytest.raises(ValueError):
+                read(bad)
+
+
+def test_many_repeated_records(spark):
+    plain, other = json.dumps(DOC), json.dumps({"units": [{"elements": [{"text": "z"}, {"text": "y"}]}]})
+    df = spark.createDataFrame([(i % 5 if i % 7 else None, other if i % 3 else plain) for i in range(60)], "rec_id long, payload string")
+    a, b = (sorted(map(tuple, nested.flatten_records(df, fields=False, at_most=n).collect()), key=repr) for n in (0, 100))
+    assert a == b and len(a) == len(set(a)) and {r[0] for r in a} == {0, 1, 2, 3, 4, None}
+
+
 def test_unreadable_gives_nothing(spark):
     bad = [None, "", "  ", "null", "{}", "3", '{"units": [', json.dumps(DOC)[:-3], "[]", "not json", json.dumps({"units": "text"})]
     assert found(spark, [(i, p, None, None, None) for i, p in enumerate(bad)]) == set()
