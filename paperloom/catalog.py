@@ -46,8 +46,9 @@ _VERSION_SQL = "array_to_string(list_transform(string_split(regexp_replace(trim(
     FROM t JOIN d ON d.doc_id = t.doc_id WHERE t.type NOT IN ('NULL', 'OBJECT') GROUP BY 1, 2, 3, 4""",
 )
 def p2_fields(spark: SparkSession, d: str) -> DataFrame:
-    found = drift.catalogue(table(spark, d, "canonical_docs"), table(spark, d, "elements"))
-    return found.select("extractor", "schema_version", "field_path", "json_type", F.col("elements").cast("long").alias("elements"))
+    found = drift.versioned(drift.catalogue(table(spark, d, "canonical_docs"), table(spark, d, "elements")))
+    path = F.translate("field", drift.SEP, ".").alias("field_path")
+    return found.groupBy("extractor", "schema_version", path, "json_type").agg(F.sum("elements").cast("long").alias("elements"))
 
 
 @query("p2_unified")

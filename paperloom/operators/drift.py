@@ -5,13 +5,17 @@ JVM (`schema_of_variant`), equal schemas are counted before anything is shuffled
 schemas are exploded into (producer, version, field, JSON type). `lag`/`lead` over the versions a
 producer has turn the catalogue into islands of presence, whose starts and ends are the log of changes.
 A field that ends where a sibling of the same JSON type starts is a rename candidate; the values on both
-sides decide (value-shape histograms, computed in one pass for the candidates only). The renames form
-the alias table from which the casts of the unified table are generated.
+sides decide (histograms of the shapes of whole values, computed in one pass for the candidates only). The
+renames form the alias table from which the casts of the unified table are generated.
+
+Inside, a field is the keys that lead to it joined by U+001F, so that a key may hold a dot or a quote; the
+results join them by a dot.
 
 Defined results: null, unreadable or non-object data has no fields; an empty object has none either;
 null values don't make a field present; documents without a version take no part in the changes, but
 their elements are in the unified table, with a null version; versions are compared by their numeric
-components; repeated deliveries change nothing; further columns are ignored.
+components; repeated deliveries change nothing; further columns are ignored. Names of fields reach the
+driver, so a report over more than `MOST_FIELDS` changes or fields (ids used as keys) is refused with an error.
 """
 
 from __future__ import annotations
@@ -25,9 +29,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from paperloom.runtime import cut, once_each
+
 CHANGES = "extractor string, schema_version string, change_kind string, field_path string, new_path string"
 #: Least similarity (0 to 1) of the value profiles of the two sides of a rename.
 RENAME_LEAST = 0.4
+#: Joins the keys of a field's path inside this module.
+SEP = "\x1f"
+#: Most rows of the change log, and most fields, that the driver takes.
+MOST_FIELDS = 100_000
+
+
+class TooManyFields(ValueError):
+    """There are more fields than a table of fields can have; ids may have been used as keys."""
+
+
+def bounded(df: DataFrame, most: int) -> list:
+    """The rows of `df`, of which there may be at most `most`."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise TooManyFields(f"more than {most} rows of field names")
+    return rows
+
+
+def shown(path: str) -> str:
+    return path.replace(SEP, ".")
 
 
 def version_key(version: Column) -> Column:
@@ -37,16 +63,6 @@ def version_key(version: Column) -> Column:
     return F.transform(F.split(clean, r"\."), lambda x: x.try_cast("int"))
 
 
-def producers(docs: DataFrame) -> DataFrame:
-    """doc_id, extractor and normalised version, once per document that has both."""
-    key = version_key(F.col("schema_version"))
-    return (
-        docs.select("doc_id", "extractor", F.array_join(key.cast("array<string>"), ".").alias("schema_version"), key.alias("version_key"))
-        .where(F.col("version_key").isNotNull() & F.col("extractor").isNotNull() & (F.col("schema_version") != ""))
-        .dropDuplicates(["doc_id", "extractor", "schema_version"])
-    )
-
-
 def origins(docs: DataFrame) -> DataFrame:
     """doc_id, extractor and normalised version (null where there is none), once per document."""
     key = version_key(F.col("schema_version"))
@@ -55,8 +71,13 @@ def origins(docs: DataFrame) -> DataFrame:
     return best.select("doc_id", "o.extractor", F.when(version != "", version).alias("schema_version"), "o.version_key")
 
 
+def versioned(df: DataFrame) -> DataFrame:
+    return df.where("extractor is not null and schema_version is not null")
+
+
 # --- schemas of single values ------------------------------------------------------------------------
 
+_NAME = re.compile(r"[A-Z_]+(\(\d+,\s*\d+\))?")
 _TYPES = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "ARRAY": "array", "OBJECT": "object"}
 
 
@@ -66,14 +87,14 @@ def leaves(schema: str) -> list[tuple[str, str]]:
 
     def kind(path: str) -> None:
         nonlocal pos
-        m = re.compile(r"[A-Z_]+(\(\d+,\s*\d+\))?").match(schema, pos)
+        m = _NAME.match(schema, pos)
         name = m.group().split("(")[0] if m else "VOID"
         pos = m.end() if m else len(schema)
         if name == "OBJECT" and schema[pos : pos + 1] == "<":
             pos += 1
             while pos < len(schema) and schema[pos] != ">":
                 key = field()
-                kind(f"{path}.{key}" if path else key)
+                kind(f"{path}{SEP}{key}" if path else key)
                 if schema[pos : pos + 2] == ", ":
                     pos += 2
             pos += 1
@@ -112,42 +133,42 @@ def leaves(schema: str) -> list[tuple[str, str]]:
     return [x for x in out if x[0]]
 
 
-def catalogue(docs: DataFrame, elements: DataFrame, every: bool = False) -> DataFrame:
-    """extractor, schema_version, field_path, json_type, elements: which field has which type where.
+def catalogue(docs: DataFrame, elements: DataFrame) -> DataFrame:
+    """extractor, schema_version, version_key, field, json_type, elements: which field has which type where.
 
-    With `every`, documents without an extractor or a version count too, under null.
+    extractor and version are null for documents without them.
     """
     shape = F.schema_of_variant(F.try_parse_json("data"))
     shapes = elements.select("doc_id", shape.alias("shape")).where(F.col("shape").startswith("OBJECT<")).groupBy("doc_id", "shape").agg(F.count("*").alias("n"))
-    of = shapes.join(origins(docs), "doc_id", "left") if every else shapes.join(producers(docs), "doc_id")
+    of = shapes.join(origins(docs), "doc_id", "left")
     per = of.groupBy("extractor", "schema_version", "version_key", "shape").agg(F.sum("n").alias("n"))
 
     def fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(r.extractor, r.schema_version, r.version_key, p, t, r.n) for r in b.itertuples() for p, t in leaves(r.shape)]
-            yield pd.DataFrame(rows, columns=["extractor", "schema_version", "version_key", "field_path", "json_type", "n"])
+            yield pd.DataFrame(rows, columns=["extractor", "schema_version", "version_key", "field", "json_type", "n"])
 
-    found = per.mapInPandas(fields, "extractor string, schema_version string, version_key array<int>, field_path string, json_type string, n long")
-    return found.groupBy("extractor", "schema_version", "version_key", "field_path", "json_type").agg(F.sum("n").alias("elements"))
+    found = per.mapInPandas(fields, "extractor string, schema_version string, version_key array<int>, field string, json_type string, n long")
+    return found.groupBy("extractor", "schema_version", "version_key", "field", "json_type").agg(F.sum("n").alias("elements"))
 
 
 def versions(docs: DataFrame) -> DataFrame:
     """The versions of each extractor, numbered from 1 in their numeric order."""
     per = W.partitionBy("extractor").orderBy("version_key")
-    return producers(docs).select("extractor", "schema_version", "version_key").distinct().withColumn("version_no", F.row_number().over(per))
+    return versioned(origins(docs)).select("extractor", "schema_version", "version_key").distinct().withColumn("version_no", F.row_number().over(per))
 
 
 def islands(cat: DataFrame, vers: DataFrame) -> DataFrame:
-    """Lifespans: extractor, field_path, first_no and last_no of each unbroken run of versions, with its type set."""
+    """Lifespans: extractor, field, first_no and last_no of each unbroken run of versions, with its type sets."""
     present = (
-        cat.groupBy("extractor", "schema_version", "field_path")
+        versioned(cat).groupBy("extractor", "schema_version", "field")
         .agg(F.array_sort(F.collect_set("json_type")).alias("types"))
         .join(vers.select("extractor", "schema_version", "version_no"), ["extractor", "schema_version"])
-    )
-    of = W.partitionBy("extractor", "field_path").orderBy("version_no")
+    )
+    of = W.partitionBy("extractor", "field").orderBy("version_no")
     starts = (F.lag("version_no").over(of).isNull()) | (F.col("version_no") - F.lag("version_no").over(of) > 1)
     marked = present.withColumn("island", F.sum(starts.cast("int")).over(of))
-    return marked.groupBy("extractor", "field_path", "island").agg(
+    return marked.groupBy("extractor", "field", "island").agg(
         F.min("version_no").alias("first_no"), F.max("version_no").alias("last_no"),
         F.array_sort(F.collect_list(F.struct("version_no", "types"))).alias("by_version"),
     )
@@ -161,18 +182,18 @@ def change_log(life: DataFrame, vers: DataFrame) -> DataFrame:
     last = vers.groupBy("extractor").agg(F.max("version_no").alias("newest"))
     life = life.join(last, "extractor")
     size = F.size("by_version")
-    added = life.where("first_no > 1").select("extractor", F.col("first_no").alias("version_no"), F.lit("added").alias("change_kind"), "field_path", F.col("by_version")[0]["types"].alias("types"))
-    removed = life.where("last_no < newest").select("extractor", (F.col("last_no") + 1).alias("version_no"), F.lit("removed").alias("change_kind"), "field_path", F.element_at("by_version", -1)["types"].alias("types"))
+    added = life.where("first_no > 1").select("extractor", F.col("first_no").alias("version_no"), F.lit("added").alias("change_kind"), "field", F.col("by_version")[0]["types"].alias("types"))
+    removed = life.where("last_no < newest").select("extractor", (F.col("last_no") + 1).alias("version_no"), F.lit("removed").alias("change_kind"), "field", F.element_at("by_version", -1)["types"].alias("types"))
     steps = F.filter(F.sequence(F.lit(1), size - 1), lambda i: F.get("by_version", i)["types"] != F.get("by_version", i - 1)["types"])
-    retyped = life.where(size > 1).select("extractor", F.explode(F.transform(steps, lambda i: F.get("by_version", i)["version_no"])).alias("version_no"), F.lit("retyped").alias("change_kind"), "field_path", F.lit(None).cast("array<string>").alias("types"))
+    retyped = life.where(size > 1).select("extractor", F.explode(F.transform(steps, lambda i: F.get("by_version", i)["version_no"])).alias("version_no"), F.lit("retyped").alias("change_kind"), "field", F.lit(None).cast("array<string>").alias("types"))
     return added.unionByName(removed).unionByName(retyped)
 
 
 # --- renames -----------------------------------------------------------------------------------------
 
 
-def parent(path: str) -> str:
-    return path.rpartition(".")[0]
+def parent(field: str) -> str:
+    return field.rpartition(SEP)[0]
 
 
 def candidates(log: list) -> list[tuple[str, int, str, str]]:
@@ -180,12 +201,16 @@ def candidates(log: list) -> list[tuple[str, int, str, str]]:
     by: dict = defaultdict(lambda: ([], []))
     for r in log:
         if r.change_kind in ("added", "removed"):
-            by[r.extractor, r.version_no, parent(r.field_path), tuple(r.types)][r.change_kind == "added"].append(r.field_path)
+            by[r.extractor, r.version_no, parent(r.field), tuple(r.types)][r.change_kind == "added"].append(r.field)
     return [(e, v, old, new) for (e, v, _, _), (gone, come) in by.items() for old in gone for new in come]
 
 
 def value_shapes(v: Column) -> Column:
-    """Two views of a value, fine and coarse: a number's quarter octave and octaves, a text with digits or all classes folded, an array's schema."""
+    """Two views of a whole value, fine and coarse.
+
+    Of a number its quarter octave and its octaves; of a text its form with digits folded, and its length's
+    octave with the kinds of characters in it; of an array its schema.
+    """
     kind = F.schema_of_variant(v)
     number = F.try_variant_get(v, "$", "double")
     text = F.try_variant_get(v, "$", "string")
@@ -194,55 +219,68 @@ def value_shapes(v: Column) -> Column:
         return F.coalesce(F.concat_ws("e", F.signum(number).cast("int"), F.floor(F.log2(F.abs(number)) * per)), F.lit("0"))
 
     fine = F.regexp_replace(F.regexp_replace(text, r"\d+", "9"), r"\s+", " ")
-    coarse = F.regexp_replace(F.regexp_replace(F.regexp_replace(fine, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"(Aa? )+", "A ")
-    texts = F.array(*(F.concat(F.lit(f"{i}s"), F.substring(x, 1, 40)) for i, x in enumerate((fine, coarse))))
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(fine, r"\p{Lu}+\p{Ll}*", "A"), r"\p{Ll}+", "a"), r"\p{Lo}+", "o")
+    coarse = F.concat_ws("/", F.floor(F.log2(F.length(text) + F.lit(1))), F.substring(classes, 1, 1), F.array_join(F.array_sort(F.array_distinct(F.split(classes, ""))), ""))
     return (
-        F.when(kind == "STRING", texts)
-        .when((kind == "BOOLEAN") | kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.array(F.concat(F.lit("0o"), text), F.concat(F.lit("1o"), F.substring(kind, 1, 80))))
+        F.when(kind == "STRING", F.array(F.concat(F.lit("0s"), fine), F.concat(F.lit("1s"), coarse)))
+        .when((kind == "BOOLEAN") | kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.array(F.concat(F.lit("0o"), text), F.concat(F.lit("1o"), kind)))
         .when(kind != "VOID", F.array(F.concat(F.lit("0n"), size(4)), F.concat(F.lit("1n"), size(0.5))))
     )
 
 
-def json_path(path: str) -> str:
-    return "$" + "".join("['" + k + "']" for k in path.split("."))
+def value_at(doc: Column, field: str, kind: str = "variant") -> Column:
+    """The value of a field, whatever characters its keys hold; null where it is absent or of another kind."""
+    keys = field.split(SEP)
+    if not any(c in k for k in keys for c in "'\"[]\\"):
+        return F.try_variant_get(doc, "$" + "".join(f"['{k}']" for k in keys), kind)
+    for k in keys:
+        doc = F.element_at(F.try_variant_get(doc, "$", "map<string,variant>"), F.lit(k))
+    return F.try_variant_get(doc, "$", kind)
 
 
-def profiles(docs: DataFrame, elements: DataFrame, paths: list[str], bins: int = 256) -> DataFrame:
-    """extractor, schema_version, field_path, bin, n: histograms of the value shapes of the named fields.
+def profiles(docs: DataFrame, elements: DataFrame, fields: list[str], bins: int = 1024) -> DataFrame:
+    """extractor, schema_version, field, bin, n: histograms of the value shapes of the named fields.
 
     Field "" counts the elements. There are at most 2 * bins rows per document and field before the join
-    and per version and field after it, whatever the data.
+    and per version and field after it, whatever the data; a shape's bin is a hash of all of it.
     """
     doc = elements.select("doc_id", F.try_parse_json("data").alias("doc"))
-    values = F.array(*(F.struct(F.lit(p).alias("field_path"), F.try_variant_get("doc", json_path(p), "variant").alias("v")) for p in paths))
-    one = F.array(F.struct(F.lit("").alias("field_path"), F.parse_json(F.lit("1")).alias("v")))
+    values = F.array(*(F.struct(F.lit(p).alias("field"), value_at(F.col("doc"), p).alias("v")) for p in fields))
+    one = F.array(F.struct(F.lit("").alias("field"), F.parse_json(F.lit("1")).alias("v")))
     found = doc.select("doc_id", F.explode_outer(F.concat(one, F.filter(values, lambda x: x["v"].isNotNull()))).alias("x")).select("doc_id", "x.*")
-    binned = found.select("doc_id", "field_path", F.explode_outer(value_shapes(F.col("v"))).alias("shape")).where("shape is not null")
-    binned = binned.select("doc_id", "field_path", (F.substring("shape", 1, 1).cast("long") * bins + F.pmod(F.xxhash64("shape"), F.lit(bins))).alias("bin"))
-    counted = binned.groupBy("doc_id", "field_path", "bin").agg(F.count("*").alias("n"))
-    return counted.join(producers(docs), "doc_id").groupBy("extractor", "schema_version", "field_path", "bin").agg(F.sum("n").alias("n"))
+    binned = found.select("doc_id", "field", F.explode_outer(value_shapes(F.col("v"))).alias("shape")).where("shape is not null")
+    binned = binned.select("doc_id", "field", (F.substring("shape", 1, 1).cast("long") * bins + F.pmod(F.xxhash64("shape"), F.lit(bins))).alias("bin"))
+    counted = binned.groupBy("doc_id", "field", "bin").agg(F.count("*").alias("n"))
+    return counted.join(versioned(origins(docs)), "doc_id").groupBy("extractor", "schema_version", "field", "bin").agg(F.sum("n").alias("n"))
+
 
+def likeness(a: dict[int, float], b: dict[int, float], total_a: float = 1.0, total_b: float = 1.0, bins: int = 1024) -> float:
+    """Mean overlap of the fine and coarse histograms, each as shares of its field's own values.
 
-def likeness(a: dict[int, float], b: dict[int, float], bins: int = 256) -> float:
-    """Mean of the fine and coarse histograms' overlap, each against the larger side; both are shares of all elements."""
-    score = 0.0
+    How often the field occurs among all elements is a weaker sign: it takes away a quarter at most.
+    """
+    score, of = 0.0, []
     for view in (0, 1):
         p, q = ({k: x for k, x in h.items() if k // bins == view} for h in (a, b))
-        most = max(sum(p.values()), sum(q.values()))
-        score += sum(min(x, q.get(k, 0.0)) for k, x in p.items()) / most if most else 0.0
-    return score / 2
+        n, m = sum(p.values()), sum(q.values())
+        if not n or not m:
+            return 0.0
+        score += sum(min(x / n, q.get(k, 0.0) / m) for k, x in p.items())
+        of.append((n / (total_a or 1.0), m / (total_b or 1.0)))
+    share = min(of[0]) / max(of[0])
+    return score / 2 * (0.75 + 0.25 * share)
 
 
 def pair_renames(pairs: list[tuple[str, int, str, str]], hist: dict, number: dict, least: float = RENAME_LEAST) -> set[tuple[str, int, str, str]]:
     """The best one-to-one pairing of `pairs` with likeness of at least `least`, best first, ties by name."""
     scored = []
     for e, v, old, new in pairs:
-        sides = []
+        sides, totals = [], []
         for path, at in ((old, v - 1), (new, v)):
             version = number[e, at]
-            total = sum(hist.get((e, version, ""), {}).values()) or 1.0
-            sides.append({k: n / total for k, n in hist.get((e, version, path), {}).items()})
-        scored.append((-likeness(*sides), e, v, old, new))
+            totals.append(sum(hist.get((e, version, ""), {}).values()) / 2)
+            sides.append(hist.get((e, version, path), {}))
+        scored.append((-likeness(*sides, *totals), e, v, old, new))
     taken: set = set()
     out = set()
     for score, e, v, old, new in sorted(scored):
@@ -252,71 +290,93 @@ def pair_renames(pairs: list[tuple[str, int, str, str]], hist: dict, number: dic
     return out
 
 
-def drift_report(docs: DataFrame, elements: DataFrame, least: float = RENAME_LEAST) -> DataFrame:
-    """extractor, schema_version, change_kind, field_path, new_path of every change between neighbouring versions.
+def changes_of(docs: DataFrame, elements: DataFrame, cat: DataFrame, least: float = RENAME_LEAST, most: int = MOST_FIELDS) -> list[tuple[str, str, str, str, str]]:
+    """(extractor, later version, change_kind, field, new field) of every change, in order.
 
     What reaches the driver is the catalogue's change log and the candidates' histograms: sizes set by
     the number of fields and versions, not by the number of rows.
     """
-    spark = docs.sparkSession
     vers = versions(docs)
-    number = {(r.extractor, r.version_no): r.schema_version for r in vers.collect()}
-    log = change_log(islands(catalogue(docs, elements), vers), vers).collect()
+    number = {(r.extractor, r.version_no): r.schema_version for r in bounded(vers, most)}
+    log = bounded(change_log(islands(cat, vers), vers), most)
     pairs = candidates(log)
     hist: dict = defaultdict(dict)
     if pairs:
         for r in profiles(docs, elements, sorted({p for x in pairs for p in x[2:]})).collect():
-            hist[r.extractor, r.schema_version, r.field_path][r.bin] = float(r.n)
+            hist[r.extractor, r.schema_version, r.field][r.bin] = float(r.n)
     renames = pair_renames(pairs, hist, number, least)
     gone = {(e, v, "removed", old) for e, v, old, _ in renames} | {(e, v, "added", new) for e, v, _, new in renames}
     rows = [(e, number[e, v], "renamed", old, new) for e, v, old, new in renames]
-    rows += [(r.extractor, number[r.extractor, r.version_no], r.change_kind, r.field_path, "") for r in log if (r.extractor, r.version_no, r.change_kind, r.field_path) not in gone]
-    return spark.createDataFrame(sorted(rows), CHANGES)
+    rows += [(r.extractor, number[r.extractor, r.version_no], r.change_kind, r.field, "") for r in log if (r.extractor, r.version_no, r.change_kind, r.field) not in gone]
+    return sorted(rows)
+
+
+def drift_report(docs: DataFrame, elements: DataFrame, least: float = RENAME_LEAST) -> DataFrame:
+    """extractor, schema_version, change_kind, field_path, new_path of every change between neighbouring versions."""
+    rows = changes_of(docs, elements, catalogue(docs, elements), least)
+    return docs.sparkSession.createDataFrame([(e, v, kind, shown(old), shown(new)) for e, v, kind, old, new in rows], CHANGES).distinct()
 
 
 # --- one consistent table ----------------------------------------------------------------------------
 
 
-def alias_table(changes: DataFrame) -> list[tuple[str, str, str]]:
-    """(extractor, old path, newest path), chains of renames followed to their end."""
-    step: dict = {}
-    for r in changes.where("change_kind = 'renamed'").collect():
-        step[r.extractor, r.field_path] = r.new_path
-    out = []
+def alias_table(changes: list[tuple[str, str, str, str, str]]) -> dict[tuple[str, str], str]:
+    """(extractor, old field) -> its newest name, chains of renames followed to their end."""
+    step = {(e, old): new for e, _, kind, old, new in changes if kind == "renamed"}
+    out = {}
     for e, old in step:
         new, seen = step[e, old], {old}
         while (e, new) in step and new not in seen:
             seen.add(new)
             new = step[e, new]
-        out.append((e, old, new))
-    return sorted(out)
+        out[e, old] = new
+    return out
+
+
+_OWN = ("elem_no", "doc_id", "extractor", "schema_version")
+
+
+def column_names(fields: list[str]) -> dict[str, str]:
+    """A column for each field: its keys joined by `_`, with a number behind where that is taken; upper and lower case are one."""
+    out, taken = {}, {n.lower() for n in _OWN} | {"__doc"}
+    for f in fields:
+        base = "_".join(k.replace(".", "_").replace("`", "_") for k in f.split(SEP)) or "_"
+        name, n = base, 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{base}_{n}"
+        taken.add(name.lower())
+        out[f] = name
+    return out
 
 
-def unify(docs: DataFrame, elements: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+def unify(docs: DataFrame, elements: DataFrame, least: float = RENAME_LEAST, most: int = MOST_FIELDS) -> DataFrame:
     """One table of all elements: elem_no, doc_id, extractor, schema_version and a column per field.
 
     extractor and schema_version are null where the document has none that can be read. Columns are
-    named by the newest name of a field, in documents without an extractor by any that reads it; a field whose JSON type changed is cast to the
+    named by the newest name of a field, in documents without an extractor by any that reads it; two fields
+    whose names differ only in signs or case get columns of their own. A field whose JSON type changed is cast to the
     wider of its types (a text unless all are numbers or all booleans), never dropped.
     """
-    changes = drift_report(docs, elements) if changes is None else changes
-    newest = {(e, old): new for e, old, new in alias_table(changes)}
+    cat = cut(catalogue(docs, elements))
+    newest = alias_table(changes_of(docs, elements, cat, least, most))
     sources: dict = defaultdict(set)
     types: dict = defaultdict(set)
-    fields = catalogue(docs, elements, every=True).select("extractor", "field_path", "json_type").distinct().collect()
+    fields = bounded(cat.select("extractor", "field", "json_type").distinct(), most)
     for r in sorted(fields, key=lambda r: r.extractor is None):
-        names = [newest.get((r.extractor, r.field_path), r.field_path)]
+        names = [newest.get((r.extractor, r.field), r.field)]
         if r.extractor is None:
-            names = [n for n in sources if r.field_path in sources[n]] or names
+            names = [n for n in sources if r.field in sources[n]] or names
         for name in names:
-            sources[name].add(r.field_path)
+            sources[name].add(r.field)
             types[name].add(r.json_type)
     sql = {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean"}
+    named = column_names(sorted(sources))
     columns = []
     for name in sorted(sources):
         kind = sql.get(frozenset(types[name]), "string")
         paths = sorted(sources[name], key=lambda p: (p != name, p))
-        columns.append(F.coalesce(*(F.try_variant_get("__doc", json_path(p), kind) for p in paths)).alias(name.replace(".", "_")))
-    once = elements.select("elem_no", "doc_id", "data").dropDuplicates(["elem_no"])
+        columns.append(F.coalesce(*(value_at(F.col("__doc"), p, kind) for p in paths)).alias(named[name]))
+    once = once_each(elements.select("elem_no", "doc_id", "data"), "elem_no")
     parsed = once.join(origins(docs).drop("version_key"), "doc_id", "left").withColumn("__doc", F.try_parse_json("data"))
     return parsed.select("elem_no", "doc_id", "extractor", "schema_version", *columns)

@@ -68,9 +68,17 @@ def is_local(sc: SparkContext) -> bool:
     return sc.master == "local" or sc.master.startswith("local[")
 
 
-def exact_once(df: DataFrame, key: str) -> DataFrame:
-    """One row per `key`; rows of one key are repeated deliveries that differ only in arrival."""
-    return df.dropDuplicates([key])
+def once_each(df: DataFrame, key: str, at_most: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per `key`; rows of one key are repeated deliveries that differ only in arrival.
+
+    Only the keys are grouped to find those that came more than once. Up to `at_most` of them are broadcast, and
+    only their rows are shuffled; beyond that all rows are.
+    """
+    again = df.groupBy(key).count().where("count > 1").select(F.col(key).alias("__again")).cache()
+    if again.count() > at_most:
+        return df.dropDuplicates([key])
+    same = F.col(key).eqNullSafe(F.col("__again"))
+    return df.join(F.broadcast(again), same, "left_anti").unionByName(df.join(F.broadcast(again), same, "left_semi").dropDuplicates([key]))
 
 
 def ship(spark: SparkSession) -> None:

@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 def spark():
     from paperloom.runtime import session
 
-    s = session("tests", spark__master="local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    s = session("tests", spark__master="local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

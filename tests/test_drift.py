@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import drift
@@ -47,7 +48,7 @@ def test_nulls_odd_data_and_empty(spark):
 
 
 def test_leaves_of_schema_strings():
-    assert drift.leaves("OBJECT<a: BIGINT, b: OBJECT<c: STRING, d: VOID>, e: ARRAY<OBJECT<x: BIGINT>>, `f g`: DECIMAL(3,1), h: BOOLEAN>") == [("a", "number"), ("b.c", "string"), ("e", "array"), ("f g", "number"), ("h", "boolean")]
+    assert drift.leaves("OBJECT<a: BIGINT, b: OBJECT<c: STRING, d: VOID>, e: ARRAY<OBJECT<x: BIGINT>>, `f g`: DECIMAL(3,1), h: BOOLEAN>") == [("a", "number"), ("b\x1fc", "string"), ("e", "array"), ("f g", "number"), ("h", "boolean")]
 
 
 def test_unified_table(spark):
@@ -70,3 +71,31 @@ def test_unified_table_has_documents_without_a_version(spark):
         a, b = sorted((r for r in rows if r.doc_id == d), key=lambda r: r.elem_no)
         assert (a.schema_version, a.style_name, a["size"], a.own, b.own) == ("1.0" if d == "d5" else None, "Heading 0", "large", 1.0, None)
     assert "style" not in rows[0].asDict()
+
+
+def test_keys_with_signs_get_columns_of_their_own(spark):
+    rows = [{"a.b": 1, "a_b": 2, "a": {"b": 3}, "A_B": 4, "it's": 5, 'q"\'': {"x.y": 6}, "doc_id": 7, "[0]": 8}]
+    docs, elements = tables(spark, [("1", rows)])
+    out = drift.unify(docs, elements)
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    r = out.first().asDict()
+    assert sorted(v for k, v in r.items() if isinstance(v, float)) == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0] and r["doc_id"] == "d0" and r["it's"] == 5.0
+
+
+def test_fields_that_differ_late_are_not_renames(spark):
+    head = "the same beginning of all of these texts, " * 3
+    old = [{"a": f"{head}{'x' * (i % 9)}"} for i in range(40)]
+    new = [{"b": f"{head}{'Y; ' * (300 + i % 9)}"} for i in range(40)]
+    assert report(spark, [("1", old), ("2", new)]) == {("2", "removed", "a", ""), ("2", "added", "b", "")}
+
+
+def test_rename_of_a_field_that_became_rarer(spark):
+    old = [{"style": f"Heading {i % 3}", "z": 1} for i in range(60)]
+    new = [{"style_name": f"Heading {i % 3}", "z": 1} if i % 4 == 0 else {"z": 1} for i in range(60)]
+    assert report(spark, [("1", old), ("2", new)]) == {("2", "renamed", "style", "style_name")}
+
+
+def test_too_many_fields_are_refused(spark):
+    docs, elements = tables(spark, [("1", [{f"k{i}": i} for i in range(30)])])
+    with pytest.raises(drift.TooManyFields):
+        drift.unify(docs, elements, most=20)
