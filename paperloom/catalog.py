@@ -261,11 +261,11 @@ def _violations(rule: str) -> Query:
 
 
 _RULE_SQL = {
-    "V1": "SELECT doc_id, 'V1' AS rule, filename AS detail FROM canonical_docs WHERE coalesce(trim(schema_version), '') = ''",
+    "V1": "SELECT doc_id, 'V1' AS rule, filename AS detail FROM canonical_docs WHERE coalesce(schema_version, '') = ''",
     "V2": "SELECT doc_id, 'V2' AS rule, CAST(unit_index AS VARCHAR) AS detail FROM units GROUP BY doc_id, unit_index HAVING count(*) > 1",
     "V3": "SELECT doc_id, 'V3' AS rule, CAST(unit_index AS VARCHAR) AS detail FROM units WHERE coalesce(unit_index, 0) <= 0",
-    "V4": f"SELECT doc_id, 'V4' AS rule, CAST(element_order AS VARCHAR) AS detail FROM {ELEMENTS} WHERE coalesce(trim(element_id), '') = ''",
-    "V5": f"SELECT doc_id, 'V5' AS rule, element_id AS detail FROM {ELEMENTS} WHERE coalesce(trim(element_id), '') <> '' GROUP BY doc_id, element_id HAVING count(*) > 1",
+    "V4": f"SELECT doc_id, 'V4' AS rule, CAST(element_order AS VARCHAR) AS detail FROM {ELEMENTS} WHERE coalesce(element_id, '') = ''",
+    "V5": f"SELECT doc_id, 'V5' AS rule, element_id AS detail FROM {ELEMENTS} WHERE coalesce(element_id, '') <> '' GROUP BY doc_id, element_id HAVING count(*) > 1",
     "V6": f"SELECT e.doc_id, 'V6' AS rule, e.element_id AS detail FROM {ELEMENTS} e WHERE e.source.unit_index IS NOT NULL AND NOT EXISTS (SELECT 1 FROM units u WHERE u.doc_id = e.doc_id AND u.unit_index = e.source.unit_index)",
     "V7": f"SELECT doc_id, 'V7' AS rule, concat_ws(':', unit_index, element_order) AS detail FROM {ELEMENTS} GROUP BY doc_id, unit_index, element_order HAVING count(*) > 1",
     "V8": "SELECT doc_id, 'V8' AS rule, asset_id AS detail FROM assets GROUP BY doc_id, asset_id HAVING count(*) > 1 UNION ALL SELECT doc_id, 'V8', output_path FROM assets WHERE output_path LIKE '/%' OR list_contains(string_split(output_path, '/'), '..')",

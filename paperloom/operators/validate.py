@@ -27,7 +27,7 @@ def rules(documents: DataFrame, units: DataFrame, elements: DataFrame, assets: D
     from paperloom.operators.provenance import orphan_sources
 
     def blank(c: str) -> Column:
-        return F.coalesce(F.trim(c), F.lit("")) == ""
+        return F.coalesce(c, F.lit("")) == ""
 
     return {
         "V1": _rows(documents.where(blank("schema_version")), "V1", F.col("filename")),

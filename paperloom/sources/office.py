@@ -12,6 +12,7 @@ import zlib
 from dataclasses import dataclass, field
 from typing import Any
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 from paperloom.functions.text import MEDIA_TYPES
 
@@ -75,6 +76,30 @@ class Unreadable(Exception):
     """The file can't be parsed."""
 
 
+class _Stop(Exception):
+    pass
+
+
+def declares_type(raw: bytes) -> bool:
+    """Whether an XML document has a DOCTYPE, by the parser itself, in any encoding and behind any comment."""
+    found = []
+
+    def doctype(*_: Any) -> None:
+        found.append(True)
+        raise _Stop
+
+    def element(*_: Any) -> None:
+        raise _Stop
+
+    p = expat.ParserCreate()
+    p.StartDoctypeDeclHandler, p.StartElementHandler = doctype, element
+    try:
+        p.Parse(raw, True)
+    except (_Stop, expat.ExpatError):
+        pass  # what isn't well formed is refused by the reader of the tree
+    return bool(found)
+
+
 @dataclass
 class Built:
     """What an extractor found, in canonical form but for doc_id; `data` values are plain Python."""
@@ -131,7 +156,7 @@ class Package:
         if name not in self.known:
             return None
         raw = self.read(name)
-        if b"<!DOCTYPE" in raw[:4096]:
+        if declares_type(raw):
             raise Unreadable(f"the part {name} declares a document type")
         try:
             return ET.fromstring(raw)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import unicodedata
 import zlib
 from typing import Any
@@ -584,27 +585,42 @@ def page_text(pdf: Reader, page: dict) -> str:
 # --- extraction --------------------------------------------------------------------------------------
 
 
-def plain(v: Any, depth: int = 0) -> Any:
-    """A value that JSON can hold."""
-    if isinstance(v, (bool, int, float)) or v is None:
-        return v
-    if isinstance(v, bytes):
-        return decode(v)
-    if isinstance(v, Name):
-        return "/" + v
-    if isinstance(v, dict) and depth < 6:
-        return {k: plain(x, depth + 1) for k, x in v.items()}
-    if isinstance(v, list) and depth < 6:
-        return [plain(x, depth + 1) for x in v]
-    return str(v)
-
-
-def _names(pdf: Reader, node: Any, depth: int = 0) -> list[tuple[Any, Any]]:
-    node = pdf.get(node)
-    if not isinstance(node, dict) or depth > 20:
-        return []
-    own = pdf.get(node.get("Names")) or []
-    return list(zip(own[::2], own[1::2], strict=False)) + [x for k in pdf.get(node.get("Kids")) or [] for x in _names(pdf, k, depth + 1)]
+def plain(v: Any) -> Any:
+    """A value that JSON can hold, to any depth; references stay as their text."""
+    top: list[Any] = [v]
+    todo: list[tuple[Any, Any]] = [(top, 0)]
+    while todo:
+        holder, at = todo.pop()
+        x = holder[at]
+        if isinstance(x, (dict, list)):
+            made = dict(x) if isinstance(x, dict) else list(x)
+            holder[at] = made
+            todo += [(made, k) for k in (made if isinstance(made, dict) else range(len(made)))]
+        elif isinstance(x, bytes):
+            holder[at] = decode(x)
+        elif isinstance(x, Name):
+            holder[at] = "/" + x
+        elif not isinstance(x, (bool, int, float)) and x is not None:
+            holder[at] = str(x)
+    return top[0]
+
+
+def _names(pdf: Reader, node: Any) -> list[tuple[Any, Any]]:
+    """The pairs of a name tree of any depth, in order; a node that comes again is a loop and is left out."""
+    out: list[tuple[Any, Any]] = []
+    stack, seen = [node], set()
+    while stack:
+        at = stack.pop()
+        if isinstance(at, Ref):
+            if at in seen:
+                continue
+            seen.add(at)
+        here = pdf.get(at)
+        if isinstance(here, dict):
+            own = pdf.get(here.get("Names")) or []
+            out += zip(own[::2], own[1::2], strict=False)
+            stack += reversed(pdf.get(here.get("Kids")) or [])
+    return out
 
 
 def _outline(pdf: Reader, pages: dict) -> list[dict]:
@@ -635,24 +651,28 @@ def _outline(pdf: Reader, pages: dict) -> list[dict]:
 
 
 def _fields(pdf: Reader) -> dict[str, Any]:
+    """Form fields of any depth by their full names."""
     out: dict[str, Any] = {}
-
-    def walk(ref: Any, prefix: str, kind: Any, depth: int) -> None:
+    first = pdf.get((pdf.get(pdf.root.get("AcroForm")) or {}).get("Fields")) or []
+    stack: list[tuple[Any, str, Any]] = [(f, "", None) for f in reversed(first)]
+    seen: set = set()
+    while stack:
+        ref, prefix, kind = stack.pop()
+        if isinstance(ref, Ref):
+            if ref in seen:
+                continue
+            seen.add(ref)
         f = pdf.get(ref)
-        if not isinstance(f, dict) or depth > 20:
-            return
+        if not isinstance(f, dict):
+            continue
         own = decode(pdf.get(f.get("T")))
         name = f"{prefix}.{own}" if prefix and own else own or prefix
         kind = pdf.get(f.get("FT")) or kind
         kids = [k for k in pdf.get(f.get("Kids")) or [] if "T" in (pdf.get(k) or {})]
         if kids:
-            for k in kids:
-                walk(k, name, kind, depth + 1)
+            stack += [(k, name, kind) for k in reversed(kids)]
         elif name:
-            out[name] = {"type": plain(kind), "value": plain(pdf.get(f.get("V"))), "default": plain(pdf.get(f.get("DV"))), "alternate_name": plain(pdf.get(f.get("TU"))), "mapping_name": plain(pdf.get(f.get("TM")))}
-
-    for f in pdf.get((pdf.get(pdf.root.get("AcroForm")) or {}).get("Fields")) or []:
-        walk(f, "", None, 0)
+            out[name] = {"field_type": plain(kind), "value": plain(pdf.get(f.get("V"))), "default_value": plain(pdf.get(f.get("DV"))), "alternate_name": plain(pdf.get(f.get("TU"))), "mapping_name": plain(pdf.get(f.get("TM")))}
     return out
 
 
@@ -675,10 +695,29 @@ def images(pdf: Reader, page: dict) -> list[tuple[str, bytes]]:
             f = pdf.get(s.head.get("Filter"))
             last = f[-1] if isinstance(f, list) and f else f
             ext = {"DCTDecode": "jpg", "JPXDecode": "jp2", "CCITTFaxDecode": "tiff"}.get(last, "bin")
-            out.append((f"{name}.{ext}", pdf.data(s)))
+            raw = pdf.data(s)
+            if ext == "bin" and (made := as_png(raw, pdf.get(s.head.get("Width")), pdf.get(s.head.get("Height")), pdf.get(s.head.get("ColorSpace")), pdf.get(s.head.get("BitsPerComponent")))):
+                raw, ext = made, "png"
+            out.append((f"{name}.{ext}", raw))
     return out
 
 
+def as_png(samples: bytes, width: Any, height: Any, space: Any, bits: Any) -> bytes | None:
+    """Plain grey or RGB samples as a PNG picture; null where they aren't such."""
+    bands = {"DeviceGray": 1, "DeviceRGB": 3}.get(space if isinstance(space, str) else "")
+    if not bands or not isinstance(width, int) or not isinstance(height, int) or bits not in (1, 8) or bits == 1 and bands == 3:
+        return None
+    row = (width * bands * bits + 7) // 8
+    if width <= 0 or height <= 0 or len(samples) < row * height:
+        return None
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    lines = b"".join(b"\x00" + samples[i * row : (i + 1) * row] for i in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, 0 if bands == 1 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
 def extract(content: bytes, password: str | None = None) -> Built:
     pdf = Reader(content, password)
     built = Built("pypdf")

@@ -25,8 +25,11 @@ def once_per_content(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return stream.withColumn("sha256", F.sha2("content", 256)).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["sha256"]).drop("sha256")
 
 
-def start(spark: SparkSession, path: str, target: str, checkpoint: str, options: Options = Options(), dedupe: bool = True) -> StreamingQuery:  # noqa: B008
-    """Appends the found rows of arriving files to `target`, partitioned by relation; rejects are rows too."""
+def start(spark: SparkSession, path: str, target: str, checkpoint: str, options: Options = Options(), dedupe: bool = False) -> StreamingQuery:  # noqa: B008
+    """Appends the found rows of arriving files to `target`, partitioned by relation; rejects are rows too.
+
+    Every file is a document of its own; with `dedupe`, files whose bytes came before are left out.
+    """
     stream = arriving(spark, path)
     stream = once_per_content(stream) if dedupe else stream
 

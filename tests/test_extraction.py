@@ -9,7 +9,7 @@ from paperloom.operators.validate import InvalidDocuments, violations
 from paperloom.options import Options
 from paperloom.plans.pipeline import corpus
 from paperloom.sources import files, pdf, sheet, sinks, slide, word
-from paperloom.sources.office import Unreadable
+from paperloom.sources.office import Unreadable, declares_type
 from tests import fixtures as fx
 
 
@@ -62,8 +62,11 @@ def test_word_last_asset_of_equal_bytes_wins():
 
 
 def test_doctype_is_refused():
-    with pytest.raises(Unreadable):
-        word.extract(fx.word({"word/document.xml": "<!DOCTYPE a><a/>"}))
+    doc = "<!DOCTYPE a [<!ENTITY e 'x'>]><a>&e;</a>"
+    for raw in (doc, f"<!--{'-=' * 5000}--> {doc}", ("<?xml version='1.0' encoding='utf-16'?>" + doc).encode("utf-16"), b"\xef\xbb\xbf" + doc.encode()):
+        with pytest.raises(Unreadable, match="document type"):
+            word.extract(fx.word({"word/document.xml": raw}))
+    assert not declares_type(b"<a><![CDATA[<!DOCTYPE b>]]></a>")
 
 
 def test_slides():
@@ -89,6 +92,24 @@ def test_pdf():
     assert b.properties["pdf"]["form_fields"]["field"]["value"] == "val" and [a["asset_type"] for a in b.assets] == ["pdf_image", "pdf_image"]
 
 
+def test_pdf_depth_has_no_limit():
+    n, raw = 30, fx.pdf(attachment=b"deep")
+    chain = "".join(f"{100 + i} 0 obj\n<< /T (f{i}) /Kids [{101 + i} 0 R] >>\nendobj\n" for i in range(n)) + f"{100 + n} 0 obj\n<< /T (leaf) /FT /Tx /V {'[' * 12}(deep){']' * 12} >>\nendobj\n"
+    names = "".join(f"{200 + i} 0 obj\n<< /Kids [{201 + i} 0 R] >>\nendobj\n" for i in range(n)) + f"{200 + n} 0 obj\n<< /Names [(payload.txt) 8 0 R] /Kids [200 0 R] >>\nendobj\n"
+    raw = raw.replace(b"/Fields [30 0 R]", b"/Fields [30 0 R 100 0 R]").replace(b"/EmbeddedFiles << /Names [(payload.txt) 8 0 R] >>", b"/EmbeddedFiles 200 0 R").replace(b"trailer", (chain + names).encode() + b"trailer")
+    b = pdf.extract(raw)
+    value = b.properties["pdf"]["form_fields"][".".join(f"f{i}" for i in range(n)) + ".leaf"]["value"]
+    for _ in range(12):
+        (value,) = value
+    assert value == "deep" and [a["original_name"] for a in b.assets if a["asset_type"] == "pdf_attachment"] == ["payload.txt"]
+
+
+def test_pdf_samples_become_pictures():
+    (first, *_) = pdf.payloads(fx.pdf()).items()
+    assert first[0].endswith("Im1.png") and first[1].startswith(b"\x89PNG")
+    assert pdf.as_png(b"x", 2, 2, "DeviceGray", 8) is None and pdf.as_png(b"abcd", 2, 2, "DeviceCMYK", 8) is None
+
+
 def test_pdf_fonts():
     raw = fx.pdf(pages=("caf\\351 \\200 \\001",)).replace(b"/BaseFont /Helvetica", b"/BaseFont /Helvetica /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [1 /ntilde] >>")
     assert texts(pdf.extract(raw), "paragraph")[0].startswith("café € ñ")
@@ -230,7 +251,7 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in/b.xlsx").write_bytes(fx.workbook())
     ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out"))
-    assert found.where("relation = 'documents'").count() == 1
+    assert found.where("relation = 'documents'").count() == 2
 
 
 def test_cli(tmp_path, capsys, spark):
