@@ -4,10 +4,12 @@ The method is pigeonhole edit matching. A passage is a window of `window` consec
 With an error budget of k characters it is split into k + 1 pieces of whole words; at least one of them
 must occur unchanged in any text within k edits. One Aho-Corasick automaton of all pieces runs over each
 document once; around every hit the passages that hold the piece are verified by Myers' bit-parallel
-distance. An exact check follows: the longest run of equal words through the hit.
+distance, and a document and an item are a pair only where the distance is within the budget. An exact
+check follows: the longest run of equal words through the hits.
 
-Items are the stated query set: they are read in blocks of a bounded number of items, and each block is
-held against all documents; documents are never shuffled and never collected.
+Items are the stated query set. They are held in blocks of bounded size, and each block is held against
+all documents; one block takes some hundred thousand items, and each further one reads the documents once
+more. Documents are never shuffled and never collected.
 
 Defined results: null or empty texts match nothing; items shorter than `window` words are no query; a word
 is a maximal run of letters and digits after removing invisible characters, composing accents and folding
@@ -29,8 +31,8 @@ from pyspark.sql import types as T
 
 from paperloom.llm.lookalike import INVISIBLE
 
-#: Items held at once by every task.
-BLOCK = 20_000
+#: Bytes of items' texts held at once by every task.
+BLOCK = 16 << 20
 
 _INVISIBLE = re.compile("[" + re.escape(INVISIBLE) + "]")
 _BREAK = re.compile(r"[\W_]+")
@@ -101,23 +103,21 @@ class Matcher:
         if not hits:
             return found
         for n, places in hits.items():
-            least, most = self.budget + 1, 0
             words = self.items[n][1]
-            done_to = -1
+            least = self.budget + 1
             for start, at in places:
-                if start <= done_to and most >= self.window:
-                    continue
-                run, end = self._run(plain, start, words, at)
-                most = max(most, run)
-                if run >= self.window:
-                    least, done_to = 0, end
-            if least:
-                for start, at in places:
-                    least = min(least, self._verify(plain, start, words, at, least - 1))
-                    if not least:
-                        break
-            if least <= self.budget:
-                found[n] = (least, most)
+                least = self._verify(plain, start, words, at, least - 1)
+                if not least:
+                    break
+            if least > self.budget:
+                continue
+            most, done_to = 0, -1
+            for start, at in places:
+                if start > done_to:
+                    run, end = self._run(plain, start, words, at)
+                    if run >= most:
+                        most, done_to = run, end if run >= self.window else done_to
+            found[n] = (least, most)
         return found
 
     def _run(self, plain: str, start: int, words: list[str], at: int) -> tuple[int, int]:
@@ -135,7 +135,8 @@ class Matcher:
     def _verify(self, plain: str, start: int, words: list[str], at: int, most: int) -> int:
         """Least distance, up to `most`, of the passages that hold the piece at `at`, from the text around the hit."""
         best = most + 1
-        for first in range(max(0, at + self.size - self.window), min(at, len(words) - self.window) + 1):
+        # a passage that starts with the piece comes first: the first hit is mostly the start of what both share
+        for first in range(min(at, len(words) - self.window), max(0, at + self.size - self.window) - 1, -1):
             pattern = " " + " ".join(words[first : first + self.window]) + " "
             before = sum(len(w) + 1 for w in words[first:at])
             lo = max(0, start - before - self.budget)
@@ -149,22 +150,19 @@ _LEAKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ite
 
 
 def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, by ranges of their ids."""
+    """The items in blocks of about `size` bytes; which block an item is in is a hash of it, so none is lost or split."""
     items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").dropDuplicates(["item_id", "text"])
-    last = None
-    while True:
-        rest = items if last is None else items.where(F.col("item_id") > last)
-        rows = rest.orderBy("item_id", "text").limit(size).collect()
-        if len(rows) == size and rows[0].item_id != rows[-1].item_id:
-            rows = [r for r in rows if r.item_id != rows[-1].item_id]  # a block ends with a whole item
-        if not rows:
-            return
-        yield [(r.item_id, r.text) for r in rows]
-        last = rows[-1].item_id
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // size)
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) if n else F.lit(0)
+    for k in range(n):
+        yield [(r.item_id, r.text) for r in items.where(block == k).orderBy("item_id", "text").collect()]
 
 
 def leaks(documents: DataFrame, items: DataFrame, window: int = 12, budget: int = 1, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, distance and words_in_a_row of every document that holds a passage of an item within the budget."""
+    if not 0 <= budget < window:
+        raise ValueError("a passage has at most one piece for each of its words")
     spark = documents.sparkSession
     text = documents.where(F.length("text") > 0).select("doc_id", "text")
     out = spark.createDataFrame([], _LEAKS)

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from paperloom.llm import tokens
+from paperloom.runtime import cut, small
 
 #: Items ranked by one task at most, about.
 BUCKET = 200_000
@@ -72,9 +73,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple
         take(first)
         while gap and (s := largest(gap)):
             take(s, int(min(left[s], gap // s)))
-        if gap and len(content) + sum(content.values()) > 2:
-            small = min(content)
-            room = gap + small
+        if gap:  # the smallest item of a bin of one is that one
+            least = min(content)
+            room = gap + least
             # two unpacked items of together more than the one they replace, closest to the room
             here = np.flatnonzero(left[1 : room]) + 1
             if len(here):
@@ -82,10 +83,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple
                 valid = (here + partner <= room) & ((here != partner) | (left[here] > 1))
                 total = np.where(valid, here + partner, 0)
                 best = int(total.argmax())
-                if total[best] > small:
-                    take(small, -1)
-                    if not content[small]:
-                        del content[small]
+                if total[best] > least:
+                    take(least, -1)
+                    if not content[least]:
+                        del content[least]
                     take(int(here[best]))
                     take(int(partner[best]))
         times = 1 + min(int(left[s]) // n for s, n in content.items())
@@ -119,27 +120,31 @@ def pack(sized: DataFrame, capacity: int, bucket: int = BUCKET) -> DataFrame:
             rows.append((size, lo, lo + per * times, per, first_bin))
         first_bin += times
     table = spark.createDataFrame(rows, "size int, lo long, hi long, per int, first_bin long")
-    salt = max(1, -(-max(counts.values(), default=1) // bucket))
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salt)).cast("int"))
+    # a size has as many buckets as its own number of items needs; the table has at most `capacity` rows
+    salts = spark.createDataFrame([(s, -(-n // bucket)) for s, n in counts.items()], "size int, salts long")
+    salted = items.join(small(salts), "size").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), "salts").cast("int")).drop("salts")
     before = W.partitionBy("size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = salted.groupBy("size", "salt").agg(F.count("*").alias("n")).select("size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(W.partitionBy("size", "salt").orderBy("doc_id", "piece_no")) - 1
     ranked = salted.withColumn("in_bucket", rank).join(offsets, ["size", "salt"]).withColumn("rank", F.col("offset") + F.col("in_bucket"))
-    # a size's make-ups as a sorted array beside its items: the last `lo` up to the rank is the item's. The
-    # plan's size is bounded by the capacity, whatever the number of items, so it may be broadcast.
+    # a size's make-ups as a sorted array beside its items: the last `lo` up to the rank is the item's
     spans = table.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("lo", "per", "first_bin"))).alias("spans"))
-    found = ranked.join(F.broadcast(spans), "size").withColumn("span", F.element_at(F.filter("spans", lambda x: x["lo"] <= F.col("rank")), -1))
+    found = ranked.join(small(spans), "size").withColumn("span", F.element_at(F.filter("spans", lambda x: x["lo"] <= F.col("rank")), -1))
     bin_no = F.col("span.first_bin") + F.floor((F.col("rank") - F.col("span.lo")) / F.col("span.per"))
     return found.select(bin_no.cast("long").alias("bin_no"), "doc_id", "piece_no", "n_pieces", "token_start", "size")
 
 
 def pack_all(documents: DataFrame, containers: DataFrame, tokenizer: str = tokens.DEFAULT, folder: str = tokens.FOLDER) -> DataFrame:
     """The packing of all documents into containers of each size; the table of sizes is fixed and small."""
-    from paperloom.runtime import cut
-
     sized = cut(sizes(documents, tokenizer, folder))
     out = None
     for r in containers.where("capacity_tokens > 0").select("container_id", "capacity_tokens").distinct().orderBy("container_id").collect():
         one = pack(sized, r.capacity_tokens).withColumn("container_id", F.lit(r.container_id)).withColumn("capacity_tokens", F.lit(r.capacity_tokens))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def packing_report(packed: DataFrame) -> DataFrame:
+    """container_id, capacity_tokens, bins, tokens, fewest (the bins that all tokens fill to the brim) and filled (share of the space used)."""
+    per = packed.groupBy("container_id", "capacity_tokens").agg((F.max("bin_no") + 1).alias("bins"), F.sum("size").cast("long").alias("tokens"))
+    return per.withColumn("fewest", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn("filled", F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")))

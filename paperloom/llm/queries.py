@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import encoding, language, leakage, lookalike, packing, scans, shared, splitting
+from paperloom.llm import encoding, language, leakage, lookalike, packing, scans, shared, splitting, tokens
 from paperloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,9 +72,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+#: Edits of a passage of twelve words that p9_leaks allows.
+EDITS = 3
+
+
 @query("p9_leaks")
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), budget=EDITS)
 
 
 #: Every stretch of 240 characters of every document.
@@ -130,11 +134,21 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_elements(table(spark, d, "elements"))
 
 
+@query("p1_token_pieces")
+def p1_token_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_elements(table(spark, d, "elements"), 512, 64, tokens.DEFAULT)
+
+
 @query("p8_containers")
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_all(table(spark, d, "documents"), table(spark, d, "container_sizes"))
 
 
+@query("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(packing.pack_all(table(spark, d, "documents"), table(spark, d, "container_sizes")))
+
+
 @query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_noise(table(spark, d, "canonical_docs"), table(spark, d, "elements"))

@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,34 +96,37 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, token_starts:
         start = max(cutter.back(start, end, overlap), start + 1)
 
 
-_PIECES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("boundary", T.StringType()), T.StructField("piece", T.StringType())]))
-
-
-def _split_udf(limit: int, overlap: int, tokenizer: str | None, folder: str):  # noqa: ANN202
-    @F.udf(returnType=_PIECES, useArrow=True)
-    def split(text: str | None):  # noqa: ANN202
-        if text is None:
-            return None
-        at = tokens.starts(text, tokenizer, folder) if tokenizer else None
-        return [(s, e, k, text[s:e]) for s, e, k in pieces(text, limit, overlap, at)]
-
-    return split
+_PIECE = [("piece_no", T.IntegerType(), pa.int32()), ("start", T.IntegerType(), pa.int32()), ("end", T.IntegerType(), pa.int32()), ("boundary", T.StringType(), pa.string()), ("piece", T.StringType(), pa.string())]
 
 
 def long_pieces(df: DataFrame, keys: list[str], text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str | None = None, folder: str = tokens.FOLDER) -> DataFrame:
     """keys, piece_no from 1, start, end, boundary and piece of every text of more than `limit` units."""
-    # a token holds a character at least, so fewer characters than the limit are never too many
-    few = df.where(F.length(text) > limit).select(*keys, F.col(text).alias("__text"))
-    cut = few.select(*keys, F.posexplode(_split_udf(limit, overlap, tokenizer, folder)("__text")).alias("__n", "__p"))
-    out = cut.select(*keys, (F.col("__n") + 1).alias("piece_no"), "__p.*")
-    if not tokenizer:
-        return out
-    return out.where((F.col("piece_no") > 1) | (F.col("boundary") != "end"))
-
-
-def split_elements(elements: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    # a token of a byte vocabulary holds a byte at least, so a text of no more bytes than the limit is never too long
+    size = F.octet_length(text) if tokenizer else F.length(text)
+    few = df.where(size > limit).select(*keys, F.col(text).alias("__text"))
+    schema = T.StructType([*(few.schema[k] for k in keys), *(T.StructField(n, k) for n, k, _ in _PIECE)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of: list[int] = []
+            columns: list[list] = [[] for _ in _PIECE]
+            for row, t in enumerate(b.column(len(keys)).to_pylist()):
+                at = tokens.starts(t, tokenizer, folder) if tokenizer else None
+                if at is not None and len(at) <= limit:
+                    continue
+                for n, (s, e, kind) in enumerate(pieces(t, limit, overlap, at), 1):
+                    of.append(row)
+                    for c, x in zip(columns, (n, s, e, kind, t[s:e]), strict=True):
+                        c.append(x)
+            rows = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(len(keys))), *(pa.array(c, k) for c, (_, _, k) in zip(columns, _PIECE, strict=True))], names=schema.names)
+
+    return few.mapInArrow(run, schema)
+
+
+def split_elements(elements: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str | None = None, folder: str = tokens.FOLDER) -> DataFrame:
     """The pieces of all too long elements with their place in the document, each element once."""
-    return long_pieces(elements, ["elem_no", "doc_id", "unit_index", "element_order"], "text", limit, overlap).dropDuplicates(["elem_no", "piece_no"])
+    return long_pieces(elements, ["elem_no", "doc_id", "unit_index", "element_order"], "text", limit, overlap, tokenizer, folder).dropDuplicates(["elem_no", "piece_no"])
 
 
 def split_found(elements: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

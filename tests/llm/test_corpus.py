@@ -117,7 +117,7 @@ def test_leaks_against_brute_force(spark):
     dd = spark.createDataFrame(docs, "doc_id long, text string")
     want = {(d, i) for d, t in docs if t for i, x in items if longest_run(leakage.words_of(x).split(), leakage.words_of(t).split()) >= 12}
     assert want and {tuple(x) for x in leakage.leaked_pairs(dd, di).collect()} == want
-    blocks = leakage.leaks(dd, di, block=7).where("words_in_a_row >= 12")
+    blocks = leakage.leaks(dd, di, block=700).where("words_in_a_row >= 12")
     assert {(x.doc_id, x.item_id) for x in blocks.collect()} == want
     assert leakage.leaked_pairs(dd.limit(0), di).count() == 0 and leakage.leaked_pairs(dd, di.limit(0)).count() == 0
 
@@ -132,6 +132,37 @@ def test_one_edit_is_within_the_budget(spark):
     assert leakage.leaked_pairs(dd, di).count() == 0
 
 
+@pytest.mark.parametrize("budget", [1, 3, 5])
+def test_edits_against_brute_force(spark, budget):
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(80)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([12, 15, 20])))) for i in range(6)]
+    docs, planted = [], []
+    for d in range(60):
+        words = [r.choice(vocab) for _ in range(20)]
+        i, item = r.choice(items)
+        at = r.randrange(len(item.split()) - 11)
+        part = " ".join(item.split()[at : at + 12])
+        edits = r.randrange(0, 7)
+        for _ in range(edits):
+            k = r.randrange(len(part))
+            part = part[:k] + r.choice(["", "x", "xy"[:1] + part[k : k + 1]]) + part[k + 1 :]
+        words[9:9] = part.split()
+        docs.append((d, " ".join(words)))
+        planted.append((d, i, edits))
+
+    def least(item, text):
+        w = item.split()
+        return min(plain_distance(" " + " ".join(w[k : k + 12]) + " ", " " + text + " ") for k in range(len(w) - 11))
+
+    want = {(d, i): x for d, t in docs for i, item in items if (x := least(item, t)) <= budget}
+    got = {(x.doc_id, x.item_id): x.distance for x in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), budget=budget).collect()}
+    # an edit inside a space joins two words, whose pieces then can't be found as whole words: all others are found
+    assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
+    assert len(got) >= 0.9 * len(want) and sum(1 for k in got if got[k] == want[k]) >= 0.9 * len(got)
+    assert {(d, i) for d, i, e in planted if e == 0} <= set(got)
+
+
 # --- shared spans
 
 

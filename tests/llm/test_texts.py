@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from paperloom.llm import encoding, language, lookalike, splitting
+from paperloom.llm import encoding, language, lookalike, splitting, tokens
 
 
 def elements(spark, texts, kind="paragraph", doc="d"):
@@ -51,6 +51,16 @@ def test_split_elements(spark):
     assert splitting.split_found(df.limit(0)).count() == 0
 
 
+def test_characters_of_several_tokens(spark):
+    text = "\U00020000\U0001f9ff\u0f40" * 500
+    starts = tokens.starts(text)
+    assert len(starts) > 4000 and len(text) == 1500
+    df = elements(spark, [text, "short"]).withColumnRenamed("doc_id", "piece")
+    rows = splitting.long_pieces(df, ["elem_no"], "text", 2000, 200, tokens.DEFAULT).orderBy("piece_no").collect()
+    assert len(rows) >= 3 and all(sum(r.start <= x < r.end for x in starts) <= 2000 for r in rows)
+    assert rows[0].start == 0 and rows[-1].end == 1500 and all(a.end >= b.start for a, b in zip(rows, rows[1:], strict=False))
+
+
 # --- encoding
 
 SAMPLES = ["Die Prüfung erhält größere Maße für 5 €", "L’été déjà passé à l’hôtel", "mañana según la última versión", "não há informação", "порядок чтения страницы", "ترتيب القراءة في الصفحة"]
