@@ -92,14 +92,27 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared.shared_pairs(table(spark, d, "documents"))
 
 
-#: Every place of a stretch of 240 characters that another document holds too, places within reach of each other made one span.
+@query(
+    "p10_classes",
+    f"""WITH p AS ({_SHARED_SQL}), c AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE length(text) >= 240),
+ l AS (SELECT a.class_id AS x, b.class_id AS y FROM p JOIN c a ON a.doc_id = p.doc_id_a JOIN c b ON b.doc_id = p.doc_id_b WHERE a.class_id <> b.class_id), e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+ n AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+ SELECT doc_id, class_id, copies, coalesce(links, 0) AS links FROM c LEFT JOIN n ON n.x = c.class_id""",
+)
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return shared.class_links(table(spark, d, "documents"))
+
+
+#: Every place of a stretch of 240 characters that another document holds too, places within reach of each other made one span; the same for those that an earlier document holds.
 _RECORDS_SQL = """WITH g AS (SELECT doc_id, k, hash(substr(text, k, 240)) AS h FROM documents, unnest(range(1, length(text) - 238)) AS r(k) WHERE length(text) >= 240),
- s AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
- m AS (SELECT doc_id, k, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS step FROM g SEMI JOIN s ON g.h = s.h),
- i AS (SELECT doc_id, k, sum(CASE WHEN step <= 240 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM m),
- x AS (SELECT doc_id, min(k) - 1 AS a, max(k) + 239 AS z FROM i GROUP BY doc_id, island),
- p AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n, list([a, z] ORDER BY a) AS spans FROM x GROUP BY doc_id)
- SELECT d.doc_id, coalesce(length(d.text), 0) AS chars, coalesce(p.n, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN coalesce(p.n, 0) / length(d.text) ELSE 0.0::DOUBLE END AS shared_share, coalesce(p.spans, []) AS spans FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id"""
+ s AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+ m AS (SELECT doc_id, k, kind FROM g JOIN s ON g.h = s.h, unnest(CASE WHEN doc_id > first THEN ['all', 'later'] ELSE ['all'] END) AS u(kind)),
+ t AS (SELECT *, k - lag(k) OVER (PARTITION BY kind, doc_id ORDER BY k) AS step FROM m),
+ i AS (SELECT *, sum(CASE WHEN step <= 240 THEN 0 ELSE 1 END) OVER (PARTITION BY kind, doc_id ORDER BY k) AS island FROM t),
+ x AS (SELECT kind, doc_id, min(k) - 1 AS a, max(k) + 239 AS z FROM i GROUP BY kind, doc_id, island),
+ p AS (SELECT kind, doc_id, CAST(sum(z - a) AS BIGINT) AS n, list([a, z] ORDER BY a) AS spans FROM x GROUP BY kind, doc_id)
+ SELECT d.doc_id, coalesce(length(d.text), 0) AS chars, coalesce(p.n, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN coalesce(p.n, 0) / length(d.text) ELSE 0.0::DOUBLE END AS shared_share, coalesce(p.spans, []) AS spans,
+  coalesce(q.n, 0) AS later_chars, coalesce(q.spans, []) AS later_spans FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id AND p.kind = 'all' LEFT JOIN p q ON q.doc_id = d.doc_id AND q.kind = 'later'"""
 
 
 @query("p10_records", _RECORDS_SQL)
@@ -107,6 +120,12 @@ def p10_records(spark: SparkSession, d: str) -> DataFrame:
     return shared.shared_spans(table(spark, d, "documents"))
 
 
+@query("p10_without")
+def p10_without(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return shared.without(docs, shared.shared_spans(docs))
+
+
 _LINE_SPANS_SQL = """WITH l AS (SELECT doc_id, u.line AS line, length(u.line) AS n, sum(length(u.line) + 1) OVER (PARTITION BY doc_id ORDER BY u.pos ROWS UNBOUNDED PRECEDING) - length(u.line) - 1 AS start
   FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, pos) WHERE text IS NOT NULL),
  f AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, start) AS nth FROM l WHERE n >= 40)

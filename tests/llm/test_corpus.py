@@ -206,8 +206,13 @@ def test_pairs_against_brute_force(spark, small, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, record string")
     grams = [{t[k : k + 240] for k in range(len(t) - 239)} if t else set() for t in texts]
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if grams[i] & grams[j]}
-    monkeypatch.setattr(shared.shared_classes, "__defaults__", (240, 128, small))
+    monkeypatch.setattr(shared.candidates, "__defaults__", (240, 128, small))
     assert {tuple(x) for x in shared.shared_pairs(df).collect()} == want and want
+    first = {i: texts.index(t) for i, t in enumerate(texts)}
+    links = {(first[i], first[j]) for i, j in want if first[i] != first[j]}
+    for x in shared.class_links(df).collect():
+        mine = first[x.doc_id]
+        assert (x.class_id, x.copies, x.links) == (mine, sum(f == mine for f in first.values()), len({b for a, b in links | {(b, a) for a, b in links} if a == mine}))
     assert shared.shared_pairs(df.limit(0)).count() == 0
 
 
@@ -220,12 +225,18 @@ def test_spans_against_brute_force(spark, small):
     texts += [own + random_text(r, 20) + own, common[3], common[3], "short", "", None, common[0][:400] + random_text(r, 400) + common[0][300:]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     held = [{t[k : k + 240] for k in range(len(t or "") - 239)} for t in texts]
-    rows = {x.doc_id: x for x in shared.shared_spans(df.unionByName(df.limit(3)), small=small).collect()}
-    assert len(rows) == len(texts)
+    rows = {x.doc_id: x for x in shared.shared_spans(df.unionByName(df.limit(3)), most=small).collect()}
+    kept = {x.doc_id: x.text for x in shared.without(df, shared.shared_spans(df, most=small)).collect()}
+    assert len(rows) == len(texts) and len(kept) == len(texts) - 1
     for i, t in enumerate(texts):
         other = set().union(*(h for j, h in enumerate(held) if j != i))
         at = {p for k in range(len(t or "") - 239) if t[k : k + 240] in other for p in range(k, k + 240)}
         assert {p for a, z in rows[i].spans for p in range(a, z)} == at and rows[i].shared_chars == len(at) and rows[i].chars == len(t or "")
+        before = set().union(*(h for h in held[:i]))
+        later = {p for k in range(len(t or "") - 239) if t[k : k + 240] in before for p in range(k, k + 240)}
+        assert {p for a, z in rows[i].later_spans for p in range(a, z)} == later and rows[i].later_chars == len(later)
+        if t:
+            assert kept[i] == "".join(c for p, c in enumerate(t) if p not in later)
         assert rows[i].shared_share == (len(at) / len(t) if t else 0) and all(z < a for (_, z), (a, _) in zip(rows[i].spans, rows[i].spans[1:]))
     assert rows[0].shared_chars and rows[4].shared_chars == 0 and rows[5].spans == [[0, 300]]
 
