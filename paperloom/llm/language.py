@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from paperloom.llm.encoding import repair_text
-from paperloom.llm.lookalike import _UNSTABLE, canonical_text
+from paperloom.llm.lookalike import canonical_text
 from paperloom.runtime import cut
 
 LANGS = ("en", "de", "fr", "es", "pt", "ar", "ru")
@@ -146,8 +146,7 @@ class Scorer:
         for t, text in enumerate(texts):
             if not text.isascii():
                 text, damaged, _ = repair_text(text)
-                if _UNSTABLE.search(text):
-                    text = canonical_text(text)
+                text = canonical_text(text)
             for k, line in enumerate(text.lower().split("\n"), 1):
                 words = _WORDS.findall(line)
                 if words:

@@ -1,11 +1,13 @@
 """Text that looks the same but is written with different characters (problem 5).
 
-The method is segment-wise normalization. Quick checks isolate what can change: ASCII texts
-never leave the JVM, and texts without any unstable character are their own canonical form; in the rest, runs that fail the NFC quick check are normalized with the starter before
-them as context and spliced back into the unchanged text. On top of NFC, widths, kinds of single space,
-kinds of hyphen, ligatures, contextual letter forms and invisible characters are folded, and letters
-drawn alike in several scripts are written in the script of their word: that of its letters with no
-double in another script, else that of the text's other words. Case, punctuation, doubled spaces and
+The method is segment-wise normalization by quick-check properties. ASCII texts never leave the JVM. In the
+rest the normalization quick check decides: a text that passes it is left as it is, and of one that fails
+only the segments around unstable characters (those that NFC changes, that combine with what is before them or
+that composition may take up) are normalized, with the starter before them as context, and spliced back into
+the unchanged text. The property is derived from the Unicode tables for all characters. On top of NFC, widths,
+kinds of single space, kinds of hyphen, ligatures, contextual letter forms and invisible characters are folded,
+and letters drawn alike in several scripts are written in the script of their word: that of its letters with
+no double in another script, else that of the text's other words. Case, punctuation, doubled spaces and
 signs drawn differently (raised, circled, fractions, joined abbreviations) are kept.
 
 Defined results: null stays null; empty text is its own form; texts of any length are treated whole;
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm import encoding
-from paperloom.runtime import cut
+from paperloom.runtime import cut, small
 
 #: Letters drawn alike: Cyrillic and Greek with their Latin doubles (fixed values).
 CYRILLIC = "аеорсхуіјѕԁԛһАВЕКМНОРСТХУІЈЅ"
@@ -55,13 +57,54 @@ def _fold_table() -> dict[int, str]:
     return table
 
 
+def ranges(codes: list[int]) -> str:
+    """A character class of the given code points, without its brackets."""
+    out, i = [], 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out.append(f"\\U{codes[i]:08x}" + (f"-\\U{codes[j]:08x}" if j > i else ""))
+        i = j + 1
+    return "".join(out)
+
+
+#: All characters but ideographs, Hangul syllables, surrogates and private use, which are stable.
+_ASSIGNED = ((0x80, 0x3400), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE1000))
+
+
+@lru_cache(maxsize=1)
+def unstable_segments() -> re.Pattern[str]:
+    """A segment that NFC may change: unstable characters with the starter before them.
+
+    Unstable is what has no quick check of yes, or a combining class: characters that NFC changes, marks, and
+    those that a composition takes up after its first character, jamo of Hangul among them.
+    """
+    found = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for o in (o for lo, hi in _ASSIGNED for o in range(lo, hi)):
+        c = chr(o)
+        if not unicodedata.is_normalized("NFC", c) or unicodedata.combining(c):
+            found.add(o)
+        pair = unicodedata.decomposition(c)
+        if pair and pair[0] != "<" and " " in pair:
+            found.add(int(pair.split()[1], 16))
+    inside = ranges(sorted(found))
+    return re.compile(f"[^{inside}]?[{inside}]+", re.DOTALL)
+
+
+def composed(text: str) -> str:
+    """NFC of a text, of which only the segments that fail the quick check are normalized."""
+    if unicodedata.is_normalized("NFC", text):
+        return text
+    return unstable_segments().sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
+
+
 _FOLD = _fold_table()
-_MARKED = re.compile("[^\u0300-\u036f\u0610-\u061a\u064b-\u065f]?[\u0300-\u036f\u0610-\u061a\u064b-\u065f]+")
 _OTHER = re.compile("[\u0370-\u052f]")
 _WORD = re.compile("[A-Za-z\u00c0-\u024f\u0300-\u052f]+")
 
-#: Quick check for folding and composing: any character either may change.
-_UNSTABLE = re.compile("[" + re.escape(INVISIBLE + SPACES + HYPHENS) + "\u0300-\u036f\u0653-\u0655\ufb00-\ufb06\ufb50-\ufdff\ufe70-\ufefc\uff01-\uffee]")
+#: Quick check for folding: any character that it changes.
+_FOLDED = re.compile("[" + ranges(sorted(_FOLD)) + "]")
 _LATIN_LETTER = re.compile("[A-Za-z\u00c0-\u024f]")
 _OWN_CYRILLIC = re.compile("[бгджзийклмнптфц-яБГДЖЗИЙЛПУФЦ-Я]")
 
@@ -88,10 +131,9 @@ def _word(word: str) -> tuple[str, str]:
 
 def canonical_text(text: str) -> str:
     """The one form of all texts that look like `text`."""
-    if _UNSTABLE.search(text):
+    if _FOLDED.search(text):
         text = text.translate(_FOLD)
-        if not unicodedata.is_normalized("NFC", text):
-            text = _MARKED.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
+    text = composed(text)
     if _OTHER.search(text) and (_LATIN_LETTER.search(text) or not _OWN_CYRILLIC.search(text)):
         parts = [(m.start(), m.end(), *_word(m.group())) for m in _WORD.finditer(text)]
         count = {s: sum(p[2] == s for p in parts) for s in "CGL"}
@@ -127,15 +169,28 @@ def canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> Data
 def same_look_pairs(elements: DataFrame) -> DataFrame:
     """elem_no_a, elem_no_b of elements of one document whose texts differ but look the same, smaller first.
 
-    Elements with decoding damage take no part. Only hashes travel; a group is joined only where it holds
-    more than one spelling, and only its pairs of different spellings are made.
+    Elements with decoding damage take no part. Only 128-bit digests travel; texts that are the only spelling of
+    their look in their document are done with then, and only the others are read again and searched for damage.
+    Pairs are made of spellings first and of their elements after that, so every pair that is made is a result,
+    however many elements of a document have one text.
     """
     text = F.col("text")
-    base = elements.where(text.isNotNull()).select("elem_no", "doc_id", "text")
-    marked = encoding.repair(canonical(base)).where(~F.col("damaged"))
-    rows = cut(marked.select("elem_no", "doc_id", F.xxhash64("canonical").alias("look"), F.xxhash64("text").alias("spelling")))
-    spellings = rows.groupBy("doc_id", "look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b")
-    mixed = cut(rows.join(spellings.select("doc_id", "look"), ["doc_id", "look"], "left_semi").dropDuplicates(["elem_no"]))
-    other = mixed.select("doc_id", "look", F.col("elem_no").alias("elem_no_b"), F.col("spelling").alias("spelling_b"))
-    pairs = mixed.withColumnRenamed("elem_no", "elem_no_a").join(other, ["doc_id", "look"])
-    return pairs.where("elem_no_a < elem_no_b and spelling <> spelling_b").select("elem_no_a", "elem_no_b")
+    base = elements.where(text.isNotNull() & F.col("doc_id").isNotNull()).select("elem_no", "doc_id", "text")
+    rows = cut(canonical(base).select("elem_no", "doc_id", F.unhex(F.md5("canonical")).alias("look"), F.unhex(F.md5("text")).alias("spelling"), encoding.suspicious(text).alias("suspicious")))
+    same = ["doc_id", "look"]
+
+    def several(df: DataFrame) -> DataFrame:
+        """The rows of looks with more than one spelling; spellings are counted with map-side combining."""
+        found = df.groupBy(*same).agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select(*same)
+        return df.join(small(found), same, "left_semi")
+
+    mixed = cut(several(rows).dropDuplicates(["elem_no"]))
+    asked = small(mixed.where("suspicious").select("elem_no"))
+    damaged = encoding.repair(base.join(asked, "elem_no", "left_semi").where(encoding.suspicious(text))).where("damaged").select("elem_no").dropDuplicates()
+    sound = cut(mixed.join(damaged, "elem_no", "left_anti").select("elem_no", *same, "spelling"))
+    spellings = sound.select(*same, "spelling").dropDuplicates()
+    a, b = (spellings.withColumnRenamed("spelling", f"spelling_{x}") for x in "ab")
+    kinds = a.join(b, same).where("spelling_a < spelling_b")
+    of = {x: sound.select(*same, F.col("spelling").alias(f"spelling_{x}"), F.col("elem_no").alias(f"elem_{x}")) for x in "ab"}
+    pairs = kinds.join(of["a"], [*same, "spelling_a"]).join(of["b"], [*same, "spelling_b"])
+    return pairs.select(F.least("elem_a", "elem_b").alias("elem_no_a"), F.greatest("elem_a", "elem_b").alias("elem_no_b"))

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import unicodedata
 
 import pytest
 
@@ -107,7 +108,7 @@ def test_damaged_elements(spark):
 
 # --- look-alikes
 
-SAME = [("file name", "ﬁle name"), ("password", "раssword"), ("cross-check", "cross‑check"), ("Full", "Ｆｕｌｌ"), ("é", "é"), ("thread", "th​re⁠ad"), ("проверяет", "проверяeт"), ("لا", "ﻻ"), ("visible", "νisible")]
+SAME = [("file name", "ﬁle name"), ("password", "раssword"), ("cross-check", "cross‑check"), ("Full", "Ｆｕｌｌ"), ("é", "é"), ("thread", "th​re⁠ad"), ("проверяет", "проверяeт"), ("لا", "ﻻ"), ("visible", "νisible"), ("\u212b", "\u00c5"), ("\u2126", "\u03a9"), ("\u1112\u1161\u11ab", "\ud55c"), ("\u0958", "\u0915\u093c"), ("q\u0307\u0323", "q\u0323\u0307")]
 OTHER = [("m2", "m²"), ("1", "①"), ("1/2", "½"), ("No", "№"), ("a b", "a  b"), ("Case", "case"), ("end.", "end"), ("co-op", "coop"), ("–", "-")]
 
 
@@ -130,6 +131,24 @@ def test_canonical_is_stable():
         assert lookalike.canonical_text(once) == once
 
 
+def test_segments_give_the_normal_form_of_any_text():
+    every = [chr(o) for o in range(0x110000) if not 0xD800 <= o < 0xE000]
+    assert all(lookalike.composed(c) == unicodedata.normalize("NFC", c) for c in every)
+    r = random.Random(8)
+    odd = [c for c in every if unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c) or not unicodedata.is_normalized("NFD", c)]
+    odd += [chr(o) for lo, hi in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3), (0xAC00, 0xAC20)) for o in range(lo, hi)]
+    for _ in range(20_000):
+        t = "".join(r.choice(odd) if r.random() < 0.7 else r.choice("aeo \n") for _ in range(r.randrange(1, 9)))
+        assert lookalike.composed(t) == unicodedata.normalize("NFC", t)
+        forms = {lookalike.canonical_text(unicodedata.normalize(f, t)) for f in ("NFC", "NFD")}
+        assert len(forms) == 1
+
+
+def test_many_elements_of_one_text(spark):
+    df = elements(spark, ["password"] * 3000 + ["p\u0430ssword"])
+    assert lookalike.same_look_pairs(df).count() == 3000
+
+
 def test_pairs_against_brute_force(spark):
     r = random.Random(2)
     base = [x for p in SAME + OTHER for x in p] + ["", None, wrong(SAMPLES[0], "utf-8", "cp1252")]
