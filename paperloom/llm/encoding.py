@@ -7,8 +7,8 @@ reachable text wins. A token counts as damaged when the search finds a text that
 which is small for decodings to UTF-8 (valid multi-byte sequences hardly arise by chance) and larger for
 one single-byte table against another. U+FFFD and C1 controls are damage that can't be restored.
 
-Pure ASCII never leaves the JVM, and a regular expression lets only texts with a suspicious character or
-pair reach the search; tokens are cached, so the search runs once per distinct token and task.
+Pure ASCII never leaves the JVM. A token whose characters cost less than the least gain can't be damaged and is
+not searched; all others are, once per distinct token and task.
 
 Defined results: null and empty text is not damaged and stays as it is; text of any length is treated
 whole; repeated deliveries of an element give one row; further columns are kept by `repair`.
@@ -32,34 +32,15 @@ SEEN = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1256", "cp437", "mac_roman",
 WRITTEN = ("utf-8", "cp1252", "cp1251", "cp1256", "koi8_r", "cp866")
 #: Least gain in cost for a decoding to UTF-8 and for one between single-byte tables.
 GAIN_UTF8, GAIN_BYTES = 0.6, 2.4
-MAX_DEPTH, MAX_STATES = 3, 200
 #: Single-byte tables that are commonly taken for one another, as seen by written; other pairs cost UNUSUAL more.
 USUAL = {"cp1252": ("cp437", "cp1251", "cp850", "cp1250", "mac_roman"), "cp1251": ("cp1252", "latin-1", "koi8_r", "cp866"), "cp1256": ("cp1252", "latin-1"), "koi8_r": ("cp1251", "cp1252"), "cp866": ("cp1251", "cp1252")}
 UNUSUAL = 1.0
 
 # --- candidates ----------------------------------------------------------------------
 
-_PLAIN = (
-    r"\x09-\x7e\xa0\xa7\xab\xad\xb0\xb2\xb3\xb7\xb9\xbb-\xbf"
-    r"ÀÁÂÃÄÇÈÉÊËÍÎÏÑÓÔÕÖÙÚÛÜßàáâãäçèéêëíîïñóôõöùúûüœŒ"
-    r"̀-ͯΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοА-яЁёѕіјЅІЈ"
-    r"،؛؟ء-ٕ٠-٭ٰ -―‘’“-„•…    -⁤"
-    r"€№™①-⑳　ﬀ-ﬆﭐ-﷿ﹰ-﻿＀-￯−©®​-‏"
-)
-SUSPICIOUS = (
-    rf"[^{_PLAIN}]|&[#A-Za-z]"
-    r"|[ÂÃâ][^\sA-Za-z\-.,;:’'̀-ͯ​-‏⁠﻿\xad]|[ÂÃ][\xa0\xad]"
-    r"|[A-Za-z][б-дж-нптф-яБ-ДЖ-ЛПФ-Я]|[б-дж-нптф-яБ-ДЖ-ЛПФ-Я][A-Za-z]|[A-Za-z]у"
-    r"|[À-ÿ]{3}|[А-ЯЁ]{2}|[а-яё][А-ЯЁ]"
-    r"|[РС][\u0080-ЀЂ-Џѐ-ѯ‐-™]|[طظ][^\sء-ٕ​-‏⁠.,;:!?()،؛؟ﹰ-﻿\xad]"
-)
-
-
-_SUSPICIOUS = re.compile(SUSPICIOUS)
-
 
 def suspicious(text: Column) -> Column:
-    """What leaves the JVM: text that isn't pure ASCII or holds an entity. The pattern is tried in Python, where it is ten times as fast."""
+    """What leaves the JVM: text that isn't pure ASCII or holds an entity."""
     return (F.length(text) != F.octet_length(text)) | text.contains("&")
 
 
@@ -133,6 +114,12 @@ _COST |= dict.fromkeys("\u0300\u0301\u0302\u0303\u0306\u0308\u0327\u0653\u0654\u
 _COST |= {chr(c): 0.2 for c in (*range(0xFF00, 0xFFF0), *range(0xFB00, 0xFB07))}
 #: Signs that may stand between two letters.
 JOINING = frozenset("’‐‑\xad·​‌‍⁠\ufeff\u0300\u0301\u0302\u0303\u0306\u0308\u0327\u0653\u0654\u0655")
+#: Accented letters that are words of their own (fixed values), and the cost of another that stands alone.
+WORDS_OF_ONE, NO_WORD = frozenset("àâáéêèíóòôú"), 2.8
+#: First bytes of two-byte sequences as they are mostly shown, and the cost of a sign behind one.
+LEADS, LEAD_AND_SIGN = frozenset("ÂÃРС"), 0.5
+#: Signs before and behind a fixed space.
+CLOSING, BEHIND = frozenset("€°«»”"), frozenset("»:;?!%€°$#/&-([|")
 #: Cost of a letter of another script inside a word, and of a sign between two letters.
 FOREIGN, SIGN_INSIDE = 2.5, 1.5
 
@@ -179,6 +166,8 @@ def cost(text: str) -> float:
     capitals = text.isupper() and sum(map(str.isalpha, text)) > 1
     for i, c in enumerate(text):
         s = _script(c)
+        if c == "\xa0" and i and (text[i - 1] < "\x80" or "à" <= text[i - 1] <= "ÿ" or text[i - 1] in CLOSING) and (not text[i + 1 : i + 2] or text[i + 1].isalnum() or text[i + 1] in BEHIND):
+            continue  # it stands where a space may
         total += char_cost(c) - (0.25 if capitals and s == "C" else 0.0)
         if s == "l":
             run += 1
@@ -187,7 +176,9 @@ def cost(text: str) -> float:
         else:
             run = 0
         if s and lower and c.isupper():
-            total += 1.0 if s == "l" else 0.6
+            total += 2.2 if s == "l" else 0.6
+        if not s and c >= "\x80" and i and text[i - 1] in LEADS:
+            total += LEAD_AND_SIGN
         if s:
             if c not in ALIKE:
                 kind = "L" if s == "l" else s
@@ -202,6 +193,8 @@ def cost(text: str) -> float:
         before = bool(s)
     if "C" in own:
         total += russian_oddness(text)
+    if len(text) == 1 and _script(text) == "l" and text.lower() not in WORDS_OF_ONE:
+        total += NO_WORD
     if _NO_Y.search(text):
         total += FOREIGN
     if len(own) > 1:
@@ -212,38 +205,41 @@ def cost(text: str) -> float:
 # --- search ------------------------------------------------------------------------------------------
 
 
-def edges(text: str, written_in: tuple[str, ...] = WRITTEN) -> Iterator[tuple[str, str, float]]:
-    """(operation, text, least gain) of every step from `text`."""
-    for seen in SEEN:
+def edges(text: str, c: float, written_in: tuple[str, ...] = WRITTEN) -> Iterator[tuple[str, str, float]]:
+    """(operation, text, least gain) of every step from `text` of cost `c` that can gain enough."""
+    for seen in SEEN if c >= GAIN_UTF8 else ():
         for written in written_in:
-            if seen != written and (out := recode(text, seen, written)) is not None:
-                yield f"{seen}>{written}", out, GAIN_UTF8 if written == "utf-8" else GAIN_BYTES
+            gain = GAIN_UTF8 if written == "utf-8" else GAIN_BYTES
+            if seen != written and c >= gain and (out := recode(text, seen, written)) is not None:
+                yield f"{seen}>{written}", out, gain
     if "&" in text and (out := html.unescape(text)) != text:
         yield "unescape", out, GAIN_UTF8
 
 
 @lru_cache(maxsize=200_000)
 def search(token: str, written_in: tuple[str, ...] = WRITTEN) -> tuple[str, tuple[str, ...]]:
-    """The cheapest text reachable from `token` and the steps to it; no steps where nothing is gained."""
+    """The cheapest text reachable from `token` and the steps to it; no steps where nothing is gained.
+
+    No cost is below 0, so a token that costs less than the least gain is sound. Each step lowers the cost by a
+    gain, which bounds the depth of the search, and a state that was seen is not entered again.
+    """
     best, best_cost, best_path = token, cost(token), ()
     queue: list[tuple[float, int, str, tuple[str, ...], float]] = [(best_cost, 0, token, (), best_cost)]
     seen, n = {hash(token)}, 0
-    while queue and n < MAX_STATES:
+    while queue:
         priced, _, text, path, c = heapq.heappop(queue)
-        n += 1
         if priced < best_cost:
             best, best_cost, best_path = text, priced, path
             if not priced:
                 break
-        if len(path) == MAX_DEPTH:
-            continue
-        for op, out, gain in edges(text, written_in):
+        for op, out, gain in edges(text, c, written_in):
             if (h := hash(out)) not in seen and c - (x := cost(out)) >= gain:
                 shown, _, real = op.partition(">")
                 odd = UNUSUAL if gain == GAIN_BYTES and shown not in USUAL.get(real, ()) else 0.0
                 if not odd:
                     seen.add(h)
-                heapq.heappush(queue, (priced - c + x + odd, len(queue) + n * 1000, out, (*path, op), x))
+                n += 1
+                heapq.heappush(queue, (priced - c + x + odd, n, out, (*path, op), x))
     if not best_path and len(written_in) > 1 and not token.isascii():  # damage beside sound characters: each run of its own
         parts, steps = [], ()
         for m in _RUNS.finditer(token):
@@ -265,8 +261,6 @@ _TOKEN = re.compile("[^ \n\t\r]+?(?=(?<=[a-zß-öø-ÿ])¬(?![^ \n\t\r])|[ \n\t\
 
 def repair_text(text: str) -> tuple[str, bool, str]:
     """(restored text, damaged, steps used) of a text; what can't be restored stays as it is."""
-    if not _SUSPICIOUS.search(text):
-        return text, False, ""
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text) if not m.group().isascii() or "&" in m.group()]
     # long tokens hardly recur and would fill the memory of the cache
     found = {i: r for i, (_, _, t) in enumerate(tokens) if (r := search(t) if len(t) <= 200 else search.__wrapped__(t))[1]}
@@ -282,20 +276,33 @@ def repair_text(text: str) -> tuple[str, bool, str]:
         if not main or total < least:
             main, by_main, least = path, tried, total
     first, last = min(found), max(found)
+    scripts = [c for i in found for c in map(_script, by_main[i] or "") if c in ("C", "A")]
+    script = max(set(scripts), key=scripts.count) if scripts else ""
     out, at = [], 0
     for i, (s, e, t) in enumerate(tokens):
         new = t
+        x = by_main[i] if i in found else apply(t, main)
         if i in found:
             new = found[i][0]
-            if (x := by_main[i]) is not None and cost(x) <= cost(new) + 1.5:
+            if x is not None and (cost(x) <= cost(new) + 1.5 or first < i < last and fits(x, script)):
+                new = x
+        elif x is not None:
+            if cost(x) <= cost(t) if first < i < last else cost(x) < cost(t) - (0.0 if main[-1].endswith(">utf-8") else 0.8):
+                new = x
+            elif first < i < last and fits(x, script):  # it stands inside the damaged stretch
                 new = x
-        elif (x := apply(t, main)) is not None and (cost(x) <= cost(t) if first < i < last else cost(x) < cost(t) - 0.8):
-            new = x
         out += [text[at:s], new]
         at = e
     return "".join([*out, text[at:]]), damaged, " ".join(sorted({"|".join(main)}))
 
 
+def fits(token: str, script: str) -> bool:
+    """Whether a token is a usual word of `script`, with signs around it at most."""
+    letters = [c for c in token if c.isalpha()]
+    word = "".join(letters)
+    return bool(script) and bool(letters) and all(_script(c) == script for c in letters) and word in token and (word.islower() or word.istitle() or word.isupper() or script == "A") and not (script == "C" and russian_oddness(word))
+
+
 def apply(text: str, path: tuple[str, ...]) -> str | None:
     """`text` after the steps of `path`; null where one of them isn't possible."""
     x: str | None = text
