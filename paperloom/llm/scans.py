@@ -7,9 +7,11 @@ plausible glyph edits, corrected in context, and then furniture is removed and t
   and a header or footer is a line whose glyph class key recurs at the edge of other pages.
 * A word of the corpus is counted over all elements (combined before the shuffle). A line-end mark is a
   break if the joined word is better attested than the hyphenated one.
-* Words that a scanner mixes up share a glyph class key (`fold`: rn and m, cl and d, ii and u, c and e, ...),
-  so linking a rare word to its neighbours is one equi-join. Where several fit, the one whose skip-gram
-  vector (hashed counts of the words one to the left and right, over all pages) is closest wins.
+* Words have skip-gram vectors: counts of the words one to the left and right over all pages, hashed to a fixed
+  width, each word by its surprise. Words that a scanner mixes up share a glyph class key (`fold`: rn and
+  m, cl and d, ii and u, c and e, ...), so the plausible edits of a rare word are one equi-join. A rare word is linked
+  to the frequent word among them whose vector is closest; how close it must be falls with how much more often
+  the frequent word occurs, and a word that is as usual in the same contexts needs no frequency of twenty to one.
 
 Nothing is collected; tables that grow with the vocabulary are joined, and broadcast only when counted small.
 
@@ -24,22 +26,24 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from paperloom.runtime import cut
+from paperloom.runtime import cut, small
 
 #: A page of a scan has so many line breaks on average.
 LEAST_BREAKS = 8
-#: A correction is so many times as frequent as the word it replaces, and occurs at least so often.
-TIMES, LEAST_COUNT = 20, 5
-#: Lines looked at on either edge of a page.
+#: A correction that is so many times as frequent as the word it replaces needs no likeness of contexts; another
+#: needs a vector as close as CLOSE, and is at least LEAST_TIMES as frequent.
+TIMES, LEAST_TIMES, CLOSE = 20, 2, 0.35
+#: A correction occurs at least so often, in sound text at least once.
+LEAST_COUNT = 5
+#: Lines looked at on either edge of a page at a time; where all of them are furniture, the next ones are.
 EDGE = 2
-#: Most rows of a table that is broadcast.
-BROADCAST_ROWS = 200_000
 BUCKETS = 64
 
 # --- glyph classes -----------------------------------------------------------------------------------
@@ -66,15 +70,14 @@ _STARTS = re.compile(r"\s*([^\W_]+)")
 
 
 def words_of(text: str) -> list[str]:
-    """Words, and hyphenated compounds beside their parts; pure numbers and very long tokens left out."""
+    """Words, and hyphenated compounds beside their parts; pure numbers left out."""
     out = []
     for t in _TOKEN.findall(text):
         if t.isalpha():
-            if len(t) <= 40:
-                out.append(t)
-        elif len(t) <= 60:
+            out.append(t)
+        else:
             parts = _WORD.findall(t)
-            out += [p for p in parts if len(p) <= 40 and not p.isdigit()]
+            out += [p for p in parts if not p.isdigit()]
             if len(parts) > 1:
                 out.append("-".join(parts))
     return out
@@ -103,7 +106,7 @@ def word_counts(texts: DataFrame, flush: int = 300_000) -> DataFrame:
 # --- pages -------------------------------------------------------------------------------------------
 
 
-def scanned_pages(docs: DataFrame, elements: DataFrame) -> DataFrame:
+def scanned_pages(docs: DataFrame, elements: DataFrame, least_breaks: int = LEAST_BREAKS) -> DataFrame:
     """doc_id, unit_index, elem_no and text of every delivery of every page of the scanned documents."""
     pdf = docs.where(F.lower("document_type") == "pdf").select("doc_id").distinct()
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
@@ -113,7 +116,7 @@ def scanned_pages(docs: DataFrame, elements: DataFrame) -> DataFrame:
         F.max(F.coalesce(breaks, F.lit(0))).alias("breaks"),
     )
     scans = per_page.groupBy("doc_id").agg(F.bool_and("single").alias("single"), F.bool_and("paragraph").alias("paragraph"), F.avg("breaks").alias("breaks"))
-    ids = scans.where(F.col("single") & F.col("paragraph") & (F.col("breaks") >= LEAST_BREAKS)).join(pdf, "doc_id", "left_semi").select("doc_id")
+    ids = scans.where(F.col("single") & F.col("paragraph") & (F.col("breaks") >= least_breaks)).join(pdf, "doc_id", "left_semi").select("doc_id")
     pages = elements.where((F.col("element_type") == "paragraph") & F.col("text").isNotNull()).select("doc_id", "unit_index", "elem_no", "text")
     return pages.join(ids, "doc_id", "left_semi")
 
@@ -150,12 +153,28 @@ def numbers_in(line: str) -> list[int]:
     return [int(x.translate(_DIGITS)) for x in found if any(c.isdigit() for c in x) or bare and x not in ("S", "Z", "B")]
 
 
-@F.udf(returnType=_EDGE_LINES, useArrow=True)
-def _edges(text):  # noqa: ANN001, ANN202
+def edge_lines(text: str, known: list[int], edge: int = EDGE) -> list[tuple[int, str, str, list[int]]]:
+    """(line_no, zone, line, numbers) of the `edge` full lines on either side that follow the lines `known` for furniture."""
     full = [(i, x.strip()) for i, x in enumerate(text.split("\n"), 1) if x.strip()]
-    top = [(i, "top", x) for i, x in full[:EDGE]]
-    bottom = [(i, "bottom", x) for i, x in full[-EDGE:] if i > (top[-1][0] if top else 0)]
-    return [(i, z, x, numbers_in(x)) for i, z, x in top + bottom]
+    gone = set(known)
+    lo, hi = 0, len(full)
+    while lo < hi and full[lo][0] in gone:
+        lo += 1
+    while hi > lo and full[hi - 1][0] in gone:
+        hi -= 1
+    if gone:  # only a side where all lines before were furniture goes on
+        top = full[lo : lo + edge] if lo >= edge else []
+        bottom = full[max(lo, hi - edge) : hi] if len(full) - hi >= edge else []
+    else:
+        top, bottom = full[:edge], full[-edge:]
+    seen = {i for i, _ in top}
+    found = [(i, "top", x) for i, x in top] + [(i, "bottom", x) for i, x in bottom if i not in seen]
+    return [(i, z, x, numbers_in(x)) for i, z, x in found]
+
+
+@F.pandas_udf(_EDGE_LINES)
+def _edges(texts: pd.Series, known: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("line_no", "zone", "line", "numbers"), r, strict=True)) for r in edge_lines(t, k)] for t, k in zip(texts, known, strict=True)], dtype=object)
 
 
 _PAGE_WORDS = {"page", "seite", "página", "pagina", "pág", "pag", "p", "s", "seit", "стр", "страница", "صفحة"}
@@ -192,27 +211,43 @@ def line_kind(line: str, number: int | None) -> tuple[str | None, str | None]:
 _PAGE_FOLDS = {fold(w) for w in _PAGE_WORDS} | {fold(w) for w in ("of", "von", "de", "sur")}
 
 
-@F.udf(returnType=_LINE_KIND, useArrow=True)
-def _line_kind(line, number):  # noqa: ANN001, ANN202
-    return line_kind(line, number)
+@F.pandas_udf(_LINE_KIND)
+def _line_kind(lines: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([line_kind(x, None if pd.isna(n) else int(n)) for x, n in zip(lines, numbers, strict=True)], columns=["kind", "key"])
 
 
 def furniture(pages: DataFrame) -> DataFrame:
-    """elem_no, line_no and noise_kind (running_line, page_number) of the lines at the pages' edges."""
-    lines = pages.select("doc_id", "unit_index", "elem_no", F.explode(_edges("text")).alias("x")).select("doc_id", "unit_index", "elem_no", "x.*")
-    total = pages.groupBy("doc_id").agg(F.countDistinct("unit_index").alias("pages"))
-    votes = lines.select("doc_id", "unit_index", F.explode("numbers").alias("v")).groupBy("doc_id", (F.col("v") - F.col("unit_index")).alias("offset")).agg(F.countDistinct("unit_index").alias("votes"))
-    offset = votes.groupBy("doc_id").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"))).alias("offset"), F.max("votes").alias("votes")).join(total, "doc_id")
-    offset = offset.where((F.col("votes") >= 2) & (F.col("votes") * 2 >= F.col("pages"))).select("doc_id", "offset")
-    known = lines.join(offset, "doc_id", "left").join(total, "doc_id")
-    kinds = known.withColumn("k", _line_kind("line", F.col("unit_index") + F.col("offset"))).select("doc_id", "unit_index", "elem_no", "line_no", "zone", "line", "pages", "k.*")
-    recurs = kinds.where("key is not null").groupBy("doc_id", "zone", "key").agg(F.countDistinct("unit_index").alias("on_pages"))
-    found = kinds.join(recurs, ["doc_id", "zone", "key"], "left")
-    # a sentence's end or a broken line recurs by chance
-    sentence = F.col("line").rlike(r"[.,;:)\]”»\-‐¬\x{ad}]$")
-    often = (F.col("on_pages") >= 2) & (~sentence | ((F.col("on_pages") >= 3) & (F.col("on_pages") * 5 >= F.col("pages") * 3)))
-    kind = F.when(F.col("kind") == "page_number", "page_number").when((F.col("kind") == "numbered") | often, "running_line")
-    return found.select("elem_no", "line_no", kind.alias("noise_kind")).where("noise_kind is not null")
+    """elem_no, line_no and noise_kind (running_line, page_number) of the lines at the pages' edges.
+
+    Lines are taken `EDGE` at a time from either side; pages whose lines of a side are all furniture are looked at
+    again further inside, until there are none, so a header may have any number of lines.
+    """
+    total = cut(pages.groupBy("doc_id").agg(F.countDistinct("unit_index").alias("pages")))
+    offset, found = None, None
+    left = pages.withColumn("known", F.array().cast("array<int>"))
+    while True:
+        lines = left.select("doc_id", "unit_index", "elem_no", F.explode(_edges("text", "known")).alias("x")).select("doc_id", "unit_index", "elem_no", "x.*")
+        if offset is None:  # page numbers stand in the outermost lines
+            lines = cut(lines)
+            votes = lines.select("doc_id", "unit_index", F.explode("numbers").alias("v")).groupBy("doc_id", (F.col("v") - F.col("unit_index")).alias("offset")).agg(F.countDistinct("unit_index").alias("votes"))
+            offset = votes.groupBy("doc_id").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"))).alias("offset"), F.max("votes").alias("votes")).join(total, "doc_id")
+            offset = cut(offset.where((F.col("votes") >= 2) & (F.col("votes") * 2 >= F.col("pages"))).select("doc_id", "offset"))
+        known = lines.join(offset, "doc_id", "left").join(total, "doc_id")
+        kinds = known.withColumn("k", _line_kind("line", F.col("unit_index") + F.col("offset"))).select("doc_id", "unit_index", "elem_no", "line_no", "zone", "line", "pages", "k.*")
+        kinds = cut(kinds)
+        recurs = kinds.where("key is not null").groupBy("doc_id", "zone", "key").agg(F.countDistinct("unit_index").alias("on_pages"))
+        more = kinds.join(recurs, ["doc_id", "zone", "key"], "left")
+        # a sentence's end or a broken line recurs by chance, and so does a line further inside
+        sentence = F.col("line").rlike(r"[.,;:)\]”»\-‐¬\x{ad}]$") | F.lit(found is not None)
+        often = (F.col("on_pages") >= 2) & (~sentence | ((F.col("on_pages") >= 3) & (F.col("on_pages") * 5 >= F.col("pages") * 3)))
+        kind = F.when(F.col("kind") == "page_number", "page_number").when((F.col("kind") == "numbered") | often, "running_line")
+        more = cut(more.select("elem_no", "line_no", "zone", kind.alias("noise_kind")).where("noise_kind is not null"))
+        found = more if found is None else found.unionByName(more)
+        inner = more.groupBy("elem_no", "zone").agg(F.count("*").alias("n")).where(F.col("n") >= EDGE).select("elem_no").distinct()
+        if inner.isEmpty():
+            return found.select("elem_no", "line_no", "noise_kind")
+        gone = found.join(inner, "elem_no", "left_semi").groupBy("elem_no").agg(F.collect_list("line_no").alias("known"))  # bounded by the page
+        left = pages.join(small(gone), "elem_no")
 
 
 # --- bodies ------------------------------------------------------------------------------------------
@@ -341,47 +376,54 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("elem_no", "text", "gone", "after", "joined", "rest_first").mapInArrow(run, _TOKENS)
 
 
-_fold = F.udf(fold, T.StringType(), useArrow=True)
+@F.pandas_udf(T.StringType())
+def _fold(words: pd.Series) -> pd.Series:
+    return words.map(fold)
+
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _keys(words: pd.Series) -> pd.Series:
+    """The glyph class keys of rare words: 6 may stand for b as well as for ó."""
+    return words.map(lambda w: sorted({fold(w), fold(w.replace("6", "o"))}))
 
-@F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
-def _keys(word):  # noqa: ANN001, ANN202
-    """The glyph class keys of a rare word: 6 may stand for b as well as for ó."""
-    return sorted({fold(word), fold(word.replace("6", "o"))})
+
+def vectors(tokens: DataFrame, words: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """word, bucket and x: the unit skip-gram vectors of `words`, counts of the words beside them over all pages."""
+    near = tokens.join(words, "word", "left_semi").select("word", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("other")), F.struct(F.lit(1).alias("side"), F.col("behind").alias("other")))).alias("c")).where("c.other is not null")
+    vector = near.groupBy("word", (F.col("c.side") * buckets + F.pmod(F.xxhash64(F.lower("c.other")), F.lit(buckets))).alias("bucket")).agg(F.log1p(F.count("*")).alias("x"))
+    norm = vector.groupBy("word").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return vector.join(norm, "word").select("word", "bucket", (F.col("x") / F.col("norm")).alias("x"))
 
 
-def corrections(tokens: DataFrame, vocabulary: DataFrame, naive: DataFrame) -> DataFrame:
+def corrections(tokens: DataFrame, vocabulary: DataFrame, naive: DataFrame, times: float = TIMES, least_times: float = LEAST_TIMES, close: float = CLOSE, least_count: int = LEAST_COUNT) -> DataFrame:
     """word and fix: rare words of the pages, each with the frequent word of its glyph class that fits its contexts best.
 
     `vocabulary` counts all elements and `naive` the scanned pages the same way, so that their difference
-    is what sound text holds.
+    is what sound text holds. `close` over 1 leaves the vectors without a say in what is linked.
     """
     counts = vocabulary.join(naive.withColumnRenamed("n", "n_scan"), "word", "left").select("word", "n", (F.col("n") - F.coalesce("n_scan", F.lit(0))).alias("n_clean"))
     words = tokens.groupBy("word").agg(F.count("*").alias("here"))
     rare = words.join(counts, "word", "left").select("word", "here", F.greatest(F.coalesce("n_clean", F.lit(0)), F.lit(0)).alias("n_clean"))
     rare = rare.where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2)).withColumn("key", F.explode(_keys("word")))
-    frequent = counts.where(F.col("word").rlike(r"^\p{L}+$") & (F.col("n") >= LEAST_COUNT)).select(F.col("word").alias("fix"), F.col("n").alias("fix_n"), F.col("n_clean").alias("fix_clean")).withColumn("key", _fold("fix"))
+    frequent = counts.where(F.col("word").rlike(r"^\p{L}+$") & (F.col("n") >= least_count)).select(F.col("word").alias("fix"), F.col("n").alias("fix_n"), F.col("n_clean").alias("fix_clean")).withColumn("key", _fold("fix"))
     linked = rare.join(frequent, "key").where(
         (F.col("word") != F.col("fix"))
-        & (F.col("fix_n") >= TIMES * F.col("here"))
-        & (F.col("fix_clean") >= TIMES * F.col("n_clean"))
+        & ((F.col("fix_n") >= times * F.col("here")) | (F.col("n_clean") == 0) & (F.col("fix_n") >= least_times * F.col("here")))
+        & (F.col("fix_clean") >= times * F.col("n_clean"))
         & (F.col("fix_clean") >= 1)
         & (F.substring("word", 1, 1).rlike(r"^\p{Lu}") == F.substring("fix", 1, 1).rlike(r"^\p{Lu}") | F.substring("word", 1, 1).rlike(r"^\d"))
         & ((F.upper("word") != F.col("word")) | (F.upper("fix") == F.col("fix")))
         & (F.levenshtein("word", "fix") <= F.greatest(F.lit(1), F.ceil(F.length("word") / 3)))
         & ((F.length("word") > 2) | (F.length("word") == F.length("fix")))
     )
-    pairs = cut(linked.select("word", "fix", "fix_n"))
-    # skip-gram vectors of the linked words: hashed counts of their neighbours over all pages
+    pairs = cut(linked.select("word", "fix", "here", "fix_n"))
     needed = pairs.select("word").union(pairs.select("fix")).dropDuplicates()
-    near = tokens.join(needed, "word", "left_semi").select("word", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("other")), F.struct(F.lit(1).alias("side"), F.col("behind").alias("other")))).alias("c")).where("c.other is not null")
-    vector = near.groupBy("word", (F.col("c.side") * BUCKETS + F.pmod(F.xxhash64(F.lower("c.other")), F.lit(BUCKETS))).alias("bucket")).agg(F.log1p(F.count("*")).alias("x"))
-    norm = vector.groupBy("word").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = cut(vector.join(norm, "word").select("word", "bucket", (F.col("x") / F.col("norm")).alias("x")))
+    unit = cut(vectors(tokens, needed))
     a = unit.select("word", "bucket", F.col("x").alias("xa"))
     b = unit.select(F.col("word").alias("fix"), "bucket", F.col("x").alias("xb"))
-    close = pairs.select("word", "fix").join(a, "word").join(b, ["fix", "bucket"]).groupBy("word", "fix").agg(F.sum(F.col("xa") * F.col("xb")).alias("close"))
-    scored = pairs.join(close, ["word", "fix"], "left").withColumn("close", F.coalesce("close", F.lit(0.0)))
+    near = pairs.select("word", "fix").join(a, "word").join(b, ["fix", "bucket"]).groupBy("word", "fix").agg(F.sum(F.col("xa") * F.col("xb")).alias("close"))
+    scored = pairs.join(near, ["word", "fix"], "left").withColumn("close", F.coalesce("close", F.lit(0.0)))
+    scored = scored.where((F.col("fix_n") >= times * F.col("here")) | (F.col("close") >= close))
     rank = F.struct(F.col("close") - 0.2 * F.levenshtein("word", "fix"), "fix_n", "fix")
     return scored.groupBy("word").agg(F.max_by("fix", rank).alias("fix"))
 
@@ -408,19 +450,13 @@ def misread_lines(tokens: DataFrame, fixes: DataFrame) -> DataFrame:
     return here.dropDuplicates()
 
 
-def small(df: DataFrame) -> DataFrame:
-    """`df` for a broadcast join if it is counted small, else as it is for a shuffled one."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 # --- results -----------------------------------------------------------------------------------------
 
 
 class Scan:
     """The steps of one corpus, each made once."""
 
-    def __init__(self, docs: DataFrame, elements: DataFrame):
+    def __init__(self, docs: DataFrame, elements: DataFrame, close: float = CLOSE):
         self.delivered = cut(scanned_pages(docs, elements))
         self.pages = self.delivered.dropDuplicates(["elem_no"])
         self.vocabulary = cut(word_counts(elements.select("text")))
@@ -429,7 +465,7 @@ class Scan:
         self.breaks = cut(hyphen_breaks(self.bodies, self.vocabulary))
         self.whole = with_breaks(self.bodies, self.breaks)
         self.tokens = cut(page_tokens(self.whole))
-        self.fixes = corrections(self.tokens, self.vocabulary, word_counts(self.delivered.select("text")))
+        self.fixes = corrections(self.tokens, self.vocabulary, word_counts(self.delivered.select("text")), close=close)
 
     def noise(self) -> DataFrame:
         hyphens = self.breaks.select("elem_no", "line_no", F.lit("hyphen_break").alias("noise_kind"))
@@ -440,7 +476,8 @@ class Scan:
         """doc_id, unit_index, elem_no and text of every page: no furniture, words whole and corrected, paragraphs on one line."""
         bad = self.tokens.select("elem_no", "word").dropDuplicates().join(small(self.fixes), "word")
         per = bad.groupBy("elem_no").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("fixes"))
-        return self.whole.join(per, "elem_no", "left").select("doc_id", "unit_index", "elem_no", _reflow("text", "gone", "after", "joined", "rest_first", "fixes").alias("text"))
+        rows = self.whole.join(per, "elem_no", "left").select("doc_id", "unit_index", "elem_no", "text", "gone", "after", "joined", "rest_first", "fixes")
+        return rows.mapInArrow(_reflowed, _PAGES)
 
 
 def reflow(text: str, gone: list[int], after: dict | None, joined: dict[int, str], rest_first: bool, fixes: dict[str, str]) -> str:
@@ -479,11 +516,14 @@ def reflow(text: str, gone: list[int], after: dict | None, joined: dict[int, str
     return _WORD.sub(lambda m: corrected(m.group(), fixes), out)
 
 
-@F.udf(returnType=T.StringType(), useArrow=True)
-def _reflow(text, gone, after, joined, rest_first, fixes):  # noqa: ANN001, ANN202
-    if after is not None and not isinstance(after, dict):
-        after = after.asDict()
-    return reflow(text, list(gone), after, dict(joined or {}), rest_first, dict(fixes or {}))
+_PAGES = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("unit_index", T.IntegerType()), T.StructField("elem_no", T.LongType()), T.StructField("text", T.StringType())])
+
+
+def _reflowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = zip(*(b.column(i).to_pylist() for i in range(3, 9)), strict=True)
+        texts = [reflow(text, gone, after, dict(joined or ()), rest_first, dict(fixes or ())) for text, gone, after, joined, rest_first, fixes in rows]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(texts, pa.string())], names=_PAGES.names)
 
 
 def scan_noise(docs: DataFrame, elements: DataFrame) -> DataFrame:
