@@ -253,6 +253,36 @@ def search(token: str, written_in: tuple[str, ...] = WRITTEN) -> tuple[str, tupl
     return best, best_path
 
 
+#: Characters of a token that are searched at once; a longer one is searched in blocks.
+BLOCK = 600
+
+
+def search_long(token: str, block: int = BLOCK) -> tuple[str, tuple[str, ...]]:
+    """The same for a token of any length, in time proportional to it.
+
+    Each block is searched, without up to three characters on either side where a sequence of bytes may be cut
+    through. The steps that a block took are then tried on the whole token, and the cheapest text wins.
+    """
+    parts, paths = [], {}
+    for at in range(0, len(token), block):
+        part = token[at : at + block]
+        for a, z in _TRIMS if cost(part) >= GAIN_UTF8 else ():
+            inner, path = search(part[a : len(part) - z])
+            if path:
+                paths[path] = None
+                part = part[:a] + inner + part[len(part) - z :]
+                break
+        parts.append(part)
+    best, least = "".join(parts), ()
+    if paths:
+        least, low = next(iter(paths)), cost(best)
+        for path in paths:
+            if (x := apply(token, path)) is not None and (c := cost(x)) < low:
+                best, low, least = x, c, path
+    return best, least
+
+
+_TRIMS = sorted(((a, z) for a in range(4) for z in range(4)), key=sum)
 _RUNS = re.compile("[^\x00-\x7f]+|[\x00-\x7f]+")
 _LOST = re.compile("[\x80-\x9f�]")
 #: A token; a scanner's broken hyphen at a line's end isn't part of it.
@@ -262,8 +292,7 @@ _TOKEN = re.compile("[^ \n\t\r]+?(?=(?<=[a-zß-öø-ÿ])¬(?![^ \n\t\r])|[ \n\t\
 def repair_text(text: str) -> tuple[str, bool, str]:
     """(restored text, damaged, steps used) of a text; what can't be restored stays as it is."""
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text) if not m.group().isascii() or "&" in m.group()]
-    # long tokens hardly recur and would fill the memory of the cache
-    found = {i: r for i, (_, _, t) in enumerate(tokens) if (r := search(t) if len(t) <= 200 else search.__wrapped__(t))[1]}
+    found = {i: r for i, (_, _, t) in enumerate(tokens) if (r := search(t) if len(t) <= BLOCK else search_long(t))[1]}
     damaged = bool(found) or bool(_LOST.search(text))
     if not damaged or not found:
         return text, damaged, ""

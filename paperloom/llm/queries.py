@@ -60,6 +60,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return language.language_found(table(spark, d, "canonical_docs"), table(spark, d, "elements"), table(spark, d, "documents"))
 
 
+@query("p6_languages")
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "canonical_docs"), table(spark, d, "elements"), table(spark, d, "documents"))
+
+
 #: Every window of twelve words of an item, looked up in every document.
 _LEAKS_SQL = r"""WITH n AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(nfc_normalize(regexp_replace(text, '[\x{ad}\x{34f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{fe0e}\x{fe0f}\x{feff}]', '', 'g'))), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL),
  i AS (SELECT item_id, string_split(trim(regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM eval_items),

@@ -98,6 +98,13 @@ def test_sound_text_is_left(text):
     assert encoding.repair_text(text) == (text, False, "")
 
 
+def test_long_tokens_in_blocks():
+    for cut in range(4):
+        text = "x" * cut + "größere«Prüfung»" * 200
+        assert encoding.repair_text(wrong(text, "utf-8", "cp1252")) == (text, True, "cp1252>utf-8")
+    assert encoding.repair_text("Привет" * 500)[1] is False
+
+
 def test_damaged_elements(spark):
     df = elements(spark, [None, "", "fine", wrong(SAMPLES[0], "utf-8", "cp1252"), "lost � here", wrong(SAMPLES[4], "utf-8", "cp1251") * 500])
     rows = {r.elem_no: r for r in encoding.damaged_elements(df.unionByName(df)).collect()}
