@@ -307,10 +307,13 @@ def asset_path_collisions(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("rn", rn).select("doc_id", "asset_id", F.when(F.col("rn") == 1, F.concat(F.lit("assets/"), "name")).otherwise(other).alias("output_path"))
 
 
-@query("media_type_by_name", f"SELECT doc_id, asset_id, {_EXT_SQL.format('output_path')} AS extension, media_type IS NOT DISTINCT FROM map_extract(MAP {{'png':'image/png','jpeg':'image/jpeg','jpg':'image/jpeg','emf':'image/x-emf','gif':'image/gif','bmp':'image/bmp','xml':'application/xml','bin':'application/octet-stream','txt':'text/plain','csv':'text/csv','json':'application/json'}}, {_EXT_SQL.format('output_path')})[1] AS agrees FROM {ASSETS} WHERE {_EXT_SQL.format('output_path')} IN ('png','jpeg','jpg','emf','gif','bmp','xml','bin','txt','csv','json')")
+_MEDIA_SQL = "map_extract(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.MEDIA_TYPES.items()) + "}, {0})[1]"
+
+
+@query("media_type_by_name", f"SELECT doc_id, asset_id, {_EXT_SQL.format('output_path')} AS extension, media_type IS NOT DISTINCT FROM {_MEDIA_SQL.replace('{0}', _EXT_SQL.format('output_path'))} AS agrees FROM {ASSETS}")
 def media_type_by_name(spark: SparkSession, d: str) -> DataFrame:
     ext = text.extension(F.col("output_path"))
-    rows = once(spark, d, "assets").select("doc_id", "asset_id", ext.alias("extension"), "media_type").where(F.col("extension").isin("png", "jpeg", "jpg", "emf", "gif", "bmp", "xml", "bin", "txt", "csv", "json"))
+    rows = once(spark, d, "assets").select("doc_id", "asset_id", ext.alias("extension"), "media_type")
     return rows.select("doc_id", "asset_id", "extension", F.col("media_type").eqNullSafe(text.media_type(F.col("extension"))).alias("agrees"))
 
 
@@ -327,28 +330,68 @@ def md_escape(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, d, "elements").select("elem_no", text.md_escape(F.col("text")).alias("escaped"))
 
 
-@query(
-    "md_elements",
-    f"""SELECT elem_no, CASE WHEN element_type IN ('metadata', 'cell') THEN NULL WHEN element_type = 'heading' THEN '### ' || coalesce(nullif(trim(text), ''), '(empty heading)')
-      WHEN element_type = 'list' THEN array_to_string(list_transform(string_split(regexp_replace(coalesce(text, ''), '\\n$', ''), chr(10)), lambda x: '- ' || x), chr(10))
-      WHEN element_type = 'table' THEN coalesce(text, '') WHEN element_type = 'note' THEN '> ' || replace(coalesce(text, ''), chr(10), ' ')
-      WHEN element_type = 'image' THEN '[Image: ' || coalesce(data->>'filename', element_id) || ']' WHEN element_type = 'link' THEN CASE WHEN data->>'uri' IS NOT NULL THEN '[' || coalesce(text, data->>'uri') || '](' || (data->>'uri') || ')' END
-      WHEN element_type IN ('code', 'formula') THEN '```' || chr(10) || coalesce(text, '') || chr(10) || '```' ELSE nullif(coalesce(text, ''), '') END AS markdown
-    FROM {ELEMENTS} WHERE NOT (element_type = 'list' AND coalesce(text, '') = '') AND NOT regexp_matches(coalesce(text, ''), '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')""",
-)
+_LINES_OF_SQL = r"CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END FROM (SELECT string_split_regex({0}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l)"
+_BLANK_SQL = "nullif({0}, '')"
+#: One element outside a sheet.
+_ELEMENT_SQL = f"""CASE element_type WHEN 'metadata' THEN NULL WHEN 'heading' THEN '### ' || coalesce({_BLANK_SQL.format('text')}, '[Heading]')
+  WHEN 'list' THEN CASE WHEN text <> '' THEN (SELECT array_to_string(list_transform({_LINES_OF_SQL.format('text').replace(' FROM', ', lambda x: chr(45) || chr(32) || x), chr(10)) FROM', 1)}) END
+  WHEN 'table' THEN {_BLANK_SQL.format('text')} WHEN 'note' THEN '> **Note:** ' || replace({_BLANK_SQL.format('text')}, chr(10), ' ')
+  WHEN 'image' THEN '[Image: ' || coalesce({_BLANK_SQL.format("data->'image'->>'filename'")}, element_id) || ']'
+  WHEN 'link' THEN '[' || coalesce({_BLANK_SQL.format('text')}, data->>'uri') || '](' || {_BLANK_SQL.format("data->>'uri'")} || ')'
+  WHEN 'code' THEN '```text' || chr(10) || {_BLANK_SQL.format('text')} || chr(10) || '```' WHEN 'formula' THEN '```text' || chr(10) || {_BLANK_SQL.format('text')} || chr(10) || '```' ELSE {_BLANK_SQL.format('text')} END"""
+
+
+@query("md_elements", f"SELECT elem_no, {_ELEMENT_SQL} AS markdown FROM {ELEMENTS}")
 def md_elements(spark: SparkSession, d: str) -> DataFrame:
-    rows = once(spark, d, "elements").where("not (element_type = 'list' and coalesce(text, '') = '')").where(~F.coalesce("text", F.lit("")).rlike(r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"))
-    return rows.select("elem_no", render.element_markdown().alias("markdown"))
+    return once(spark, d, "elements").select("elem_no", render.element_markdown().alias("markdown"))
+
+
+def _rendered(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return (*(once(spark, d, n) for n in ("canonical_docs", "units", "elements", "assets")), table(spark, d, "warnings"))
+
+
+_UNIT_SQL = """rtrim(CASE WHEN kind = 'sheet' THEN '## Sheet ' || unit_index || ': ' || coalesce(name, '') WHEN kind = 'page' THEN '## Page ' || unit_index
+  WHEN kind = 'slide' THEN '## Slide ' || unit_index || ': ' || coalesce(name, '') ELSE '## Document content: ' || coalesce(name, '') END)"""
+_VALUE_SQL = "CASE json_type(data->'{0}') WHEN 'BOOLEAN' THEN CASE data->>'{0}' WHEN 'true' THEN 'True' ELSE 'False' END ELSE data->>'{0}' END"
+_CELL_SQL = "'| ' || concat_ws(' | ', " + ", ".join(
+    _ESCAPE_SQL.format(x)
+    for x in ("coalesce(data->>'coordinate', source.cell)", *(_VALUE_SQL.format(k) for k in ("value", "formula", "cached_value")), "data->'comment'->>'text'", "coalesce(nullif(data->'hyperlink'->>'target', ''), data->'hyperlink'->>'location')")
+) + ") || ' |'"
+#: Everything a document's Markdown holds, block by block, as the elements' tree is written out line by line.
+_BLOCKS_SQL = f"""WITH d AS {DOCS}, u AS {UNITS}, a AS {ASSETS}, e AS (SELECT e.*, u.kind FROM {ELEMENTS} e JOIN u ON u.doc_id = e.doc_id AND u.unit_index = e.unit_index),
+ counts AS (SELECT d.doc_id, (SELECT count(*) FROM u WHERE u.doc_id = d.doc_id) AS units, (SELECT count(*) FROM e WHERE e.doc_id = d.doc_id) AS elements, (SELECT count(*) FROM a WHERE a.doc_id = d.doc_id) AS assets FROM d),
+ b(doc_id, section, unit_no, zone, order_no, tie, glue, block) AS (
+  SELECT d.doc_id, 0, 0, 0, 0, NULL, false, '# ' || coalesce(filename, '') || chr(10) || chr(10) || array_to_string(['- Type: `' || coalesce(document_type, '') || '`', '- Units: ' || c.units, '- Elements: ' || c.elements, '- Assets: ' || c.assets, '- SHA-256: `' || coalesce(sha256, '') || '`', '- Extractor: `' || coalesce(extractor, '') || '`'], chr(10)) FROM d JOIN counts c ON c.doc_id = d.doc_id
+  UNION ALL SELECT doc_id, 1, unit_index, 0, 0, NULL, false, {_UNIT_SQL} FROM u
+  UNION ALL SELECT doc_id, 1, unit_index, 0, 1, NULL, false, '- State: `' || coalesce(metadata->>'state', '') || '`' || chr(10) || '- Used range: ' || coalesce(metadata->>'max_row', '0') || ' row(s) × ' || coalesce(metadata->>'max_column', '0') || ' column(s)' FROM u WHERE kind = 'sheet'
+  UNION ALL SELECT DISTINCT doc_id, 1, unit_index, 0, 3, NULL, false, '### Cells' || chr(10) || chr(10) || '| Cell | Value | Formula | Cached value | Comment | Hyperlink |' || chr(10) || '|---|---|---|---|---|---|' FROM e WHERE kind = 'sheet' AND element_type = 'cell'
+  UNION ALL SELECT doc_id, 1, unit_index, 1, element_order, element_id, true, {_CELL_SQL} FROM e WHERE kind = 'sheet' AND element_type = 'cell'
+  UNION ALL SELECT doc_id, 1, unit_index, 2, element_order, element_id, false, {_ELEMENT_SQL} FROM e WHERE kind IS DISTINCT FROM 'sheet'
+  UNION ALL SELECT doc_id, 1, unit_index, 3, 0, NULL, false, '### Excel table definitions' || chr(10) || chr(10) || string_agg('- `' || coalesce(nullif(data->>'display_name', ''), nullif(data->>'name', ''), element_id) || '`: `' || coalesce(data->>'ref', '') || '`', chr(10) ORDER BY element_order, element_id) FROM e WHERE kind = 'sheet' AND element_type = 'table' GROUP BY doc_id, unit_index
+  UNION ALL SELECT doc_id, 1, unit_index, 4, 0, NULL, false, '### Images' || chr(10) || chr(10) || string_agg('- `' || coalesce(nullif(data->'image'->>'asset_id', ''), 'unlinked-asset') || '` anchored near row ' || coalesce(data->'image'->'from'->>'row_zero_based', '?') || ', column ' || coalesce(data->'image'->'from'->>'column_zero_based', '?'), chr(10) ORDER BY element_order, element_id) FROM e WHERE kind = 'sheet' AND element_type = 'image' GROUP BY doc_id, unit_index
+  UNION ALL SELECT doc_id, 4, 0, 0, 0, NULL, false, '## Assets' || chr(10) || chr(10) || string_agg('- `' || asset_id || '` → `' || coalesce(output_path, original_name, '') || '` (' || coalesce(media_type, asset_type, '') || ')', chr(10) ORDER BY {_ASSET_NO}, asset_id) FROM a GROUP BY doc_id
+  UNION ALL SELECT doc_id, 5, 0, 0, 0, NULL, false, '## Extraction warnings' || chr(10) || chr(10) || string_agg('- `' || code || '`: ' || coalesce(message, ''), chr(10) ORDER BY '- `' || code || '`: ' || coalesce(message, '')) FROM warnings GROUP BY doc_id)"""
+_JOINED_SQL = "string_agg(CASE WHEN {first} THEN '' WHEN glue THEN chr(10) ELSE chr(10) || chr(10) END || block, '' ORDER BY section, unit_no, zone, order_no, tie NULLS FIRST, block)"
+_PLACE_SQL = "row_number() OVER (PARTITION BY {keys} ORDER BY section, unit_no, zone, order_no, tie NULLS FIRST, block) = 1 AS first"
 
 
-@query("md_documents")
+@query(
+    "md_documents",
+    f"""{_BLOCKS_SQL} SELECT doc_id, regexp_replace({_JOINED_SQL.format(first='first')}, '\s+$', '') || chr(10) AS markdown
+  FROM (SELECT *, {_PLACE_SQL.format(keys='doc_id')} FROM b WHERE block IS NOT NULL AND doc_id IN (SELECT doc_id FROM d)) GROUP BY doc_id""",
+)
 def md_documents(spark: SparkSession, d: str) -> DataFrame:
-    return render.markdown(once(spark, d, "canonical_docs"), once(spark, d, "units"), once(spark, d, "elements"), once(spark, d, "assets"), table(spark, d, "warnings"))
+    docs = once(spark, d, "canonical_docs").select("doc_id")
+    return render.markdown(*_rendered(spark, d)).join(docs, "doc_id", "left_semi")
 
 
-@query("md_chunks")
+@query(
+    "md_chunks",
+    f"""{_BLOCKS_SQL} SELECT doc_id, section, unit_no, zone, CAST(chunk AS INTEGER) AS chunk_no, bool_or(glue AND first) AS glue, {_JOINED_SQL.format(first='first')} AS markdown
+  FROM (SELECT *, {_PLACE_SQL.format(keys='doc_id, section, unit_no, zone, chunk')} FROM (SELECT *, greatest(order_no, 0) // {render.CHUNK} AS chunk FROM b WHERE block IS NOT NULL)) GROUP BY doc_id, section, unit_no, zone, chunk""",
+)
 def md_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return render.markdown_chunks(once(spark, d, "canonical_docs"), once(spark, d, "units"), once(spark, d, "elements"), once(spark, d, "assets"), table(spark, d, "warnings"))
+    return render.markdown_chunks(*_rendered(spark, d))
 
 
 @query("json_documents")
@@ -356,25 +399,17 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
     return render.json_document(once(spark, d, "canonical_docs"), once(spark, d, "units"), once(spark, d, "elements"), once(spark, d, "assets"), table(spark, d, "warnings"))
 
 
-@query(
-    "md_unit_headings",
-    f"""SELECT doc_id, unit_index, rtrim(CASE WHEN kind = 'sheet' THEN '## Sheet ' || unit_index || ': ' || coalesce(name, '') WHEN kind = 'page' THEN '## Page ' || unit_index
-      WHEN kind = 'slide' THEN '## Slide ' || unit_index || ': ' || coalesce(name, '') ELSE '## Document content: ' || coalesce(name, '') END) AS heading FROM {UNITS}""",
-)
+@query("md_unit_headings", f"SELECT doc_id, unit_index, {_UNIT_SQL} AS heading FROM {UNITS}")
 def md_unit_headings(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, d, "units").select("doc_id", "unit_index", render.unit_heading().alias("heading"))
 
 
-@query(
-    "md_cell_table",
-    f"""SELECT elem_no, '| ' || concat_ws(' | ', {', '.join(_ESCAPE_SQL.format(x) for x in ("coalesce(data->>'coordinate', data->>'a1', source.cell)", "text", "data->>'formula'", "data->>'cached_value'", "data->>'number_format'", "coalesce(data->'comment'->>'text', data->>'hyperlink')"))}) || ' |' AS line
-      FROM {ELEMENTS} WHERE element_type = 'cell'""",
-)
+@query("md_cell_table", f"SELECT elem_no, {_CELL_SQL} AS line FROM {ELEMENTS} WHERE element_type = 'cell'")
 def md_cell_table(spark: SparkSession, d: str) -> DataFrame:
     return render.cells_of(once(spark, d, "elements")).select("elem_no", render.cell_line().alias("line"))
 
 
-@query("grid_table_text", "SELECT r_name AS sheet, '| ' || r_name || ' | Key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS grid FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("grid_table_text", "SELECT r_name AS sheet, '| ' || r_name || ' | Key |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS grid FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def grid_table_text(spark: SparkSession, d: str) -> DataFrame:
     joined = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 rows, fixed
     rows = joined.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
@@ -454,9 +489,13 @@ def rejected_yet_present(spark: SparkSession, d: str) -> DataFrame:
     return rejects.join(once(spark, d, "canonical_docs").select("doc_id", "filename"), "filename").select("path", "doc_id").dropDuplicates()
 
 
-@query("output_directories", f"SELECT doc_id, regexp_replace(filename, '\\.[^.]+$', '') || '__' || {_EXT_SQL.format('filename')} || '_extracted' AS directory FROM {DOCS}")
+_STEM_SQL = "regexp_replace(regexp_extract({0}, '([^/]*)$', 1), '([^.])\\.[^.]+$', '\\1')"
+
+
+@query("output_directories", f"SELECT path, regexp_extract(regexp_replace(path, '^inbox/', ''), '^(.*/)[^/]*$', 1) || {_STEM_SQL.format('path')} || '__' || coalesce(nullif({_EXT_SQL.format('path')}, ''), 'file') || '_extracted' AS directory FROM (SELECT 'inbox/' || extension || '/' || filename AS path FROM {DOCS} UNION ALL SELECT path FROM rejects)")
 def output_directories(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d, "canonical_docs").select("doc_id", manifest.output_directory("filename").alias("directory"))
+    docs = once(spark, d, "canonical_docs").select(F.concat(F.lit("inbox/"), "extension", F.lit("/"), "filename").alias("path"))
+    return docs.unionByName(table(spark, d, "rejects").select("path")).select("path", manifest.output_directory("path", "inbox").alias("directory"))
 
 
 @query("warnings_by_code", "SELECT code, severity, count(*) AS n, count(DISTINCT doc_id) AS documents, count(source) AS with_source FROM warnings GROUP BY code, severity")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import extension, stem
@@ -34,6 +36,18 @@ def batch_summary(documents: DataFrame, rejects: DataFrame) -> DataFrame:
     return ok.unionByName(rejects.select(F.col("path").alias("source"), F.lit("error").alias("status"), "error_type", "error"))
 
 
-def output_directory(path: str = "path"):  # noqa: ANN201
-    """`<stem>__<suffix>_extracted`, so that files that differ only in suffix don't share a directory."""
-    return F.concat(stem(F.col(path)), F.lit("__"), extension(F.col(path)), F.lit("_extracted"))
+def relative_path(path: str = "path", root: str | None = None) -> Column:
+    """A path relative to `root`, the scanned directory; one that lies elsewhere, and each without a root, whole but for the scheme."""
+    c = F.regexp_replace(path, "^([a-zA-Z0-9+.-]+:)?/*", "")
+    if root is None:
+        return c
+    plain = re.sub("^([a-zA-Z0-9+.-]+:)?/*", "", root).rstrip("/")
+    return F.when(c.startswith(f"{plain}/"), F.substring(c, len(plain) + 2, 1 << 30)).otherwise(c)
+
+
+def output_directory(path: str = "path", root: str | None = None) -> Column:
+    """`<parent>/<stem>__<suffix>_extracted`: files that differ in suffix or folder don't share a directory."""
+    c = relative_path(path, root)
+    parent = F.regexp_extract(c, r"^(.*/)[^/]*$", 1)
+    suffix = F.coalesce(F.nullif(extension(c), F.lit("")), F.lit("file"))
+    return F.concat(parent, stem(c), F.lit("__"), suffix, F.lit("_extracted"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import extract, manifest, provenance, render, validate
 from paperloom.options import Options
+from paperloom.runtime import cut, small
 from paperloom.sources import files
 
 
@@ -44,11 +45,12 @@ class Corpus:
         return manifest.batch_summary(self.documents, self.rejects)
 
 
-def corpus(content: DataFrame, options: Options = Options(), registry: extract.Registry = extract.Registry(), store: str | None = None) -> Corpus:  # noqa: B008
+def corpus(content: DataFrame, options: Options = Options(), registry: extract.Registry = extract.Registry(), store: str | None = None, judge: bool = False) -> Corpus:  # noqa: B008
     """Relations of the files in `content` (path, modificationTime, length, content).
 
     With `store`, the found rows are written there once and every relation reads them; without it each
-    relation scans and parses the files anew, which is only right for small corpora and tests.
+    relation scans and parses the files anew, which is only right for small corpora and tests. With `judge`, a
+    document that breaks an invariant is a reject and none of its rows stays.
     """
     # the size filter reaches the scan, so a file beyond the limit is never read; its reject comes from path and length
     fits, large = files.by_size(content, options)
@@ -61,9 +63,15 @@ def corpus(content: DataFrame, options: Options = Options(), registry: extract.R
     units = extract.relation(found, "units")
     elements = provenance.fill_source(extract.relation(found, "elements"), units)
     rejects = rejected.unionByName(extract.relation(found, "rejects").select("path", "error_type", "error"))
+    documents, assets, warnings, unsupported = extract.documents(found, good), extract.relation(found, "assets"), extract.relation(found, "warnings"), extract.relation(found, "unsupported")
+    if judge:
+        bad = cut(validate.violations(documents, units, elements, assets))
+        lost = bad.groupBy("doc_id").agg(F.min(F.struct("rule", "detail")).alias("v"))
+        rejects = rejects.unionByName(lost.select(F.col("doc_id").alias("path"), F.lit("DocumentValidationError").alias("error_type"), F.concat_ws(" ", "v.rule", "v.detail").alias("error")))
+        ids = small(lost.select("doc_id"))
+        documents, units, elements, assets, warnings, unsupported = (df.join(ids, "doc_id", "left_anti").select(*df.columns) for df in (documents, units, elements, assets, warnings, unsupported))
     return Corpus(
-        extract.documents(found, good), units, elements, extract.relation(found, "assets"), extract.relation(found, "warnings"),
-        extract.relation(found, "unsupported"), rejects, good.select("path", F.col("detected.document_type").alias("document_type"), "content"),
+        documents, units, elements, assets, warnings, unsupported, rejects, good.select("path", F.col("detected.document_type").alias("document_type"), "content"),
     )
 
 

@@ -84,7 +84,7 @@ def add_pages(built: Built, content: bytes, kind: str, options: Options, convert
     texts = {e["unit_index"]: e["text"] for e in rendered.elements if e["element_type"] == "paragraph"}
     pages = len(rendered.units)
     facts = built.properties.setdefault("word", {})
-    facts["rendered"] = {"rendered_page_count": pages, "renderer": "libreoffice", "rendered_pages": [{"page_number": i, "text": texts.get(i, "")} for i in range(1, pages + 1)]}
+    facts["pagination"] = {"rendered_page_count": pages, "renderer": "libreoffice", "rendered_pages": [{"page_number": i, "text": texts.get(i, "")} for i in range(1, pages + 1)]}
     stored = facts.get("stored_page_count")
     if isinstance(stored, int) and stored != pages:
         built.warn("docx.page_count.mismatch", f"{stored} pages are stored, {pages} were rendered", "warning", None, {"stored": stored, "rendered": pages})

@@ -117,6 +117,44 @@ def extract(content: bytes) -> Built:
     return built
 
 
+#: Keys of an anchor's end and their tags (fixed values).
+_ANCHOR = (("row_zero_based", "row"), ("column_zero_based", "col"), ("row_offset_emu", "rowOff"), ("column_offset_emu", "colOff"))
+#: Width and height of a comment whose box says nothing, in points.
+COMMENT_SIZE = (144, 79)
+
+
+def story(text: str | None) -> dict[str, str | None]:
+    """A header's or footer's left, center and right part, without the codes of its fonts; fields keep their code."""
+    parts: dict[str, str | None] = {"left": None, "center": None, "right": None}
+    if text:
+        pieces = re.split(r"&([LCR])", text if re.match("&[LCR]", text) else f"&C{text}")
+        for side, part in zip(pieces[1::2], pieces[2::2], strict=False):
+            plain = re.sub(r'&"[^"]*"|&K[0-9A-Fa-f]{6}|&\d+ ?|&[BIUESXY]', "", part)
+            parts[{"L": "left", "C": "center", "R": "right"}[side]] = plain or None
+    return parts
+
+
+def titles(text: str | None, shape: str) -> str | None:
+    found = re.search(shape, text or "")
+    return found.group() if found else None
+
+
+def _comment_sizes(package: Package, parts: list[str]) -> dict[str, dict[str, float]]:
+    """Width and height of the comments' boxes by cell, from the old drawing part."""
+    out = {}
+    for part in parts:
+        try:
+            root = package.xml(part)
+        except Unreadable:
+            continue
+        for shape in root.iter() if root is not None else ():
+            style = dict(re.findall(r"(width|height):([\d.]+)pt", shape.get("style") or "")) if local(shape.tag) == "shape" else {}
+            at = {local(x.tag): number((x.text or "").strip()) for x in shape.iter() if local(x.tag) in ("Row", "Column")}
+            if len(style) == 2 and at.get("Row") is not None and at.get("Column") is not None:
+                out[f"{letters_of(at['Column'] + 1)}{at['Row'] + 1}"] = {k: float(v) for k, v in style.items()}
+    return out
+
+
 def _sheet(package: Package, built: Built, index: int, entry, part: str, shared: list[str], styles: Styles, base_1904: bool, names: list[dict]) -> None:  # noqa: ANN001
     root = package.xml(part)
     if root is None:
@@ -137,15 +175,16 @@ def _sheet(package: Package, built: Built, index: int, entry, part: str, shared:
     columns = [x for x in root.iter(q("x:col"))]
     hidden_columns = {c for x in columns if x.get("hidden") == "1" for c in range(number(x.get("min")) or 1, (number(x.get("max")) or 1) + 1)}
     comments, links = {}, {}
+    sizes = _comment_sizes(package, [t for t, kind, _ in rels.values() if kind == "vmlDrawing"])
     for target, kind, _ in rels.values():
         if kind == "comments" and (c := package.xml(target)) is not None:
             authors = [a.text for a in c.iter(q("x:author"))]
             for x in c.iter(q("x:comment")):
                 a = number(x.get("authorId"))
-                comments[x.get("ref")] = {"text": "".join(t.text or "" for t in x.iter(q("x:t"))), "author": authors[a] if a is not None and a < len(authors) else None}
+                comments[x.get("ref")] = {"text": "".join(t.text or "" for t in x.iter(q("x:t"))), "author": authors[a] if a is not None and a < len(authors) else None, **sizes.get(x.get("ref"), {"width": COMMENT_SIZE[0], "height": COMMENT_SIZE[1]})}
     for x in root.iter(q("x:hyperlink")):
         target = rels.get(x.get(q("r:id"), ""), (None, "", False))[0]
-        links[x.get("ref")] = target or x.get("location")
+        links[x.get("ref")] = {"target": target, "location": x.get("location"), "display": x.get("display"), "tooltip": x.get("tooltip")}
     tables, problems = [], {"tables": False, "validations": False}
     for target, kind, _ in rels.values():
         if kind == "table":
@@ -175,8 +214,8 @@ def _sheet(package: Package, built: Built, index: int, entry, part: str, shared:
         "max_row": max((t[0] for t in cells), default=1), "max_column": max((t[1] for t in cells), default=1), "state": entry.get("state", "visible"),
         "merged_ranges": merged, "hidden_rows": sorted(r for r in hidden_rows if r), "hidden_columns": [letters_of(c) for c in sorted(hidden_columns)],
         "freeze_panes": pane.get("topLeftCell") if pane is not None else None, "auto_filter": autofilter.get("ref") if autofilter is not None else None,
-        "print_area": own.get("_xlnm.Print_Area"), "print_titles": own.get("_xlnm.Print_Titles"), "tables": tables, "data_validations": validations,
-        "headers_footers": {re.sub(r"(?=[A-Z])", "_", k).lower(): header.findtext(q(f"x:{k}")) for k in _STORIES} if header is not None else {},
+        "print_area": own.get("_xlnm.Print_Area"), "print_title_rows": titles(own.get("_xlnm.Print_Titles"), r"\$\d+:\$\d+"), "print_title_cols": titles(own.get("_xlnm.Print_Titles"), r"\$[A-Z]+:\$[A-Z]+"), "tables": tables, "data_validations": validations,
+        "headers_footers": {re.sub(r"(?=[A-Z])", "_", k).lower(): story(header.findtext(q(f"x:{k}")) if header is not None else None) for k in _STORIES},
         "row_dimensions": {str(r): {"height": float(h) if h else None, "hidden": hid, "outline_level": o or 0} for r, h, hid, o in dims},
         "column_dimensions": {letters_of(number(x.get("min")) or 1): {"width": float(x.get("width")) if x.get("width") else None, "hidden": x.get("hidden") == "1", "outline_level": number(x.get("outlineLevel")) or 0} for x in columns},
         "view": {"zoom": number(view.get("zoomScale")), "show_grid_lines": view.get("showGridLines") != "0"} if view is not None else {},
@@ -211,7 +250,7 @@ def _sheet(package: Package, built: Built, index: int, entry, part: str, shared:
         }
         built.element(index, f"sheet-{index}-cell-{ref}", "cell", shown(value), data, source | {"row_no": r, "column_no": col, "cell": ref})
     for n, t in enumerate(tables, 1):
-        built.element(index, f"sheet-{index}-table-{n}", "table", t["display_name"] or t["name"], {"table_definition": t}, dict(source))
+        built.element(index, f"sheet-{index}-table-{n}", "table", t["display_name"] or t["name"], t, dict(source))
     for target, kind, _ in rels.values():
         if kind == "drawing":
             _drawing(package, built, index, target, source)
@@ -230,13 +269,13 @@ def _drawing(package: Package, built: Built, index: int, part: str, source: dict
         for side in ("from", "to"):
             e = anchor.find(q(f"xdr:{side}"))
             if e is not None:
-                ends[side] = {k: number(e.findtext(q(f"xdr:{k}"))) for k in ("row", "col", "rowOff", "colOff")}
+                ends[side] = {name: number(e.findtext(q(f"xdr:{k}"))) for name, k in _ANCHOR}
         blip = anchor.find(f".//{q('a:blip')}")
         if blip is not None:
             images += 1
             target = rels.get(blip.get(q("r:embed"), ""), ("", "", False))[0]
-            data = package.image(target) | {"anchor": ends}
-            built.element(index, f"sheet-{index}-image-{images}", "image", None, data, source | {"archive_part": target})
+            data = package.image(target) | {"index": images} | ends
+            built.element(index, f"sheet-{index}-image-{images}", "image", None, {"image": data}, source | {"archive_part": target})
             built.report("xlsx_image", "asset_extracted_structure_partial", posixpath.basename(target), dict(source), dict(data))
         elif anchor.find(f".//{q('c:chart')}") is not None:
             charts += 1

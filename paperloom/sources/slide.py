@@ -194,7 +194,7 @@ class Slides:
             c = root.find(q("p:cSld"))
             meta = {
                 "hidden": root.get("show") in ("0", "false", "False"), "layout_name": layout.get("name"),
-                "inherited": {"layout": layout.get("visible_text", []), "master": by_master.get(layout.get("master"), [])},
+                "layout_visible_text": layout.get("visible_text", []), "master_visible_text": by_master.get(layout.get("master"), []),
             }
             self.built.unit(i, "slide", (c.get("name") if c is not None else None) or f"Slide {i}", meta)
             self.shapes(root.find(f".//{q('p:spTree')}"), i, part, own)

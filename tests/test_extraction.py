@@ -22,7 +22,7 @@ def test_workbook():
     assert [u["name"] for u in b.units] == ["مبيعات", "Hidden"]
     cells = {e["source"]["cell"]: e for e in b.elements if e["element_type"] == "cell"}
     assert cells["C2"]["data"]["formula"] == "=B2*10" and cells["C2"]["data"]["cached_value"] == 20 and cells["C2"]["text"] == "=B2*10"
-    assert cells["A2"]["data"]["comment"] == {"text": "look here", "author": "Reviewer"} and cells["A2"]["data"]["hyperlink"] == "https://example.org/x"
+    assert cells["A2"]["data"]["comment"] == {"text": "look here", "author": "Reviewer", "width": 144, "height": 79} and cells["A2"]["data"]["hyperlink"] == {"target": "https://example.org/x", "location": None, "display": None, "tooltip": None}
     assert "B4" not in cells and cells["A4"]["text"] == "merged"
     assert cells["A5"]["data"]["is_date"] and cells["A5"]["text"].startswith("2024-01-01") and cells["A5"]["data"]["row_hidden"]
     assert b.units[0]["metadata"]["hidden_columns"] == ["D"] and b.units[1]["metadata"]["state"] == "hidden"
@@ -190,7 +190,7 @@ def test_batch(spark, tree, tmp_path):
     assert {n for n, r in batch.items() if r.status == "ok"} == {"same.xlsx", "same.docx", "deck.pptx", "paper.pdf", "macro.xlsx"}
     assert c.violations().count() == 0
     assert c.elements.where("source is null").count() == 0
-    written = sinks.write_packages(c, str(tmp_path / "out")).collect()
+    written = sinks.write_packages(c, str(tmp_path / "out"), root=str(tree)).collect()
     assert {r.path for r in written} >= {"document.json", "document.md", "assets/media/image1.png"}
     assert sorted(os.listdir(tmp_path / "out")) == ["deck__pptx_extracted", "macro__xlsx_extracted", "paper__pdf_extracted", "same__docx_extracted", "same__xlsx_extracted"]
     assert (tmp_path / "out/paper__pdf_extracted/assets/attachments/001_payload.txt").read_bytes() == b"hello payload"
@@ -201,11 +201,14 @@ def test_batch(spark, tree, tmp_path):
     md = (tmp_path / "out/deck__pptx_extracted/document.md").read_text()
     assert md.startswith("# deck.pptx") and "### The title" in md and "## Slide 2: Slide 2" in md and "| 1a | 1b |" in md and md.endswith("\n") and not md.endswith("\n\n")
     md = (tmp_path / "out/same__docx_extracted/document.md").read_text()
-    assert "### A heading" in md and "a1 | b1\na2 | b2" in md and "- item" in md and "```\nx=1\n```" in md
+    assert "### A heading" in md and "a1 | b1\na2 | b2" in md and "```text\nx=1\n```" in md and "- item" in md and "> **Note:** " in md and "- `docx-asset-1` → `assets/media/image1.png` (image/png)" in md
     md = (tmp_path / "out/same__xlsx_extracted/document.md").read_text()
-    assert "| C2 | =B2*10 | =B2*10 | 20 | General |  |" in md
+    assert "- State: `visible`\n- Used range: 5 row(s) × 3 column(s)\n\n### Cells\n\n| Cell |" in md and "| C2 | =B2*10 | =B2*10 | 20 |  |  |" in md
+    assert "| A2 | A |  |  | look here | https://example.org/x |" in md and "### Excel table definitions\n\n- `SalesTable`: `A1:C2`" in md and "- `xlsx-asset-1` anchored near row 1, column 4" in md and "- `xlsx_image` / " in md
     md = (tmp_path / "out/paper__pdf_extracted/document.md").read_text()
-    assert "](https://example.org)" in md and "- field: val" in md
+    assert "](https://example.org)" in md and "## PDF form fields\n\n- **field**: val (`/Tx`)" in md and "## Extraction warnings" in md
+    summary = {"units": 2, "elements": c.elements.where("doc_id like '%same.xlsx'").count(), "warnings": 0, "unsupported_objects": 1, "assets_declared": 1, "assets_requested": True, "assets_written": 1, "assets_failed": 0, "potentially_active_assets": 0}
+    assert manifest["summary"] == summary and {"path", "size_bytes", "sha256"} == set(manifest["files"][0]) and manifest["source"]["type"] == "xlsx"
 
 
 def test_password_stays_out(spark, tmp_path):
@@ -259,13 +262,47 @@ def test_cli(tmp_path, capsys, spark):
 
     (tmp_path / "a.xlsx").write_bytes(fx.workbook())
     assert main(["doctor", "--json"]) == 0 and "pyspark" in capsys.readouterr().out
-    assert main(["inspect", str(tmp_path / "a.xlsx")]) == 0 and "document_type=xlsx" in capsys.readouterr().out
+    assert main(["inspect", str(tmp_path / "a.xlsx")]) == 0 and capsys.readouterr().out.splitlines()[:2] == ["type=xlsx", "extension=xlsx"]
     assert main(["extract", str(tmp_path / "a.xlsx")]) == 0 and (tmp_path / "a_extracted/manifest.json").exists()
     assert main(["inspect", str(tmp_path / "none")]) == 3
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.xlsx").write_bytes(fx.workbook())
-    (tmp_path / "in/bad.pdf").write_bytes(b"%PDF-1.4")
-    assert main(["batch", str(tmp_path / "in"), "-o", str(tmp_path / "all")]) == 1 and "ok=1 failed=1" in capsys.readouterr().out
+    assert "Units: 2 | Elements: 12 | Assets: 1" in capsys.readouterr().out and not (tmp_path / "a_extracted/_rows").exists()
+    for name, raw in {"a/x.xlsx": fx.workbook(), "b/x.xlsx": fx.workbook(), "a/bad.pdf": b"%PDF-1.4", "x.docx": fx.word()}.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(raw)
+    out = tmp_path / "all"
+    assert main(["inspect", str(tmp_path / "in")]) == 2 and main(["extract", str(tmp_path / "in")]) == 2 and main(["batch", str(tmp_path / "a.xlsx"), "-o", str(out)]) == 2
+    assert main(["batch", str(tmp_path / "in"), "-o", str(out), "--recursive", "--no-assets"]) == 1 and "Batch complete: 3 succeeded, 1 failed." in capsys.readouterr().out
+    assert all((out / n / "document.json").exists() for n in ("a/x__xlsx_extracted", "b/x__xlsx_extracted", "x__docx_extracted"))
+    summary = json.loads((out / "batch-summary.json").read_text())
+    assert summary["failures"] == 1 and [f["source"] for f in summary["files"]] == ["a/bad.pdf", "a/x.xlsx", "b/x.xlsx", "x.docx"]
+    good = summary["files"][1]
+    assert good["status"] == "ok" and (good["summary"]["assets_requested"], good["summary"]["assets_declared"], good["summary"]["assets_failed"]) == (False, 1, 0)
+    with pytest.raises(SystemExit) as e:
+        main(["--version"])
+    assert e.value.code == 0
+
+
+def test_a_broken_document_is_one_reject(spark, tmp_path):
+    for n in ("a.pdf", "b.pdf"):
+        (tmp_path / n).write_bytes(b"%PDF-1.4" + n.encode())
+
+    def mine(raw, options):
+        from paperloom.sources.office import Built
+
+        b = Built("mine")
+        b.unit(1, "page", None)
+        for _ in range(2 if raw.endswith(b"b.pdf") else 1):
+            b.element(1, "e", "paragraph", "hi")
+        return b
+
+    c = corpus(files.scan(spark, str(tmp_path)), registry=extract.Registry().adding(("pdf",), mine), judge=True)
+    assert c.rejects.count() == 1 and c.rejects.first().error_type == "DocumentValidationError" and c.rejects.first().path.endswith("b.pdf")
+    assert c.documents.count() == 1 and c.elements.count() == 1
+
+
+def test_sheet_stories():
+    assert sheet.story("&LLeft &P&C&\"Arial,Bold\"&14Title&RRight") == {"left": "Left &P", "center": "Title", "right": "Right"}
+    assert sheet.story("plain")["center"] == "plain" and sheet.story(None) == {"left": None, "center": None, "right": None}
 
 
 def test_legacy_by_a_converter():
@@ -283,7 +320,7 @@ def test_rendered_pages():
 
     raw = fx.word({"docProps/app.xml": "<Properties xmlns='x'><Pages>3</Pages></Properties>"})
     b = convert.add_pages(word.extract(raw), raw, "docx", Options(), lambda *a: fx.pdf())
-    assert b.properties["word"]["rendered"]["rendered_page_count"] == 2 and b.properties["word"]["stored_page_count"] == 3
+    assert b.properties["word"]["pagination"]["rendered_page_count"] == 2 and b.properties["word"]["stored_page_count"] == 3
     assert {w["code"] for w in b.warnings} == {"docx.page_count.mismatch"}
 
     def broken(*a):

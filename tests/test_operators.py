@@ -52,7 +52,7 @@ def test_every_rule(spark):
         [("d", " ", "f", "docx", "docx", None, 1, "h", "x", None, "{}"), ("e", None, "f", "docx", "docx", None, 1, "h", "x", None, "{}")],
     )
     got = sorted((r.rule, r.detail) for r in validate.violations(docs, units, elements, assets).collect())
-    assert got == [("V1", "f"), ("V1", "f"), ("V2", "1"), ("V3", "0"), ("V4", "2"), ("V4", "3"), ("V5", "a"), ("V6", "far"), ("V7", "1:1"), ("V8", "/abs"), ("V8", "x")]
+    assert got == [("V1", "f"), ("V2", "1"), ("V3", "0"), ("V4", "2"), ("V4", "3"), ("V5", "a"), ("V6", "far"), ("V7", "1:1"), ("V8", "/abs"), ("V8", "x")]
 
 
 def test_source_null_is_not_source_of_nulls(spark):
@@ -71,10 +71,10 @@ def test_last_asset_of_one_hash_wins(spark):
 
 def test_markdown_of_each_kind(spark):
     cases = [
-        ("heading", " ", "{}", "### (empty heading)"), ("heading", "H", "{}", "### H"), ("list", "a\nb\n", "{}", "- a\n- b"), ("table", "x | y", "{}", "x | y"),
-        ("table", "x", '{"table": {"rows": [[{"text": "a|b"}], [{"text": "c"}, {"text": "d"}]]}}', "| a\\|b |  |\n| --- | --- |\n| c | d |"), ("note", "a\nb", "{}", "> a b"),
-        ("image", "alt", '{"filename": "p.png"}', "[Image: p.png]"), ("image", None, "{}", "[Image: k7]"), ("link", "say", '{"uri": "http://x"}', "[say](http://x)"), ("link", "say", '{"destination": "p"}', None),
-        ("code", "c", "{}", "```\nc\n```"), ("other", "o", "{}", "o"), ("metadata", "m", "{}", None), ("paragraph", None, None, None), ("cell", "v", "{}", None),
+        ("heading", "", "{}", "### [Heading]"), ("list", "", "{}", None), ("note", None, "{}", None), ("code", "", "{}", None), ("table", "t", '{"table": {"grid": [[true, null, 1]], "rows": [["no"]]}}', "| True |  | 1 |\n|---|---|---|"), ("heading", "H", "{}", "### H"), ("list", "a\nb\n", "{}", "- a\n- b"), ("table", "x | y", "{}", "x | y"),
+        ("table", "x", '{"table": {"rows": [[{"text": "a|b"}], [{"text": "c"}, {"text": "d"}]]}}', "| a\\|b |  |\n|---|---|\n| c | d |"), ("note", "a\nb", "{}", "> **Note:** a b"),
+        ("image", "alt", '{"image": {"filename": "p.png"}}', "[Image: p.png]"), ("image", None, "{}", "[Image: k11]"), ("link", "say", '{"uri": "http://x"}', "[say](http://x)"), ("link", "say", '{"destination": "p"}', None),
+        ("code", "c", "{}", "```text\nc\n```"), ("other", "o", "{}", "o"), ("metadata", "m", "{}", None), ("paragraph", None, None, None), ("cell", "v", "{}", "v"),
     ]
     _, _, elements, _ = tables(spark, [element(f"k{i - 1}", order=i, kind=k, body=t, data=d) for i, (k, t, d, _) in enumerate(cases, 1)])
     got = {r.element_order: r.m for r in elements.select("element_order", render.element_markdown().alias("m")).collect()}
