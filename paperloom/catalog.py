@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from paperloom import doctor
+from paperloom import doctor, parsing
 from paperloom.functions import text
 from paperloom.operators import drift, manifest, nested, provenance, render, validate
 from paperloom.options import Options
 from paperloom.runtime import table
-from paperloom.sources import files
+from paperloom.sources import files, layout
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,22 +170,6 @@ def element_type_counts(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, d, "elements").groupBy("doc_id", "element_type").agg(F.count("*").alias("elements"), F.count("text").alias("with_text"), F.sum(F.length("text")).alias("chars"))
 
 
-_STYLE = "coalesce(data->>'style', data->>'style_name', data->>'paragraph_style')"
-
-
-@query(
-    "word_style_kinds",
-    f"""SELECT elem_no, {_STYLE} AS style, CASE WHEN lower({_STYLE}) LIKE 'heading%' OR lower({_STYLE}) LIKE 'title%' THEN 'heading' WHEN lower({_STYLE}) LIKE 'list%' THEN 'list' ELSE 'paragraph' END AS kind
-    FROM {ELEMENTS} WHERE {_STYLE} IS NOT NULL""",
-)
-def word_style_kinds(spark: SparkSession, d: str) -> DataFrame:
-    v = F.try_parse_json("data")
-    style = F.coalesce(*(F.try_variant_get(v, f"$.{k}", "string") for k in ("style", "style_name", "paragraph_style")))
-    rows = once(spark, d, "elements").select("elem_no", style.alias("style")).where("style is not null")
-    low = F.lower("style")
-    return rows.withColumn("kind", F.when(low.startswith("heading") | low.startswith("title"), "heading").when(low.startswith("list"), "list").otherwise("paragraph"))
-
-
 @query(
     "pdf_label_kinds",
     f"""SELECT label, CASE WHEN label IN ('title','section_header','field_heading') THEN 'heading' WHEN label LIKE '%list%' THEN 'list' WHEN label = 'table' THEN 'table' WHEN label IN ('picture','figure') THEN 'image'
@@ -194,21 +179,13 @@ def word_style_kinds(spark: SparkSession, d: str) -> DataFrame:
 def pdf_label_kinds(spark: SparkSession, d: str) -> DataFrame:
     v = F.try_parse_json("data")
     label = F.coalesce(F.try_variant_get(v, "$.label", "string"), F.try_variant_get(v, "$.docling_label", "string"))
-    rows = once(spark, d, "elements").select(label.alias("label")).where("label is not null")
-    c = F.col("label")
-    kind = F.when(c.isin("title", "section_header", "field_heading"), "heading").when(c.contains("list"), "list").when(c == "table", "table").when(c.isin("picture", "figure"), "image").when(c == "formula", "formula").when(c == "code", "code").otherwise("paragraph")
-    return rows.groupBy("label", kind.alias("kind")).agg(F.count("*").alias("n"))
+    labels = once(spark, d, "elements").select(label.alias("label")).where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
 
+    def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(kind=b["label"].map(layout.kind_of))[["label", "kind", "n"]]
 
-@query(
-    "sheet_cells",
-    """SELECT chr(CAST(64 + col AS INTEGER)) || row_no AS cell, CAST(row_no AS INTEGER) AS row_no, CAST(col AS INTEGER) AS column_no, value FROM (
-      SELECT row_number() OVER (ORDER BY n_nationkey) AS row_no, [CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)] AS v FROM nation), unnest(v) WITH ORDINALITY AS u(value, col) WHERE value IS NOT NULL""",
-)
-def sheet_cells(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "nation").withColumn("row_no", F.row_number().over(W.orderBy("n_nationkey")))  # 25 rows, fixed
-    cells = rows.select("row_no", F.posexplode(F.array(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))).alias("p", "value")).where("value is not null")
-    return cells.select(F.concat(F.char(F.col("p") + 65), F.col("row_no")).alias("cell"), "row_no", (F.col("p") + 1).alias("column_no"), "value")
+    return labels.mapInPandas(kinds, "label string, kind string, n long")
 
 
 @query("sheet_dimensions", f"SELECT doc_id, unit_index, max(source.row_no) AS max_row, max(source.column_no) AS max_column, count(*) AS cells FROM {ELEMENTS} WHERE element_type = 'cell' GROUP BY doc_id, unit_index")
@@ -217,18 +194,6 @@ def sheet_dimensions(spark: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("doc_id", "unit_index").agg(F.max("source.row_no").alias("max_row"), F.max("source.column_no").alias("max_column"), F.count("*").alias("cells"))
 
 
-@query(
-    "merged_cells",
-    """WITH r AS (SELECT n_regionkey AS block, min(n_nationkey) AS lo, max(n_nationkey) AS hi FROM nation GROUP BY 1)
-    SELECT n.n_nationkey, n.n_name FROM nation n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.block = n.n_regionkey AND n.n_nationkey > r.lo AND n.n_nationkey <= r.hi)""",
-)
-def merged_cells(spark: SparkSession, d: str) -> DataFrame:
-    nation = table(spark, d, "nation")
-    boxes = nation.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("lo"), F.max("n_nationkey").alias("hi"))
-    inside = boxes.select("n_regionkey", F.explode(F.sequence("lo", "hi")).alias("n_nationkey"), "lo").where("n_nationkey > lo")
-    return nation.join(inside, ["n_regionkey", "n_nationkey"], "left_anti").select("n_nationkey", "n_name")
-
-
 @query(
     "provenance_fill",
     f"""SELECT e.elem_no, coalesce(e.source.unit_index, CASE WHEN e.source IS NULL THEN u.unit_index END) AS source_unit, CASE WHEN e.source IS NULL THEN CASE WHEN u.kind = 'page' THEN u.unit_index END ELSE e.source.page_number END AS page_number,
@@ -556,3 +521,7 @@ def iso_timestamps(spark: SparkSession, d: str) -> DataFrame:
 @query("environment")
 def environment(spark: SparkSession, d: str) -> DataFrame:
     return doctor.report(spark)
+
+
+QUERIES.update(parsing.QUERIES)
+SQL.update(parsing.SQL)

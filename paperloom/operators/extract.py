@@ -8,6 +8,7 @@ feeds all relations; each relation is then a filter and a typed projection insid
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom import schema
+from paperloom.functions.text import basename
 from paperloom.options import Options
 from paperloom.sources import convert, pdf, sheet, slide, word
 from paperloom.sources.office import Built, Unreadable
@@ -88,14 +90,14 @@ def found_rows(files: DataFrame, options: Options = Options(), registry: Registr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, kind, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for path, kind, content, facts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 out: list[tuple[str, str]] = []
                 try:
                     extractor = registry.get(kind)
                     if extractor is None:
                         raise LookupError(f"no extractor for {kind}")
                     built = extractor(content, options)
-                    out.append(("documents", _dump({"extractor": built.extractor, "properties": _dump(built.properties)})))
+                    out.append(("documents", _dump({"extractor": built.extractor, "properties": _dump(built.properties), "sha256": hashlib.sha256(content).hexdigest(), "facts": facts})))
                     for relation in ("units", "elements", "assets", "warnings", "unsupported"):
                         for r in getattr(built, relation):
                             out.append((relation, _dump({k: _dump(v) if k in _JSON else v for k, v in r.items()})))
@@ -104,7 +106,14 @@ def found_rows(files: DataFrame, options: Options = Options(), registry: Registr
                     out = [("rejects", _dump({"path": path, "error_type": error, "error": str(e) if isinstance(e, (Unreadable, convert.ToolMissing)) else f"{type(e).__name__}"}))]
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.string()), pa.array([path] * len(out), pa.string()), pa.array([j for _, j in out], pa.string())], names=_FOUND.names)
 
-    return files.select("path", "detected.document_type", "content").mapInArrow(run, _FOUND)
+    facts = F.struct(
+        basename(F.col("path")).alias("filename"), F.col("detected.extension").alias("extension"), F.col("detected.document_type").alias("document_type"), F.col("detected.media_type").alias("media_type"),
+        F.col("length").alias("size_bytes"), source_facts().alias("source_facts"),
+    )
+    return files.select("path", "detected.document_type", "content", F.to_json(facts).alias("facts")).mapInArrow(run, _FOUND)
+
+
+_FACTS = "filename string, extension string, document_type string, media_type string, size_bytes long, source_facts string"
 
 
 def relation(found: DataFrame, name: str) -> DataFrame:
@@ -115,20 +124,14 @@ def relation(found: DataFrame, name: str) -> DataFrame:
     return typed.select(*(F.col("doc_id") if f.name == "doc_id" else F.col(f"r.{f.name}") for f in kind.fields))
 
 
-def documents(found: DataFrame, files: DataFrame) -> DataFrame:
-    """The documents relation: what detection and hashing say of each file, with its extractor's properties."""
-    from paperloom.functions.text import basename
-
-    built = found.where(F.col("relation") == "documents").select("doc_id", F.from_json("row", "extractor string, properties string").alias("r"))
-    facts = files.select(
-        F.col("path").alias("doc_id"), basename(F.col("path")).alias("filename"), F.col("detected.extension").alias("extension"), F.col("detected.document_type").alias("document_type"),
-        F.col("detected.media_type").alias("media_type"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), source_facts().alias("source_facts"),
-    )
-    joined = facts.join(built, "doc_id")
+def documents(found: DataFrame) -> DataFrame:
+    """The documents relation: what detection and hashing say of each file, with its extractor's properties; no file is read again."""
+    built = found.where(F.col("relation") == "documents").select("doc_id", F.from_json("row", "extractor string, properties string, sha256 string, facts string").alias("r"))
+    rows = built.withColumn("f", F.from_json("r.facts", _FACTS))
     body = F.substring("r.properties", 2, 1 << 30)
-    properties = F.concat(F.lit('{"source": '), F.col("source_facts"), F.when(F.col("r.properties") == "{}", F.lit("")).otherwise(F.lit(", ")), body)
-    return joined.select(
-        "doc_id", F.lit(schema.SCHEMA_VERSION).alias("schema_version"), "filename", "extension", "document_type", "media_type", "size_bytes", "sha256",
+    properties = F.concat(F.lit('{"source": '), F.col("f.source_facts"), F.when(F.col("r.properties") == "{}", F.lit("")).otherwise(F.lit(", ")), body)
+    return rows.select(
+        "doc_id", F.lit(schema.SCHEMA_VERSION).alias("schema_version"), "f.filename", "f.extension", "f.document_type", "f.media_type", "f.size_bytes", F.col("r.sha256").alias("sha256"),
         F.col("r.extractor").alias("extractor"), F.lit(None).cast("string").alias("extractor_version"), properties.alias("properties"),
     )
 

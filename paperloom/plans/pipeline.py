@@ -63,7 +63,7 @@ def corpus(content: DataFrame, options: Options = Options(), registry: extract.R
     units = extract.relation(found, "units")
     elements = provenance.fill_source(extract.relation(found, "elements"), units)
     rejects = rejected.unionByName(extract.relation(found, "rejects").select("path", "error_type", "error"))
-    documents, assets, warnings, unsupported = extract.documents(found, good), extract.relation(found, "assets"), extract.relation(found, "warnings"), extract.relation(found, "unsupported")
+    documents, assets, warnings, unsupported = extract.documents(found), extract.relation(found, "assets"), extract.relation(found, "warnings"), extract.relation(found, "unsupported")
     if judge:
         bad = cut(validate.violations(documents, units, elements, assets))
         lost = bad.groupBy("doc_id").agg(F.min(F.struct("rule", "detail")).alias("v"))

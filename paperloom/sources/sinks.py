@@ -110,6 +110,8 @@ def write_packages(corpus: Corpus, target: str, options: Options = Options(), fl
     Each document has a directory under `target` that keeps its place under `root`; with `flat`, for a single file, `target` is it. What was
     written is checkpointed, so that the manifests are made from it and no file is written again for them.
     """
+    if "://" in target:
+        raise ValueError("packages are written to a folder that every executor has mounted, not to an address")
     written = write_texts(corpus, target, options, flat, root)
     if options.extract_assets:
         written = written.unionByName(write_assets(corpus, target, options, flat, root).join(corpus.documents.select("doc_id"), "doc_id", "left_semi"))

@@ -45,7 +45,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
     from paperloom.runtime import session
 
-    s = session("oracle", spark__master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
+    s = session("oracle", spark__master=os.environ.get("ORACLE_MASTER", "local[8]"), spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     con = load(sys.argv[1])
     q = e.queries()
