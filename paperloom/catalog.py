@@ -364,6 +364,22 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
     return render.json_document(once(spark, d, "canonical_docs"), once(spark, d, "units"), once(spark, d, "elements"), once(spark, d, "assets"), table(spark, d, "warnings"))
 
 
+@query(
+    "json_elements",
+    f"""WITH u AS {UNITS}, e AS (SELECT e.* FROM {ELEMENTS} e JOIN u ON u.doc_id = e.doc_id AND u.unit_index = e.unit_index WHERE e.doc_id IN (SELECT doc_id FROM canonical_docs))
+    SELECT doc_id, unit_index, element_id, element_type, element_order, text, source.row_no AS row_no, source.bbox.left_x AS left_x, source IS NOT NULL AS placed, CAST(len(json_keys(coalesce(TRY_CAST(data AS JSON), '{{}}'))) AS INTEGER) AS fields FROM e""",
+)
+def json_elements(spark: SparkSession, d: str) -> DataFrame:
+    """The elements as they are read back from the documents' JSON."""
+    shape = "units array<struct<index:int,elements:array<struct<element_id:string,element_type:string,`order`:int,text:string,data:map<string,string>,source:struct<row:int,bbox:struct<left:double>>>>>>"
+    docs = json_documents(spark, d).select("doc_id", F.from_json("json", shape).alias("j"))
+    units = docs.select("doc_id", F.explode("j.units").alias("u")).select("doc_id", F.col("u.index").alias("unit_index"), F.explode("u.elements").alias("e"))
+    return units.select(
+        "doc_id", "unit_index", "e.element_id", "e.element_type", F.col("e.order").alias("element_order"), "e.text", F.col("e.source.row").alias("row_no"),
+        F.col("e.source.bbox.left").alias("left_x"), F.col("e.source").isNotNull().alias("placed"), F.size(F.map_keys("e.data")).alias("fields"),
+    )
+
+
 @query("md_unit_headings", f"SELECT doc_id, unit_index, {_UNIT_SQL} AS heading FROM {UNITS}")
 def md_unit_headings(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, d, "units").select("doc_id", "unit_index", render.unit_heading().alias("heading"))

@@ -237,23 +237,37 @@ def _raw(column: str) -> Column:
     return F.coalesce(F.try_parse_json(column), F.parse_json(F.lit("{}")))
 
 
+def source_object() -> Column:
+    """An element's source under the names of the document's tree; null where it has none."""
+    names = {"row_no": "row", "column_no": "column"}
+    sides = {"left_x": "left", "top_y": "top", "right_x": "right", "bottom_y": "bottom"}
+    box = F.when(F.col("source.bbox").isNotNull(), F.struct(*(F.col(f"source.bbox.{c}").alias(n) for c, n in sides.items()), F.col("source.bbox.coordinate_system").alias("coordinate_system")))
+    fields = ("unit_index", "unit_name", "page_number", "sheet_name", "slide_number", "row_no", "column_no", "cell")
+    return F.when(F.col("source").isNotNull(), F.struct(*(F.col(f"source.{c}").alias(names.get(c, c)) for c in fields), box.alias("bbox"), F.col("source.archive_part").alias("archive_part")))
+
+
 def json_document(documents: DataFrame, units: DataFrame, elements: DataFrame, assets: DataFrame, warnings: DataFrame, unsupported: DataFrame | None = None) -> DataFrame:
-    """doc_id and json: the whole tree of each document, nulls kept."""
+    """doc_id and json: the whole tree of each document, nulls kept; an element has parent_element_id beside its tree's fields."""
     keep = {"ignoreNullFields": "false"}
-    e = elements.select("doc_id", "unit_index", F.struct("element_order", "element_id", F.struct("element_id", "element_type", F.col("element_order").alias("order"), "text", "markdown", _raw("data").alias("data"), "source", "parent_element_id").alias("v")).alias("x"))
-    per_unit = e.groupBy("doc_id", "unit_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("x.element_order", "x.element_id", F.to_json("x.v", keep).alias("j")))), lambda s: s["j"]).alias("elements"))
+    tree = F.struct("element_id", "element_type", F.col("element_order").alias("order"), "text", "markdown", _raw("data").alias("data"), source_object().alias("source"), F.array().cast("array<string>").alias("children"), "parent_element_id")
+    e = elements.select("doc_id", "unit_index", F.struct("element_order", "element_id", F.to_json(tree, keep).alias("j")).alias("x"))
+    per_unit = e.groupBy("doc_id", "unit_index").agg(F.transform(F.array_sort(F.collect_list("x")), lambda s: s["j"]).alias("elements"))
     u = units.join(per_unit, ["doc_id", "unit_index"], "left")
-    head = F.to_json(F.struct(F.col("unit_index").alias("index"), "kind", "name", _raw("metadata").alias("metadata")), keep)
-    unit_json = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(', "elements":['), F.coalesce(F.array_join("elements", ","), F.lit("")), F.lit("]}"))
-    out = documents.select("doc_id", F.struct(*(c if c != "properties" else _raw(c).alias(c) for c in documents.columns if c not in ("doc_id", "schema_version", "ingested_at"))).alias("m"), "schema_version")
-    text = F.concat(F.lit('{"schema_version":'), F.concat(F.lit('"'), F.coalesce("schema_version", F.lit("")), F.lit('"')), F.lit(',"metadata":'), F.to_json("m", keep))
-    out = out.select("doc_id", text.alias("j"))
+    head = F.to_json(F.struct(F.col("unit_index").alias("index"), "kind", "name"), keep)
+    unit_json = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"elements":['), F.coalesce(F.array_join("elements", ","), F.lit("")), F.lit('],"metadata":'), F.to_json(_raw("metadata")), F.lit("}"))
     lists = {"units": u.select("doc_id", F.col("unit_index").alias("k"), unit_json.alias("j"))}
-    for name, df, key in (("assets", assets, "asset_id"), ("warnings", warnings, "code"), ("unsupported_objects", unsupported, "object_type")):
+    for name, df, key in (("warnings", warnings, "code"), ("unsupported_objects", unsupported, "object_type"), ("assets", assets, "asset_id")):
         if df is not None:
-            columns = [_raw(c).alias(c) if c in ("metadata", "details") else F.col(c) for c in df.columns if c not in ("doc_id", "ingested_at")]
-            lists[name] = df.select("doc_id", F.col(key).alias("k"), F.to_json(F.struct(*columns), keep).alias("j"))
-    for name, df in lists.items():
-        grouped = df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda s: s["j"]).alias("__l"))
-        out = out.join(grouped, "doc_id", "left").select("doc_id", F.concat("j", F.lit(f',"{name}":['), F.coalesce(F.array_join("__l", ","), F.lit("")), F.lit("]")).alias("j"))
+            columns = [_raw(c).alias(c) if c in ("metadata", "details") else source_object().alias(c) if c == "source" else F.col(c) for c in df.columns if c not in ("doc_id", "ingested_at")]
+            order = F.regexp_extract(key, r"(\d+)$", 1).try_cast("int") if name == "assets" else F.col(key)
+            lists[name] = df.select("doc_id", F.struct(order, key).alias("k"), F.to_json(F.struct(*columns), keep).alias("j"))
+    out = documents.select("doc_id", F.to_json(F.struct(*(c if c != "properties" else _raw(c).alias(c) for c in documents.columns if c not in ("doc_id", "schema_version", "ingested_at"))), keep).alias("m"), F.to_json(F.struct("schema_version"), keep).alias("v"))
+    out = out.select("doc_id", "v", F.concat(F.lit('{"metadata":'), "m").alias("j"))
+    for name in ("units", "warnings", "unsupported_objects", "assets"):
+        text = F.lit("")
+        if name in lists:
+            grouped = lists[name].groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda s: s["j"]).alias("__l"))
+            out, text = out.join(grouped, "doc_id", "left"), F.coalesce(F.array_join("__l", ","), F.lit(""))
+        version = F.concat(F.lit(","), F.regexp_replace("v", r"^\{|\}$", "")) if name == "units" else F.lit("")
+        out = out.select("doc_id", "v", F.concat("j", F.lit(f',"{name}":['), text, F.lit("]"), version).alias("j"))
     return out.select("doc_id", F.concat("j", F.lit("}")).alias("json"))
