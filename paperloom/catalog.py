@@ -13,7 +13,7 @@ from paperloom import doctor, parsing
 from paperloom.functions import text
 from paperloom.operators import drift, manifest, nested, provenance, render, validate
 from paperloom.options import Options
-from paperloom.runtime import table
+from paperloom.runtime import once_each, table
 from paperloom.sources import files, layout
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +90,8 @@ _KEYS = {"canonical_docs": ("doc_id",), "units": ("doc_id", "unit_index"), "elem
 
 
 def once(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return table(spark, d, name).dropDuplicates(list(_KEYS[name]))
+    df, keys = table(spark, d, name), _KEYS[name]
+    return once_each(df, keys[0]) if len(keys) == 1 else df.dropDuplicates(list(keys))
 
 
 def once_sql(name: str) -> str:

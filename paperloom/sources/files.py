@@ -25,8 +25,16 @@ def scan(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     return files.where(extension(F.col("path")).isin(*SUPPORTED))
 
 
+class InvalidInput(ValueError):
+    """The path is no file that can be read."""
+
+
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """One file whatever its suffix."""
+    """One file whatever its suffix; a directory and a missing file are refused."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p) or fs.getFileStatus(p).isDirectory():
+        raise InvalidInput(f"not a file: {path}")
     return spark.read.format("binaryFile").load(path)
 
 

@@ -1,7 +1,7 @@
 """PDF files (F1-F14) by a small parser of objects, streams and text operators.
 
-Reads classic and compressed object storage, Flate with predictors, RC4 and AES-128 encryption. Gaps: OCR
-and layout models, AES-256, composite fonts without a Unicode map.
+Reads classic and compressed object storage, Flate with predictors, RC4 and AES encryption. Gaps: OCR
+and layout models, composite fonts without a Unicode map.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from functools import lru_cache
 from typing import Any
 
 from paperloom.sources.office import Built, Unreadable
@@ -164,7 +165,9 @@ def rc4(key: bytes, data: bytes) -> bytes:
     return bytes(out)
 
 
-def _tables() -> tuple[list[int], list[int]]:
+@lru_cache(maxsize=1)
+def _tables() -> tuple[list[int], list[int], dict[int, list[int]]]:
+    """The substitution, its inverse, and the products of all bytes with the factors of the column mixes."""
     box, p, v = [0] * 256, 1, 1
     while True:
         p = p ^ (p << 1) & 255 ^ (0x1B if p & 0x80 else 0)
@@ -182,12 +185,22 @@ def _tables() -> tuple[list[int], list[int]]:
     back = [0] * 256
     for i, x in enumerate(box):
         back[x] = i
-    return box, back
 
+    def mul(a: int, b: int) -> int:
+        r = 0
+        while b:
+            if b & 1:
+                r ^= a
+            a = a << 1 ^ (0x11B if a & 0x80 else 0)
+            b >>= 1
+        return r
+
+    return box, back, {m: [mul(x, m) for x in range(256)] for m in (2, 3, 9, 11, 13, 14)}
 
-def aes_cbc(key: bytes, data: bytes) -> bytes:
-    """AES in CBC mode with the vector in front and padding at the end, decrypted."""
-    box, back = _tables()
+
+@lru_cache(maxsize=64)
+def _round_keys(key: bytes) -> list[list[int]]:
+    box = _tables()[0]
     nk, rounds = len(key) // 4, len(key) // 4 + 6
     w = [list(key[4 * i : 4 * i + 4]) for i in range(nk)]
     rcon = 1
@@ -200,25 +213,25 @@ def aes_cbc(key: bytes, data: bytes) -> bytes:
         elif nk > 6 and i % nk == 4:
             t = [box[x] for x in t]
         w.append([a ^ b for a, b in zip(w[i - nk], t, strict=True)])
-    keys = [sum(w[4 * r : 4 * r + 4], []) for r in range(rounds + 1)]
+    return [sum(w[4 * r : 4 * r + 4], []) for r in range(rounds + 1)]
 
-    def mul(a: int, b: int) -> int:
-        r = 0
-        while b:
-            if b & 1:
-                r ^= a
-            a = a << 1 ^ (0x11B if a & 0x80 else 0)
-            b >>= 1
-        return r
 
-    by = {m: [mul(x, m) for x in range(256)] for m in (9, 11, 13, 14)}
+#: Places of a block's bytes after its rows are shifted, and shifted back.
+_SHIFTED = [(c + row) % 4 * 4 + row for c in range(4) for row in range(4)]
+_SHIFTED_BACK = [(c - row) % 4 * 4 + row for c in range(4) for row in range(4)]
+
+
+def aes_cbc(key: bytes, data: bytes, padded: bool = True) -> bytes:
+    """AES in CBC mode with the vector in front, decrypted; the padding at the end is taken off."""
+    _, back, by = _tables()
+    keys = _round_keys(bytes(key))
+    rounds = len(keys) - 1
     out, last = bytearray(), data[:16]
     for at in range(16, len(data) - 15, 16):
         block = data[at : at + 16]
         s = [a ^ b for a, b in zip(block, keys[rounds], strict=True)]
         for r in range(rounds - 1, -1, -1):
-            s = [back[s[(c - row) % 4 * 4 + row]] for c in range(4) for row in range(4)]
-            s = [a ^ b for a, b in zip(s, keys[r], strict=True)]
+            s = [back[s[i]] ^ k for i, k in zip(_SHIFTED_BACK, keys[r], strict=True)]
             if r:
                 s = [
                     by[14][s[4 * c + i]] ^ by[11][s[4 * c + (i + 1) % 4]] ^ by[13][s[4 * c + (i + 2) % 4]] ^ by[9][s[4 * c + (i + 3) % 4]]
@@ -227,12 +240,50 @@ def aes_cbc(key: bytes, data: bytes) -> bytes:
                 ]
         out += bytes(a ^ b for a, b in zip(s, last, strict=True))
         last = block
-    return bytes(out[: -out[-1]]) if out and 1 <= out[-1] <= 16 else bytes(out)
+    return bytes(out[: -out[-1]]) if padded and out and 1 <= out[-1] <= 16 else bytes(out)
+
+
+def aes_cbc_encrypt(key: bytes, vector: bytes, data: bytes) -> bytes:
+    """AES in CBC mode over whole blocks; neither vector nor padding is added."""
+    box, _, by = _tables()
+    keys = _round_keys(bytes(key))
+    two, three, first, final = by[2], by[3], keys[0], len(keys) - 1
+    out, last = bytearray(), vector
+    for at in range(0, len(data), 16):
+        s = [a ^ b ^ k for a, b, k in zip(data[at : at + 16], last, first, strict=True)]
+        for r in range(1, final + 1):
+            s = [box[s[i]] for i in _SHIFTED]
+            if r < final:
+                m = []
+                for c in (0, 4, 8, 12):
+                    w, x, y, z = s[c : c + 4]
+                    m += (two[w] ^ three[x] ^ y ^ z, w ^ two[x] ^ three[y] ^ z, w ^ x ^ two[y] ^ three[z], three[w] ^ x ^ y ^ two[z])
+                s = m
+            s = [a ^ k for a, k in zip(s, keys[r], strict=True)]
+        last = bytes(s)
+        out += last
+    return bytes(out)
+
+
+def password_hash(revision: int, password: bytes, salt: bytes, more: bytes = b"") -> bytes:
+    """The hash of a password of AES-256 files: one SHA-256 in revision 5, at least 64 rounds of AES and SHA-2 in revision 6."""
+    k = hashlib.sha256(password + salt + more).digest()
+    n = 0
+    while revision >= 6:
+        e = aes_cbc_encrypt(k[:16], k[16:32], (password + k + more) * 64)
+        k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[sum(e[:16]) % 3](e).digest()
+        n += 1
+        if n >= 64 and e[-1] <= n - 32:
+            break
+    return k[:32]
 
 
 class Cipher:
     def __init__(self, pdf: Reader, enc: dict, ids: list, password: str):
         self.v, r = enc.get("V", 0), enc.get("R", 2)
+        if self.v == 5:
+            self.aes, self.key = True, self._long_key(enc, r, password.encode()[:127])
+            return
         if self.v not in (1, 2, 4):
             raise Unreadable("the encryption isn't supported")
         n = 5 if r == 2 else enc.get("Length", 128) // 8
@@ -270,7 +321,18 @@ class Cipher:
                 return
         raise Unreadable("the file is encrypted and the password doesn't open it")
 
+    @staticmethod
+    def _long_key(enc: dict, revision: int, password: bytes) -> bytes:
+        """The 256-bit key of the file, by the user's or the owner's password."""
+        for name, more in (("U", b""), ("O", enc["U"][:48])):
+            own = enc[name]
+            if password_hash(revision, password, own[32:40], more) == own[:32]:
+                return aes_cbc(password_hash(revision, password, own[40:48], more), bytes(16) + enc[f"{name}E"][:32], padded=False)
+        raise Unreadable("the file is encrypted and the password doesn't open it")
+
     def open(self, data: bytes, number: int, generation: int) -> bytes:
+        if self.v == 5:
+            return aes_cbc(self.key, data)
         k = hashlib.md5(self.key + number.to_bytes(3, "little") + generation.to_bytes(2, "little") + (b"sAlT" if self.aes else b"")).digest()[: min(16, len(self.key) + 5)]
         return aes_cbc(k, data) if self.aes else rc4(k, data)
 

@@ -146,6 +146,42 @@ def test_encrypted_pdf():
     assert "First page text" in texts(pdf.extract(raw, "secret"), "paragraph")[0]
 
 
+def test_aes():
+    plain, key = bytes.fromhex("00112233445566778899aabbccddeeff"), bytes(range(32))
+    for size, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        made = pdf.aes_cbc_encrypt(key[:size], bytes(16), plain)
+        assert made.hex() == want and pdf.aes_cbc(key[:size], bytes(16) + made, padded=False) == plain
+
+
+@pytest.mark.parametrize("revision", [5, 6])
+def test_pdf_with_a_long_key(revision):
+    key, salts = bytes(range(32)), (b"validate", b"key salt")
+
+    def entry(password, more=b""):
+        head = pdf.password_hash(revision, password, salts[0], more) + b"".join(salts)
+        return head, pdf.aes_cbc_encrypt(pdf.password_hash(revision, password, salts[1], more), bytes(16), key)
+
+    u, ue = entry("użer".encode())
+    o, oe = entry(b"owner", u)
+    raw = fx.pdf()
+
+    def sealed(m):
+        data = m.group(3)
+        n = 16 - len(data) % 16
+        data = b"v" * 16 + pdf.aes_cbc_encrypt(key, b"v" * 16, data + bytes([n]) * n)
+        return m.group(1) + b"/Length %d >>\nstream\n" % len(data) + data + b"\nendstream"
+
+    import re
+
+    raw = re.sub(rb"(<<[^\n]*?)/Length (\d+) >>\nstream\n(.*?)\nendstream", sealed, raw, flags=re.S)
+    enc = f"40 0 obj\n<< /Filter /Standard /V 5 /R {revision} /U <{u.hex()}> /UE <{ue.hex()}> /O <{o.hex()}> /OE <{oe.hex()}> /P -4 >>\nendobj\n".encode()
+    raw = raw.replace(b"trailer <<", enc + b"trailer << /Encrypt 40 0 R")
+    for password in ("użer", "owner"):
+        assert texts(pdf.extract(raw, password), "paragraph")[0].startswith("First page text")
+    with pytest.raises(Unreadable):
+        pdf.extract(raw, "wrong")
+
+
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     d = tmp_path_factory.mktemp("in")
@@ -167,6 +203,12 @@ def test_detection_by_content(spark, tree):
     assert kinds["text.pdf"].document_type == "pdf" and kinds["note.txt"].document_type == "txt" and kinds["paper.pdf"].media_type == "application/pdf"
 
 
+def test_only_files_are_read_as_one(spark, tree):
+    for path in (tree, tree / "none.pdf"):
+        with pytest.raises(files.InvalidInput):
+            files.read_file(spark, str(path))
+
+
 def test_limits(spark, tree):
     one = files.read_file(spark, str(tree / "same.xlsx"))
     for options in (Options(max_file_size=1), Options(max_expanded=1), Options(max_members=1)):
