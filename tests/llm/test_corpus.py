@@ -59,6 +59,13 @@ def test_pack(spark):
         assert sum(p[2] for p in pieces) == t and len(pieces) == -(-t // 100) == pieces[0][3] and [p[1] for p in pieces] == [100 * k for k in range(len(pieces))]
 
 
+def test_packing_report(spark):
+    sized = spark.createDataFrame([(i, 60) for i in range(10)] + [(20, 250), (21, 40)], "doc_id long, tokens long")
+    packed = packing.pack(sized, 100).selectExpr("*", "1 as container_id", "100 as capacity_tokens")
+    (r,) = packing.packing_report(packed).collect()
+    assert (r.tokens, r.fewest) == (890, 9) and r.bins == packed.select("bin_no").distinct().count() == 13 and abs(r.filled - 890 / 1300) < 1e-9
+
+
 def test_pack_texts(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (4, "word " * 500), (None, "x")], "doc_id long, text string")
     boxes = spark.createDataFrame([(1, 64), (2, 512)], "container_id int, capacity_tokens int")

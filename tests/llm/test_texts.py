@@ -211,6 +211,39 @@ def test_languages(spark):
     assert language.language_found(d.limit(0), e.limit(0), corpus(spark)).count() == 0
 
 
+def test_each_source_can_decide(spark):
+    def said(label):
+        return None if label is None else f'{{"word": {{"core_properties": {{"language": "{label}"}}}}}}'
+
+    sure = [(f"s{i}", *(("en", "docx", "en") if i % 2 else ("de", "docx", "de"))) for i in range(60)] + [(f"p{i}", "es", "pdf", "es") for i in range(60)]
+    docs = [(d, said(label), kind, kind) for d, label, kind, _ in sure]
+    found = [(d, 1, lang, 1000, 300.0, []) for d, _, _, lang in sure]
+    cases = [("label", "de", "docx", [("en", 10), ("de", 9)], 2.0, "de"), ("text", "de", "docx", [("ru", 900), ("de", 100)], 400.0, "ru"), ("prior", None, "pdf", [("fr", 10), ("es", 10)], 1.0, "es"), ("close", None, "pdf", [("fr", 30), ("es", 10)], 60.0, "fr")]
+    for d, label, kind, shares, nats, _ in cases:
+        docs.append((d, said(label), kind, kind))
+        found += [(d, 1, lang, chars, nats / len(shares), []) for lang, chars in shares]
+    f = spark.createDataFrame(found, "doc_id string, elem_no long, lang string, chars long, nats double, lines array<struct<line_no:int,confidence:float>>")
+    got = {r.doc_id: r for r in language.fuse(f, spark.createDataFrame(docs, "doc_id string, properties string, document_type string, extension string")).collect()}
+    assert {c[0]: got[c[0]].lang for c in cases} == {c[0]: c[-1] for c in cases}
+    assert got["text"].confidence > 0.99 and 0.3 < got["label"].confidence < got["text"].confidence and got["s1"].confidence > 0.99
+
+
+def test_languages_with_confidence(spark):
+    d = spark.createDataFrame([("a", None, "docx", "docx")], "doc_id string, properties string, document_type string, extension string")
+    e = spark.createDataFrame([(1, "a", "paragraph", "\n".join([TRAIN["en"]] * 3 + [TRAIN["de"]]))], "elem_no long, doc_id string, element_type string, text string")
+    rows = {(r.elem_no, r.line_no): r for r in language.languages(d, e, corpus(spark)).collect()}
+    assert {k: r.lang for k, r in rows.items()} == {(0, 0): "en", (1, 4): "de"} and all(r.confidence > 0.9 for r in rows.values())
+
+
+def test_memory_of_unknown_words_starts_anew():
+    scorer = language.Scorer(language.fit([(k, v) for k, v in TRAIN.items() for _ in range(3)]))
+    for k in range(4):
+        scorer.forget(100)
+        texts = [" ".join(f"w{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)), TRAIN["de"]]
+        scores = scorer.score(texts)[4]
+        assert language.LANGS[scores[1].argmax()] == "de" and len(scorer.rows) <= scorer.known + 301
+
+
 def test_model_on_held_out_sentences():
     model = language.fit([(k, v) for k, v in TRAIN.items() for _ in range(3)])
     held = {"en": "this page is not for the reviewer", "de": "die Tabelle für den Prüfer ist nicht gedruckt", "fr": "la commande n’est pas vérifiée pour le tableau", "es": "la tabla impresa no es para el revisor", "pt": "a tabela não é para o revisor da página", "ru": "страница не для этого рецензента", "ar": "هذا الجدول غير مكتمل في الصفحة"}
