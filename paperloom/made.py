@@ -88,17 +88,31 @@ STYLES = {"BUILDING": "Heading1", "FURNITURE": "ListBullet"}
 
 
 def word(rows: list[Any]) -> bytes:
-    """A paragraph for each customer, one table, a header, comments, footnotes and tracked insertions; media and embedded parts."""
+    """A paragraph for each customer with what its segment adds, one table, a header, comments and footnotes; media and embedded parts."""
     w, r = NS["w"], NS["r"]
-    body = "".join(_p(c.c_name, STYLES.get(c.c_mktsegment), f'<w:ins w:id="{n}" w:author="Editor"><w:r><w:t>added {c.c_custkey}</w:t></w:r></w:ins>' if c.c_mktsegment == "MACHINERY" else "") for n, c in enumerate(rows))
+
+    def more(n: int, c: Any) -> str:
+        """A picture and a text box, a link, a content control, a field, or an insertion and a formula."""
+        k = c.c_custkey
+        return {
+            "BUILDING": f'<w:r><w:drawing><a:blip xmlns:a="{NS["a"]}" r:embed="m{k}"/></w:drawing></w:r><w:r><w:pict><w:txbxContent>{_p(f"box {k}")}</w:txbxContent></w:pict></w:r>',
+            "AUTOMOBILE": f'<w:hyperlink r:id="l{k}" w:anchor="top"><w:r><w:t>, linked</w:t></w:r></w:hyperlink>',
+            "FURNITURE": f'<w:sdt><w:sdtPr><w:alias w:val="A{k}"/><w:tag w:val="T{k}"/></w:sdtPr><w:sdtContent><w:r><w:t>control {k}</w:t></w:r></w:sdtContent></w:sdt>',
+            "HOUSEHOLD": f'<w:fldSimple w:instr=" PAGE {k % 3} "/>',
+            "MACHINERY": f'<w:ins w:id="{n}" w:author="Editor"><w:r><w:t>added {k}</w:t></w:r></w:ins><m:oMath><m:r><m:t>x={k}</m:t></m:r></m:oMath>',
+        }.get(c.c_mktsegment, "")
+
+    body = "".join(_p(c.c_name, STYLES.get(c.c_mktsegment), more(n, c)) for n, c in enumerate(rows))
+    links = [(f"m{c.c_custkey}", "image", f"media/item {c.c_custkey}.bin", False) for c in rows if c.c_mktsegment == "BUILDING"]
+    links += [(f"l{c.c_custkey}", "hyperlink", f"https://example.org/{c.c_custkey}", True) for c in rows if c.c_mktsegment == "AUTOMOBILE"]
     table = "".join(f"<w:tr><w:tc>{_p(c.c_name)}</w:tc><w:tc>{_p(str(c.c_custkey))}</w:tc></w:tr>" for c in rows)
     comments = "".join(f'<w:comment w:id="{n}" w:author="C">{_p(f"see {c.c_custkey}")}</w:comment>' for n, c in enumerate(rows) if c.c_mktsegment == "AUTOMOBILE")
     notes = "".join(f'<w:footnote w:id="{n + 1}">{_p(f"note {c.c_custkey}")}</w:footnote>' for n, c in enumerate(rows) if c.c_mktsegment == "HOUSEHOLD")
     styles = "".join(f'<w:style w:type="paragraph" w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for i, n in (("Heading1", "heading 1"), ("ListBullet", "List Bullet")))
     parts: dict[str, str | bytes] = {
         "[Content_Types].xml": "<Types/>",
-        "word/document.xml": f'<w:document xmlns:w="{w}" xmlns:r="{r}"><w:body>{body}<w:tbl>{table}</w:tbl><w:sectPr><w:headerReference w:type="default" r:id="h"/></w:sectPr></w:body></w:document>',
-        "word/_rels/document.xml.rels": rels(("h", "header", "header1.xml", False)),
+        "word/document.xml": f'<w:document xmlns:w="{w}" xmlns:r="{r}" xmlns:m="{NS["m"]}"><w:body>{body}<w:tbl>{table}</w:tbl><w:sectPr><w:headerReference w:type="default" r:id="h"/></w:sectPr></w:body></w:document>',
+        "word/_rels/document.xml.rels": rels(("h", "header", "header1.xml", False), *links),
         "word/styles.xml": f'<w:styles xmlns:w="{w}">{styles}</w:styles>',
         "word/header1.xml": f'<w:hdr xmlns:w="{w}">{_p("the header")}</w:hdr>',
         "word/comments.xml": f'<w:comments xmlns:w="{w}">{comments}</w:comments>',

@@ -85,10 +85,12 @@ def sheet_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "word_elements",
-    """, e AS (SELECT file, 1 AS place, r, CASE c_mktsegment WHEN 'BUILDING' THEN 'heading' WHEN 'FURNITURE' THEN 'list' ELSE 'paragraph' END AS element_type, 'body' AS role, c_name AS text FROM c
+    """, e AS (SELECT file, 1 AS place, r, CASE c_mktsegment WHEN 'BUILDING' THEN 'heading' WHEN 'FURNITURE' THEN 'list' ELSE 'paragraph' END AS element_type, 'body' AS role, c_name || CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN ', linked' ELSE '' END AS text FROM c
       UNION ALL SELECT file, 2, 0, 'table', NULL, string_agg(c_name || ' | ' || c_custkey, chr(10) ORDER BY r) FROM c GROUP BY file UNION ALL SELECT DISTINCT file, 3, 0, 'paragraph', 'header', 'the header' FROM c
       UNION ALL SELECT file, 4, r, 'note', 'comment', 'see ' || c_custkey FROM c WHERE c_mktsegment = 'AUTOMOBILE' UNION ALL SELECT file, 5, r, 'note', 'footnote', 'note ' || c_custkey FROM c WHERE c_mktsegment = 'HOUSEHOLD'
-      UNION ALL SELECT file, 6, r, 'note', 'tracked_change', 'added ' || c_custkey FROM c WHERE c_mktsegment = 'MACHINERY')
+      UNION ALL SELECT file, 6, r, 'paragraph', 'text_box', 'box ' || c_custkey FROM c WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT file, 7, r, 'note', 'tracked_change', 'added ' || c_custkey FROM c WHERE c_mktsegment = 'MACHINERY'
+      UNION ALL SELECT file, 8, r, 'paragraph', 'content_control', 'control ' || c_custkey FROM c WHERE c_mktsegment = 'FURNITURE' UNION ALL SELECT file, 9, r, 'formula', 'office_math', 'x=' || c_custkey FROM c WHERE c_mktsegment = 'MACHINERY'
+      UNION ALL SELECT file, 10, min(r), 'metadata', 'field_instruction', 'PAGE ' || c_custkey % 3 FROM c WHERE c_mktsegment = 'HOUSEHOLD' GROUP BY file, c_custkey % 3)
     SELECT file || '.docx' AS path, CAST(row_number() OVER (PARTITION BY file ORDER BY place, r) AS INTEGER) AS element_order, element_type, role, text FROM e""",
 )
 def word_elements(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +108,24 @@ def word_assets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("path", "asset_id", "asset_type", "output_path", "media_type", "sha256", "size_bytes", get("potentially_active_content", "metadata", "boolean").alias("active"), F.col("source.archive_part").alias("part"))
 
 
+@query(
+    "word_images",
+    """, a AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY 'item ' || c_custkey || '.bin') AS no FROM c WHERE c_mktsegment = 'BUILDING')
+    SELECT file || '.docx' AS path, CAST(r AS INTEGER) AS element_order, 'item ' || c_custkey || '.bin' AS filename, sha256(c_name) AS sha256, 'docx-asset-' || no AS asset_id FROM a""",
+)
+def word_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = parsed(spark, d, "docx", made.word, "elements")
+    runs = rows.select("path", "element_order", F.explode(get("runs", kind="array<struct<content:array<struct<type:string,filename:string,sha256:string,asset_id:string>>>>")).alias("run"))
+    return runs.select("path", "element_order", F.explode("run.content").alias("c")).where("c.type = 'image'").select("path", "element_order", "c.filename", "c.sha256", "c.asset_id")
+
+
+@query("word_links", "SELECT file || '.docx' AS path, CAST(r AS INTEGER) AS element_order, ', linked' AS text, 'https://example.org/' || c_custkey AS address, 'top' AS fragment, 'https://example.org/' || c_custkey || '#top' AS url FROM c WHERE c_mktsegment = 'AUTOMOBILE'")
+def word_links(spark: SparkSession, d: str) -> DataFrame:
+    rows = parsed(spark, d, "docx", made.word, "elements")
+    links = rows.select("path", "element_order", F.explode(get("hyperlinks", kind="array<struct<text:string,address:string,fragment:string,url:string>>")).alias("l"))
+    return links.select("path", "element_order", "l.text", "l.address", "l.fragment", "l.url")
+
+
 @query("word_unsupported", "SELECT file || '.docx' AS path, 'docx_embedded_object' AS object_type, 'detected_not_fully_parsed' AS status, count(*) AS parts FROM c WHERE c_mktsegment = 'FURNITURE' GROUP BY file")
 def word_unsupported(spark: SparkSession, d: str) -> DataFrame:
     return parsed(spark, d, "docx", made.word, "unsupported").select("path", "object_type", "status", get("count", "metadata", "long").alias("parts"))
