@@ -343,7 +343,7 @@ _PLACE_SQL = "row_number() OVER (PARTITION BY {keys} ORDER BY section, unit_no,
 
 @query(
     "md_documents",
-    f"""{_BLOCKS_SQL} SELECT doc_id, regexp_replace({_JOINED_SQL.format(first='first')}, '\s+$', '') || chr(10) AS markdown
+    f"""{_BLOCKS_SQL} SELECT doc_id, regexp_replace({_JOINED_SQL.format(first='first')}, '\\s+$', '') || chr(10) AS markdown
   FROM (SELECT *, {_PLACE_SQL.format(keys='doc_id')} FROM b WHERE block IS NOT NULL AND doc_id IN (SELECT doc_id FROM d)) GROUP BY doc_id""",
 )
 def md_documents(spark: SparkSession, d: str) -> DataFrame:
